@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, repetition, url_trie
+from . import bpe, jaccard_join, line_dedup, packing, repetition, url_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": url_trie.op2_url_filters,
     "op3_repetition_quality": repetition.op3_repetition_quality,
     "op5_bpe": bpe.op5_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_packing": packing.op10_packing,
 }
 
