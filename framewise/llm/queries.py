@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, line_dedup, packing, repetition, url_trie
+from . import ann_ivfpq, bpe, jaccard_join, line_dedup, packing, repetition, url_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": url_trie.op2_url_filters,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": bpe.op5_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_nearest": ann_ivfpq.op9_nearest,
     "op10_packing": packing.op10_packing,
 }
 
