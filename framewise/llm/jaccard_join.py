@@ -13,9 +13,10 @@ Two sets that reach the similarity t share at least k elements of their first
 few chance meetings make no candidate, and k = 2 for light ones.
 
 Documents with the same set are one node.  Links are first sought between each
-node and the most central node of its lists; then all pairs that share enough
-keys and are still in different components are compared.  So the components
-are exact, and a large group of copies is never expanded into its pairs.
+node and the most central node of its lists.  Then every pair that may be
+similar and is not yet in one component is compared: pairs around one centre by
+what they share beyond it, other pairs by their keys.  So the components are
+exact, and a large group of copies is never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import record_batch, stored, table, text_chunks
@@ -159,7 +160,7 @@ def _keys(shingles: np.ndarray, count: np.ndarray, boundary: int, rule: Similari
 
 
 def _met(docs: DataFrame, rule: Similarity, boundary: int, common: DataFrame, ranges: int) -> DataFrame:
-    """``key, node, n`` for keys that more than one node has.
+    """``key, node`` for keys that more than one node has.
 
     Each block sends each of its keys once, packed by range of keys; the other
     entries of a key that meets within the block go along without a comparison,
@@ -171,7 +172,7 @@ def _met(docs: DataFrame, rule: Similarity, boundary: int, common: DataFrame, ra
     tokens = told.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     known = spark.sparkContext.broadcast((tokens[order], told.column("total").to_numpy()[order]))
-    packed = pa.schema([("range", pa.int32()), ("compare", pa.bool_()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+    packed = pa.schema([("range", pa.int32()), ("compare", pa.bool_()), ("keys", pa.binary()), ("nodes", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, totals = known.value
@@ -185,36 +186,35 @@ def _met(docs: DataFrame, rule: Similarity, boundary: int, common: DataFrame, ra
             if len(tokens):
                 i = np.searchsorted(tokens, every).clip(max=len(tokens) - 1)
                 count = np.where(tokens[i] == every, totals[i], 0)
-            keys, names, sizes, at = [], [], [], 0
+            keys, names, at = [], [], 0
             for name, s in single.items():
                 own = _keys(s, count[at : at + len(s)], boundary, rule)
                 at += len(s)
                 for k in own:
                     keys.append(k)
                     names.append(np.full(len(k), name, np.int64))
-                    sizes.append(np.full(len(k), len(s), np.int32))
             if not keys:
                 continue
-            keys, names, sizes = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
+            keys, names = np.concatenate(keys), np.concatenate(names)
             order = np.argsort(keys, kind="stable")
-            keys, names, sizes = keys[order], names[order], sizes[order]
+            keys, names = keys[order], names[order]
             again = np.append(False, keys[1:] == keys[:-1])
             meets = again | np.append(again[1:], False)
             part = ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
             rows = []
             first = ~again
-            p, k, m, z = part[first], keys[first], names[first], sizes[first]
+            p, k, m = part[first], keys[first], names[first]
             cuts = np.flatnonzero(np.diff(p)) + 1
             for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(p)).tolist()):
-                rows.append((int(p[a]), True, k[a:b].tobytes(), m[a:b].tobytes(), z[a:b].tobytes()))
+                rows.append((int(p[a]), True, k[a:b].tobytes(), m[a:b].tobytes()))
             for a in range(0, int(meets.sum()), 1 << 16):
                 turn += 1
                 one = np.flatnonzero(meets)[a : a + (1 << 16)]
-                rows.append((turn % ranges, False, keys[one].tobytes(), names[one].tobytes(), sizes[one].tobytes()))
+                rows.append((turn % ranges, False, keys[one].tobytes(), names[one].tobytes()))
             for a in range(0, len(rows), 256):
                 yield record_batch(packed, *zip(*rows[a : a + 256]))
 
-    out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+    out = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
     def compare(group: pa.Table) -> pa.Table:
         found = []
@@ -222,38 +222,89 @@ def _met(docs: DataFrame, rule: Similarity, boundary: int, common: DataFrame, ra
             of = group.filter(pa.array(np.asarray(group.column("compare")) == same))
             if not of.num_rows:
                 continue
-            keys, names, sizes = (np.frombuffer(b"".join(of.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
+            keys, names = (np.frombuffer(b"".join(of.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64)))
             if same:
                 order = np.argsort(keys, kind="stable")
-                keys, names, sizes = keys[order], names[order], sizes[order]
+                keys, names = keys[order], names[order]
                 again = np.append(False, keys[1:] == keys[:-1])
                 meets = again | np.append(again[1:], False)
-                keys, names, sizes = keys[meets], names[meets], sizes[meets]
-            found.append((keys.view(np.int64), names, sizes.astype(np.int64)))
+                keys, names = keys[meets], names[meets]
+            found.append((keys.view(np.int64), names))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], schema=out)
 
-    sent = docs.mapInArrow(send, "range int, compare boolean, keys binary, nodes binary, sizes binary")
-    return sent.repartition(ranges, "range").groupBy("range").applyInArrow(compare, "key long, node long, n long")
+    sent = docs.mapInArrow(send, "range int, compare boolean, keys binary, nodes binary")
+    return sent.repartition(ranges, "range").groupBy("range").applyInArrow(compare, "key long, node long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
-    """The rows of ``pairs(a, b)`` that reach the similarity, with ``n_both``."""
+def _compared(pairs: DataFrame, sets: DataFrame, rule: Similarity, beyond: bool = False) -> DataFrame:
+    """``a, b, n_both, n_a, n_b, linked`` for each of ``pairs(a, b)``.
+
+    ``beyond``: also the shingles of a that b lacks, where they are not more
+    than half of a (else null).
+    """
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_both", pa.int64())])
+    names = ("a", "b", "n_both", "n_a", "n_b")
+    schema = pa.schema([(c, pa.int64()) for c in names] + [("linked", pa.bool_()), ("beyond", pa.binary())])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, both = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            rows = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                n = int((y[np.searchsorted(y, x).clip(max=len(y) - 1)] == x).sum())
-                if rule.links(n, len(x), len(y)):
-                    both.append((a[i], b[i], n))
-            yield record_batch(schema, *(zip(*both) if both else ([], [], [])))
+                in_y = y[np.searchsorted(y, x).clip(max=len(y) - 1)] == x
+                n = int(in_y.sum())
+                rest = x[~in_y].tobytes() if beyond and 2 * n >= len(x) else None
+                rows.append((a, b, n, len(x), len(y), rule.links(n, len(x), len(y)), rest))
+            yield record_batch(schema, *(zip(*rows) if rows else [[]] * 7))
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
+    return both.mapInArrow(compare, ", ".join(f"{c} long" for c in names) + ", linked boolean, beyond binary")
+
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(verify, "a long, b long, n_both long")
+def _around_centres(compared: DataFrame, labels: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs ``a, b`` of one centre, in different components, that may still be similar.
+
+    One of the two, say x, is not similar to the centre.  What x and y share
+    within the centre is at most what the lesser of them shares with it, so
+    they must share the rest of the intersection they need outside of the
+    centre.  Only those outer shingles are joined, and of them only the prefix,
+    rarest first, that the need leaves.  Pairs without such a need, which takes
+    a y smaller than the centre, are found by size.
+    """
+    need = lambda n, m: F.ceil(rule.percent * (n + m) / (100 + rule.percent))
+    spokes = compared.where("beyond is not null").select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("n_both").alias("i"), F.col("n_a").alias("n"), "linked", "beyond")
+    spokes = spokes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    groups = spokes.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("n_low"), F.max(F.when(~F.col("linked"), F.col("i"))).alias("i_high"))
+    groups = groups.where("low <> high and i_high is not null").select("centre", "n_low", "i_high")
+    members = spokes.join(groups, "centre").withColumn("least", need(F.col("n"), F.col("n_low")) - F.least("i", "i_high"))
+    members = stored(members.select("centre", "node", "n", "i", "comp", "linked", "least", "beyond"), "members")
+
+    schema = pa.schema([(c, pa.int64()) for c in ("centre", "node", "comp", "keep", "token")])
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]
+            sizes = np.array([len(x) for x in sets])
+            keep = sizes - np.maximum(batch.column(3).to_numpy(), 1) + 1
+            repeat = lambda c: np.repeat(np.asarray(c), sizes)
+            yield record_batch(schema, *(repeat(batch.column(k)) for k in range(3)), repeat(keep), np.concatenate(sets) if sets else [])
+
+    tokens = members.select("centre", "node", "comp", "least", "beyond").mapInArrow(outer, "centre long, node long, comp long, keep long, token long")
+    tokens = stored(tokens.where("keep > 0"), "outer")
+    df = tokens.groupBy("centre", "token").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    single = tokens.join(df.where("df = 1"), ["centre", "token"], "left_semi").groupBy("node").agg(F.count("*").alias("first"))
+    shared = tokens.join(df.where("df > 1"), ["centre", "token"]).join(single, "node", "left")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token")) + F.coalesce("first", F.lit(0))  # within one set
+    shared = shared.withColumn("rank", rank).where("rank <= keep and low <> high")
+    x, y = (shared.select("centre", "token", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+    outside = x.join(y, ["centre", "token"]).where("a < b and comp_a <> comp_b").select("a", "b")
+
+    small = members.where("least <= 0").select("centre", "node", "n", "i", "comp", "linked")
+    x, y = (small.select("centre", *(F.col(k).alias(f"{k}_{c}") for k in ("node", "n", "i", "comp", "linked"))) for c in "ab")
+    apart = (F.col("node_a") != F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
+    close = need(F.col("n_a"), F.col("n_b")) <= F.least("i_a", "i_b")
+    by_size = x.where("not linked_a").join(y, "centre").where(apart & close).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return outside.union(by_size)
 
 
 def similar_components(docs: DataFrame, rule: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,8 +341,8 @@ def similar_components(docs: DataFrame, rule: Similarity | None = None, id_col:
     # a partner has three quarters of the size at least, and so demands so many common keys
     met = stored(_met(docs, rule, boundary, common, ranges).distinct(), "met")
     demand = F.floor(F.ceil(F.col("n") * rule.percent / 100) / SPARE) + 1
-    able = met.groupBy("node").agg(F.count_if(F.col("key") % 2 == 0).alias("elements"), F.count_if(F.col("key") % 2 != 0).alias("subsets"), F.first("n").alias("n"))
-    able = able.where((F.col("subsets") > 0) | (F.col("elements") >= demand)).select("node")
+    able = met.groupBy("node").agg(F.count_if(F.col("key") % 2 == 0).alias("elements"), F.count_if(F.col("key") % 2 != 0).alias("subsets"))
+    able = able.join(nodes, "node").where((F.col("subsets") > 0) | (F.col("elements") >= demand)).select("node", "n")
     lists = met.join(able, "node")
     sized = lists.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     weights = lists.join(sized, "key").groupBy("node").agg(F.sum("df").alias("weight"))
@@ -304,20 +355,29 @@ def similar_components(docs: DataFrame, rule: Similarity | None = None, id_col:
     centres = lists.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     spokes = lists.join(centres, "key").where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("shared"))
     best = spokes.groupBy("node").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
-    first = stored(_linked(best.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, rule), "links")
+    compared = stored(_compared(best.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, rule, beyond=True), "compared")
+    first = compared.where("linked").select("a", "b")
     labels = connected_components(first)
 
-    # pairs that share enough keys and are not yet connected
-    marked = lists.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    open_keys = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = stored(marked.join(open_keys, "key"), "open")
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for s in "ab")
-    close = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") * 100 >= F.col("n_b") * rule.percent) & (F.col("n_b") * 100 >= F.col("n_a") * rule.percent)
-    shared = a.join(b, "key").where(close).groupBy("node_a", "node_b").agg(
-        F.count_if(F.col("key") % 2 == 0).alias("elements"), F.count_if(F.col("key") % 2 != 0).alias("subsets"), F.first(F.least("n_a", "n_b")).alias("n")
+    # pairs that are not yet connected: around one centre, and others that share enough keys
+    around = _around_centres(compared, labels, rule)
+    group = compared.where("beyond is not null").select(F.col("a").alias("node"), F.col("b").alias("centre"))
+    marked = lists.join(labels, "node", "left").join(group, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("centre", "node").alias("group"))
+    open_keys = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("group").alias("one"), F.max("group").alias("other"))
+    rest = stored(marked.join(open_keys.where("low <> high and one <> other").select("key"), "key"), "open")
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "group"))) for s in "ab")
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * rule.percent) & (F.col("n_b") * 100 >= F.col("n_a") * rule.percent)
+    new = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
+    untested = (F.col("group_a") != F.col("group_b")) & (F.col("node_a") != F.col("group_b")) & (F.col("node_b") != F.col("group_a"))
+    shared = a.join(b, "key").where(new & untested & sizes).groupBy("node_a", "node_b").agg(
+        F.count_if(F.col("key") % 2 == 0).alias("elements"), F.count_if(F.col("key") % 2 != 0).alias("subsets"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
     )
-    pairs = shared.where((F.col("subsets") > 0) | (F.col("elements") >= 1 + F.floor(F.col("n") / SPARE))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    second = stored(_linked(pairs, sets, rule), "links")
+    # beyond their common keys, two sets share at most what one of them has after its prefix
+    after = lambda n: F.greatest(F.ceil(n * rule.percent / 100) - 1 - F.floor(n / SPARE), F.lit(0))
+    needed = F.ceil(rule.percent * (F.col("n_a") + F.col("n_b")) / (100 + rule.percent)) - F.greatest(after(F.col("n_a")), after(F.col("n_b")))
+    enough = (F.col("subsets") > 0) | (F.col("elements") >= F.greatest(needed, 1 + F.floor(F.least("n_a", "n_b") / SPARE)))
+    pairs = shared.where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(around).distinct()
+    second = stored(_compared(pairs, sets, rule).where("linked").select("a", "b"), "links")
 
     links = first.union(second)
     labels = connected_components(links)
