@@ -363,15 +363,24 @@ def similar_components(docs: DataFrame, rule: Similarity | None = None, id_col:
     around = _around_centres(compared, labels, rule)
     group = compared.where("beyond is not null").select(F.col("a").alias("node"), F.col("b").alias("centre"))
     marked = lists.join(labels, "node", "left").join(group, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("centre", "node").alias("group"))
-    open_keys = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("group").alias("one"), F.max("group").alias("other"))
-    rest = stored(marked.join(open_keys.where("low <> high and one <> other").select("key"), "key"), "open")
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "group"))) for s in "ab")
+    open_keys = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("group").alias("one"), F.max("group").alias("other"), F.count("*").alias("df"))
+    rest = stored(marked.join(open_keys.where("low <> high and one <> other").select("key", "df"), "key"), "open")
+
+    # who shares so many of its keys with another shares one of its rarest, those beyond the demand
+    elements = rest.where("key % 2 = 0")
+    own = elements.groupBy("node").agg(F.collect_list("key").alias("keys"))  # of one set
+    by_rarity = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
+    spare = F.count("*").over(Window.partitionBy("node")) - demand + 1
+    rare = elements.withColumn("rank", by_rarity).withColumn("spare", spare).where("rank <= spare").drop("rank", "spare")
+    a, b = (rare.union(rest.where("key % 2 <> 0")).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "group"))) for s in "ab")
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * rule.percent) & (F.col("n_b") * 100 >= F.col("n_a") * rule.percent)
     new = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
     untested = (F.col("group_a") != F.col("group_b")) & (F.col("node_a") != F.col("group_b")) & (F.col("node_b") != F.col("group_a"))
-    shared = a.join(b, "key").where(new & untested & sizes).groupBy("node_a", "node_b").agg(
-        F.count_if(F.col("key") % 2 == 0).alias("elements"), F.count_if(F.col("key") % 2 != 0).alias("subsets"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+    met_again = a.join(b, "key").where(new & untested & sizes).groupBy("node_a", "node_b").agg(
+        F.count_if(F.col("key") % 2 != 0).alias("subsets"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
     )
+    a, b = (own.select(F.col("node").alias(f"node_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
+    shared = met_again.join(a, "node_a", "left").join(b, "node_b", "left").withColumn("elements", F.coalesce(F.size(F.array_intersect("keys_a", "keys_b")), F.lit(0)))
     # beyond their common keys, two sets share at most what one of them has after its prefix
     after = lambda n: F.greatest(F.ceil(n * rule.percent / 100) - 1 - F.floor(n / SPARE), F.lit(0))
     needed = F.ceil(rule.percent * (F.col("n_a") + F.col("n_b")) / (100 + rule.percent)) - F.greatest(after(F.col("n_a")), after(F.col("n_b")))
