@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 RAW_EXTENSIONS = ("3fr", "arw", "cr2", "cr3", "dng", "erf", "iiq", "kdc", "mos", "mrw", "nef", "orf", "pef", "raf", "rw2", "sr2", "srw", "x3f")
@@ -17,7 +18,7 @@ GENERATED_DIRECTORY = r"(?i)^(picks|run)_\d{8}_\d{6}(_\d{6})?$"
 IMAGE_EXTENSIONS = RAW_EXTENSIONS + STANDARD_EXTENSIONS
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Python's case folding, for the one pass that reads a collection; Spark has lower() only."""
     return text.map(lambda t: None if t is None else t.casefold())

@@ -8,7 +8,7 @@ range carries what the next ones need.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framewise.storage import stored
@@ -29,7 +29,9 @@ class Ordered:
         sorted_ = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(PART, F.spark_partition_id()).withColumn(AT, at)
         self.rows = stored(sorted_, name)
 
-    within = Window.partitionBy(PART).orderBy(AT)
+    @property
+    def within(self) -> WindowSpec:
+        return Window.partitionBy(PART).orderBy(AT)
 
     def _joined(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(summary), PART)
