@@ -46,6 +46,8 @@ SPARE = 20
 LIGHT = 40
 #: Rows that a meeting of two sets under one key costs, by the pair and its comparison, where one entry costs one.
 MEETING = 8
+#: First tokens of a set by which a pair that has met before is told.
+HEADS = 16
 #: Keys that one task compares.
 RANGE = 1_000_000
 
@@ -276,28 +278,38 @@ def _around_centres(compared: DataFrame, labels: DataFrame, rule: Similarity) ->
     spokes = spokes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     groups = spokes.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("n_low"), F.max(F.when(~F.col("linked"), F.col("i"))).alias("i_high"))
     groups = groups.where("low <> high and i_high is not null").select("centre", "n_low", "i_high")
-    members = spokes.join(groups, "centre").withColumn("least", need(F.col("n"), F.col("n_low")) - F.least("i", "i_high"))
+    n_least = F.greatest(F.col("n_low"), F.ceil(F.col("n") * rule.percent / 100))  # a partner has so many shingles at least
+    members = spokes.join(groups, "centre").withColumn("least", need(F.col("n"), n_least) - F.least("i", "i_high"))
     members = stored(members.select("centre", "node", "n", "i", "comp", "linked", "least", "beyond"), "members")
 
-    schema = pa.schema([(c, pa.int64()) for c in ("centre", "node", "comp", "keep", "token")])
+    names = ("centre", "node", "comp", "n", "i", "size", "keep", "token")
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]
-            sizes = np.array([len(x) for x in sets])
-            keep = sizes - np.maximum(batch.column(3).to_numpy(), 1) + 1
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(6)]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            keep = sizes - np.maximum(batch.column(5).to_numpy(), 1) + 1
             repeat = lambda c: np.repeat(np.asarray(c), sizes)
-            yield record_batch(schema, *(repeat(batch.column(k)) for k in range(3)), repeat(keep), np.concatenate(sets) if sets else [])
+            yield record_batch(schema, *(repeat(batch.column(k)) for k in range(5)), repeat(sizes), repeat(keep), np.concatenate(sets) if sets else [])
 
-    tokens = members.select("centre", "node", "comp", "least", "beyond").mapInArrow(outer, "centre long, node long, comp long, keep long, token long")
+    tokens = members.select("centre", "node", "comp", "n", "i", "least", "beyond").mapInArrow(outer, ", ".join(f"{c} long" for c in names))
     tokens = stored(tokens.where("keep > 0"), "outer")
     df = tokens.groupBy("centre", "token").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     single = tokens.join(df.where("df = 1"), ["centre", "token"], "left_semi").groupBy("node").agg(F.count("*").alias("first"))
     shared = tokens.join(df.where("df > 1"), ["centre", "token"]).join(single, "node", "left")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token")) + F.coalesce("first", F.lit(0))  # within one set
     shared = shared.withColumn("rank", rank).where("rank <= keep and low <> high")
-    x, y = (shared.select("centre", "token", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-    outside = x.join(y, ["centre", "token"]).where("a < b and comp_a <> comp_b").select("a", "b")
+    # at the first token that two sets share, so many can follow that the pair's own need is met
+    shared = shared.withColumn("after", F.col("size") - F.col("rank"))
+    # a pair with a common token among the first ones before this has met there already
+    shared = shared.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("rank")))
+    heads = F.collect_list(F.when(F.col("turn") <= HEADS, F.struct("turn", "token"))).over(Window.partitionBy("node"))
+    shared = shared.withColumn("earlier", F.transform(F.filter(heads, lambda h: h["turn"] < F.col("turn")), lambda h: h["token"]))
+    x, y = (shared.select("centre", "token", F.col("node").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("comp", "n", "i", "after", "earlier"))) for c in "ab")
+    wanted = need(F.col("n_a"), F.col("n_b")) - F.least("i_a", "i_b")
+    fits = (wanted > 0) & (F.col("n_a") * 100 >= F.col("n_b") * rule.percent) & (F.col("n_b") * 100 >= F.col("n_a") * rule.percent) & (F.least("after_a", "after_b") + 1 >= wanted) & ~F.arrays_overlap("earlier_a", "earlier_b")
+    outside = x.join(y, ["centre", "token"]).where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & fits).select("a", "b")
 
     small = members.where("least <= 0").select("centre", "node", "n", "i", "comp", "linked")
     x, y = (small.select("centre", *(F.col(k).alias(f"{k}_{c}") for k in ("node", "n", "i", "comp", "linked"))) for c in "ab")
