@@ -83,6 +83,25 @@ _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(209
 _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
+#: Characters of an account number by country.
+_IBAN_LENGTH = {k: int(n) for n, ks in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,TL,SO "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA "
+    "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for k in ks.split(",")}
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_CODES_2 = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Digits after the country code, a trunk 0 not counted; for other codes what makes 8 to 15 digits.
+_NATIONAL = {k: range(int(a), int(b) + 1) for k, a, b in (x.split(",") for x in (
+    "1,10,10 7,10,10 20,8,10 27,9,9 30,10,10 31,9,9 32,8,9 33,9,9 34,9,9 36,8,9 39,6,11 40,9,9 41,9,9 43,7,11 44,9,10 45,8,8 46,7,10 47,8,8 48,9,9 49,6,11 "
+    "51,8,9 52,10,10 54,10,11 55,10,11 56,9,9 57,10,10 60,8,10 61,9,9 62,8,12 63,8,10 64,8,10 65,8,8 66,8,9 81,9,10 82,8,10 84,9,10 86,10,11 90,10,10 91,10,10 "
+    "92,9,10 98,10,10 351,9,9 352,6,9 353,7,9 358,6,10 380,9,9 420,9,9 421,9,9 852,8,8 971,8,9 972,8,9").split())}
+
+
+def _code(digits: str) -> str:
+    """The country code of an international number."""
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in _CODES_2 else 3]
+
+
 def _refilled(template: str, fill: str, of: str) -> str:
     """``template`` with its characters among ``of`` replaced, in order, by those of ``fill``."""
     chars = iter(fill)
@@ -126,12 +145,11 @@ class Pseudonyms:
         return _refilled(text, body + luhn_digit(body), _DIGITS)
 
     def phone(self, text: str) -> str | None:
-        """An international number of 8 to 15 digits; the country code, up to the first separator, stays."""
+        """An international number of 8 to 15 digits; the country code stays."""
         digits = "".join(c for c in text if c in _DIGITS)
-        code = re.match(r"\+([0-9]{1,3})(?=[^0-9])", text)
-        keep = len(code[1]) if code else 2
         if not 8 <= len(digits) <= 15:
             return None
+        keep = len(_code(digits))
         return _refilled(text, digits[:keep] + self._digits(digits[keep:], b"phone" + digits[:keep].encode()), _DIGITS)
 
     def ip(self, text: str) -> str | None:
@@ -151,7 +169,7 @@ class Pseudonyms:
         """Country, two digits and the account, with a remainder of 1 by 97; country and kinds of characters stay."""
         plain = text.replace(" ", "")
         country, account = plain[:2], plain[4:]
-        if not 15 <= len(plain) <= 34 or iban_digits(country, account) != plain[2:4]:
+        if not 15 <= len(plain) <= 34 or _IBAN_LENGTH.get(country, len(plain)) != len(plain) or iban_digits(country, account) != plain[2:4]:
             return None
         account = self._classes(account, b"iban" + country.encode())
         return _refilled(text, country + iban_digits(country, account) + account, _UPPER + _DIGITS)
@@ -209,9 +227,14 @@ _PATTERNS = {
     "ip": rb"(?<![0-9A-Za-z_.\x80-\xff])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_\x80-\xff]|\.[0-9])",
     "date": rb"(?<![0-9A-Za-z_/.\-\x80-\xff])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z_/\-\x80-\xff]|\.[0-9])",
     "ssn": rb"(?<![0-9A-Za-z_\-\x80-\xff])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_\-\x80-\xff])",
-    "phone": rb"(?<![0-9A-Za-z_+\x80-\xff])\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\))?(?:[ .\-]?[0-9]{2,4}){2,5}" + _E,
+    "phone": rb"(?<![0-9A-Za-z_+\x80-\xff])\+[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{1,5}\))?(?:[ .\-][0-9])?(?:[ .\-]?[0-9]{2,4}){2,7}" + _E,
     "card": rb"(?<![0-9A-Za-z_\-.\x80-\xff])[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![0-9A-Za-z_\-\x80-\xff]|\.[0-9])",
 }
+#: Where another value than the rest of a phone number may begin: told by the counts of digits alone, which pseudonyms keep.
+_OTHER = re.compile(
+    rb"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}([\-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+    rb"|[0-9]{4}([ \-])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{13,19}|[0-9]{3,4}[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3,5}[ /\-][0-9]{5,8})(?![0-9])"
+)
 _TRIGGER = re.compile(rb"[0-9@=:]")
 
 
@@ -221,6 +244,27 @@ def finder(kinds: tuple[str, ...]) -> re.Pattern[bytes]:
     return re.compile(b"|".join(b"(?P<%s>%s)" % (k.encode(), p) for k, p in _PATTERNS.items() if k in kinds))
 
 
+def phone_ends(line: bytes, a: int, b: int) -> list[int]:
+    """Where the number that begins at ``a`` may end, the likeliest first: before another value, at the country's length, as late as possible."""
+    ends = [m.end() for m in re.finditer(rb"[0-9]+", line[a:b])]
+    other = next((m.end() for m in re.finditer(rb"[ .\-]", line[a:b]) if _OTHER.match(line, a + m.end()) and len(re.sub(rb"[^0-9]", b"", line[a : a + m.end()])) >= 8), b - a)
+
+    def rank(end: int) -> tuple[bool, bool, int]:
+        digits = re.sub(rb"\(0\)|[^0-9]", b"", line[a : a + end]).decode()
+        code = _code(digits)
+        return end > other, len(digits) - len(code) not in _NATIONAL.get(code, range(8 - len(code), 16 - len(code))), -end
+
+    return [a + end for end in sorted(ends, key=rank)]
+
+
+def iban_ends(line: bytes, a: int, b: int) -> list[int]:
+    """Where the account number that begins at ``a`` may end: after any of its groups, the last first."""
+    return [a + m.end() for m in re.finditer(rb"[0-9A-Z]+", line[a:b])][::-1] if line[a : a + 2].decode() in _IBAN_LENGTH else [b]
+
+
+_ENDS = {"phone": phone_ends, "iban": iban_ends}
+
+
 class Replacer:
     """Rewrites texts; one in each Python process keeps the pseudonyms it has made."""
 
@@ -244,7 +288,8 @@ class Replacer:
             kind = next(k for k in self.kinds if m[k] is not None)
             group = kind if kind != "secret" else "assigned" if m["assigned"] is not None else "key"
             a, b = m.span(group)
-            new = self._value(kind, line[a:b])
+            ends = _ENDS[kind](line, a, b) if kind in _ENDS else [b]
+            new, b = next(((new, e) for e in ends if (new := self._value(kind, line[a:e])) is not None), (None, b))
             if new is None:  # not confirmed; another kind may begin after its first number
                 at = m.start() + max(1, len(re.match(rb"[0-9A-Za-z]*", line[m.start() : m.end()])[0]))
                 continue
