@@ -15,6 +15,7 @@ import datetime
 import hashlib
 import math
 import re
+import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ ROUNDS = 10
 KINDS = ("card", "phone", "ip", "email", "iban", "ssn", "date", "secret")
 #: Pseudonyms that a task keeps; beyond it the store starts anew.
 CACHE = 100_000
+#: Longer values, in bytes, are made anew each time.
+KEPT = 400
 
 
 @dataclass(frozen=True)
@@ -102,6 +105,10 @@ def _code(digits: str) -> str:
     return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in _CODES_2 else 3]
 
 
+def _is_hex(text: str) -> bool:
+    return len(text) >= 16 and set(text) <= set(_HEX)
+
+
 def _refilled(template: str, fill: str, of: str) -> str:
     """``template`` with its characters among ``of`` replaced, in order, by those of ``fill``."""
     chars = iter(fill)
@@ -118,23 +125,32 @@ class Pseudonyms:
         return f"{self.feistel.permute(int(digits), 10 ** len(digits), tweak, self.back):0{len(digits)}d}"
 
     def _classes(self, text: str, tweak: bytes) -> str:
-        """Each letter or digit becomes one of its class, hexadecimal texts stay such; 40 at a time, each part tied to those before."""
-        of = (lambda c: _HEX) if set(text) <= set(_HEX) and len(text) >= 16 else (lambda c: next((k for k in (_LOWER, _UPPER, _DIGITS) if c in k), c))
-        out = ""
+        """Each letter or digit becomes one of its class, hexadecimal texts stay such; other characters stay."""
+        in_hex = _is_hex(text)
+        while True:
+            text = self._parts(text, tweak, in_hex)
+            if _is_hex(text) == in_hex:  # else walk on: who turns it back must see the same classes
+                return text
+
+    def _parts(self, text: str, tweak: bytes, in_hex: bool) -> str:
+        """40 characters at a time, each part tied to those before."""
+        of = (lambda c: _HEX) if in_hex else (lambda c: next((k for k in (_LOWER, _UPPER, _DIGITS) if c in k), c))
+        out, before, tied = [], hashlib.blake2b(), b""
         for i in range(0, len(text), 40):
             part = text[i : i + 40]
             sets = [of(c) for c in part]
             size, x = 1, 0
             for c, k in zip(part, sets):
                 size, x = size * len(k), x * len(k) + k.index(c)
-            plain = out if self.back else text[:i]
-            y = self.feistel.permute(x, size, tweak + plain.encode(), self.back)
+            y = self.feistel.permute(x, size, tweak + tied, self.back)
             made = []
             for k in reversed(sets):
                 y, d = divmod(y, len(k))
                 made.append(k[d])
-            out += "".join(reversed(made))
-        return out
+            out.append("".join(reversed(made)))
+            before.update((out[-1] if self.back else part).encode())
+            tied = before.digest()
+        return "".join(out)
 
     def card(self, text: str) -> str | None:
         """13 to 19 digits with a right Luhn sum; the first digit stays, the last is made anew."""
@@ -213,15 +229,26 @@ class Pseudonyms:
         return sign.join(fields)
 
     def secret(self, text: str) -> str | None:
-        """A key or the value given to a password, token or secret: letters and digits change within their class, a known prefix stays."""
-        prefix = next((p for p in ("AKIA", "ASIA", "ghp_", "sk-") if text.startswith(p)), "")
-        return prefix + self._classes(text[len(prefix) :], b"secret" + prefix.encode())
+        """A key or the value of 8 characters or more given to a password, token or secret: letters and digits change within their class, a known prefix and all other signs stay."""
+        if len(text) < 8:
+            return None
+        prefix = _secret_prefix(text)
+        while True:
+            text = prefix + self._classes(text[len(prefix) :], b"secret" + prefix.encode())
+            if _secret_prefix(text) == prefix:
+                return text
+
+
+def _secret_prefix(text: str) -> str:
+    return next((p for p in ("AKIA", "ASIA", "ghp_", "sk-") if text.startswith(p)), "")
 
 
 # No pattern reaches over a line feed.  Bytes of letters beyond ASCII count as word characters.
 _B, _E = rb"(?<![0-9A-Za-z_\x80-\xff])", rb"(?![0-9A-Za-z_\x80-\xff])"
 _PATTERNS = {
-    "secret": rb"(?:(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[ \t]{0,3}[=:][ \t]{0,3}[\"']?)(?P<assigned>[0-9A-Za-z_\-/+]{8,200})|" + _B + rb"(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})" + _E + rb")",
+    # a value reaches to its closing quote, without quotes to white space
+    "secret": rb"(?:(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3})(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)|[\"']?(?P<bare>[^\s\"'][^\s]{7,}))|"
+    + _B + rb"(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_\-]{20,})" + _E + rb")",
     "email": rb"(?<![0-9A-Za-z._%+\-\x80-\xff])[0-9A-Za-z][0-9A-Za-z._%+\-]{0,63}@(?:[0-9A-Za-z](?:[0-9A-Za-z\-]{0,61}[0-9A-Za-z])?\.){1,6}[A-Za-z]{2,24}" + _E,
     "iban": _B + rb"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _E,
     "ip": rb"(?<![0-9A-Za-z_.\x80-\xff])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_\x80-\xff]|\.[0-9])",
@@ -235,6 +262,7 @@ _OTHER = re.compile(
     rb"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}([\-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
     rb"|[0-9]{4}([ \-])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{13,19}|[0-9]{3,4}[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3,5}[ /\-][0-9]{5,8})(?![0-9])"
 )
+_SIGNS = string.punctuation.encode() + b" \t"
 _TRIGGER = re.compile(rb"[0-9@=:]")
 
 
@@ -262,7 +290,13 @@ def iban_ends(line: bytes, a: int, b: int) -> list[int]:
     return [a + m.end() for m in re.finditer(rb"[0-9A-Z]+", line[a:b])][::-1] if line[a : a + 2].decode() in _IBAN_LENGTH else [b]
 
 
-_ENDS = {"phone": phone_ends, "iban": iban_ends}
+def secret_ends(line: bytes, a: int, b: int) -> list[int]:
+    """The end of a value without the signs that close it or follow it in a sentence, which no pseudonym changes."""
+    end = a + len(line[a:b].rstrip(_SIGNS))
+    return [end if len(line[a:end].decode()) >= 8 else b]
+
+
+_ENDS = {"phone": phone_ends, "iban": iban_ends, "secret": secret_ends}
 
 
 class Replacer:
@@ -275,18 +309,23 @@ class Replacer:
         self.cache: dict[tuple[str, bytes], bytes | None] = {}
 
     def _value(self, kind: str, value: bytes) -> bytes | None:
+        if len(value) > KEPT:
+            return self._new(kind, value)
         if (kind, value) not in self.cache:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            new = self.of[kind](value.decode("ascii"))
-            self.cache[kind, value] = None if new is None else new.encode()
+            self.cache[kind, value] = self._new(kind, value)
         return self.cache[kind, value]
 
+    def _new(self, kind: str, value: bytes) -> bytes | None:
+        new = self.of[kind](value.decode())
+        return None if new is None else new.encode()
+
     def _line(self, line: bytes, found: list[str]) -> bytes:
         out, pos, at = [], 0, 0
         while m := self.find.search(line, at):
             kind = next(k for k in self.kinds if m[k] is not None)
-            group = kind if kind != "secret" else "assigned" if m["assigned"] is not None else "key"
+            group = kind if kind != "secret" else next(g for g in ("quoted", "bare", "key") if m[g] is not None)
             a, b = m.span(group)
             ends = _ENDS[kind](line, a, b) if kind in _ENDS else [b]
             new, b = next(((new, e) for e in ends if (new := self._value(kind, line[a:e])) is not None), (None, b))

@@ -143,6 +143,22 @@ def test_each_kind_directly_followed_by_each_other():
     assert round_trip(listed)[1] == ["phone", "ip"]
 
 
+def test_secrets_are_replaced_to_their_end():
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789"), 500))
+    jwt = ["eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c"]
+    for value, form in ((long, "token = {}"), (long, "key sk-{}"), (".".join(jwt), "token = {}"), (".".join(jwt), "token='{}'"), ("p@ssw0rd123", "password={}"), ("p@ssw0r!", 'password="{}"'), ("p@ssw0rd123", '"password": "{}",'), ("un gato ré 77", 'secret: "{}"'), ("abc\\\"defgh123", 'pwd="{}"'), ("123456789012345z", "pwd={}")):
+        text = form.format(value)
+        new, found = round_trip(f"see {text}, and {text}.")
+        assert found == ["secret", "secret"]
+        lead, tail = form.split("{}")
+        made = re.fullmatch(f"see {re.escape(lead)}(.*){re.escape(tail)}, and {re.escape(lead)}(.*){re.escape(tail)}\\.", new)
+        assert made[1] == made[2] and len(made[1]) == len(value)
+        assert not any(a in new for a in re.findall(r"[0-9A-Za-z]{4,}", value)) and not any(value[i : i + 12] == made[1][i : i + 12] for i in range(0, len(value) - 11))
+    assert round_trip('{"pwd":"short","user":"john smith"}')[1] == []
+    assert round_trip("token=" + "x/" * 300_000)[1] == ["secret"]
+
+
 def brute_components(rows, words=5, percent=75):
     sets = {}
     for d, t in rows:
