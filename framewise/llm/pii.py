@@ -100,6 +100,26 @@ _NATIONAL = {k: range(int(a), int(b) + 1) for k, a, b in (x.split(",") for x in
     "92,9,10 98,10,10 351,9,9 352,6,9 353,7,9 358,6,10 380,9,9 420,9,9 421,9,9 852,8,8 971,8,9 972,8,9").split())}
 
 
+#: Names of the months.  A name in several lists belongs to the first, so that it is read as it was written.
+_MONTHS = [x.split() for x in (
+    "january february march april may june july august september october november december",
+    "jan feb mar apr may jun jul aug sep oct nov dec",
+    "- - - - - - - - sept - - -",
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "januar februar märz april mai juni juli august september oktober november dezember",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+)]
+_MONTH_OF: dict[str, tuple[int, int]] = {}
+for _i, _names in enumerate(_MONTHS):
+    for _month, _name in enumerate(_names, 1):
+        if _name != "-":
+            _MONTH_OF.setdefault(_name, (_i, _month))
+
+
+#: One digit in brackets, mostly the trunk 0 in a number with its country code; it stays.
+_TRUNK = r"\([0-9]\)"
+
+
 def _code(digits: str) -> str:
     """The country code of an international number."""
     return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in _CODES_2 else 3]
@@ -109,6 +129,13 @@ def _is_hex(text: str) -> bool:
     return len(text) >= 16 and set(text) <= set(_HEX)
 
 
+def _national_length(number: str) -> bool:
+    """Whether a number that begins with its country code has its country's length."""
+    digits = re.sub(_TRUNK + r"|[^0-9]", "", number)
+    code = _code(digits)
+    return len(digits) - len(code) in _NATIONAL.get(code, range(8 - len(code), 16 - len(code)))
+
+
 def _refilled(template: str, fill: str, of: str) -> str:
     """``template`` with its characters among ``of`` replaced, in order, by those of ``fill``."""
     chars = iter(fill)
@@ -161,12 +188,35 @@ class Pseudonyms:
         return _refilled(text, body + luhn_digit(body), _DIGITS)
 
     def phone(self, text: str) -> str | None:
-        """An international number of 8 to 15 digits; the country code stays."""
+        """An international number of 8 to 15 digits, after 00 of its country's length, whose country code stays; or a national one.
+
+        National numbers are those of North America, area and exchange 200 to
+        999, and those of 9 to 12 digits that begin with one 0.
+        """
         digits = "".join(c for c in text if c in _DIGITS)
-        if not 8 <= len(digits) <= 15:
+        if text[0] == "+" or digits.startswith("00"):
+            lead = "" if text[0] == "+" else "00"
+            digits = re.sub(_TRUNK + "|[^0-9]", "", text)[len(lead) :]
+            if not 8 <= len(digits) <= 15 or (lead and not (_code(digits) in _NATIONAL and _national_length(text[2:]))):
+                return None
+            keep = len(_code(digits))
+            made = lead + digits[:keep] + self._digits(digits[keep:], b"phone" + digits[:keep].encode())
+            before, trunk, after = re.fullmatch(f"(.*?)({_TRUNK}|$)(.*)", text).groups()
+            first = sum(c in _DIGITS for c in before)
+            return _refilled(before, made[:first], _DIGITS) + trunk + _refilled(after, made[first:], _DIGITS)
+        if digits[0] == "0":
+            if not 9 <= len(digits) <= 12:
+                return None
+            size = 10 ** (len(digits) - 2)  # the first digit of the area is not 0
+            x = self.feistel.permute(int(digits[1:]) - size, 9 * size, b"phone0", self.back) + size
+            return _refilled(text, f"0{x}", _DIGITS)
+        lead, area, exchange, line = digits[:-10], int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:])
+        if lead not in ("", "1") or area < 200 or exchange < 200:
             return None
-        keep = len(_code(digits))
-        return _refilled(text, digits[:keep] + self._digits(digits[keep:], b"phone" + digits[:keep].encode()), _DIGITS)
+        x = self.feistel.permute(((area - 200) * 800 + exchange - 200) * 10_000 + line, 800 * 800 * 10_000, b"phone-", self.back)
+        x, line = divmod(x, 10_000)
+        area, exchange = divmod(x, 800)
+        return _refilled(text, f"{lead}{area + 200}{exchange + 200}{line:04d}", _DIGITS)
 
     def ip(self, text: str) -> str | None:
         """Four numbers of 0 to 255 without leading zeros."""
@@ -201,32 +251,47 @@ class Pseudonyms:
         return f"{area + 1 + (area >= 665):03d}{text[3]}{group + 1:02d}{text[6]}{serial + 1:04d}"
 
     def date(self, text: str) -> str | None:
-        """A day of 1900 to 2099 as year-month-day, day.month.year or month/day/year (day/month/year where only that is a date)."""
-        parts = re.split("[-/.]", text)
-        sign = text[len(parts[0])]
-        if len(parts[0]) == 4:
+        """A day of 1900 to 2099 as year-month-day, day.month.year or month/day/year (day/month/year where only that is a date), or with the month's name.
+
+        Day and month keep their number of digits, a name its language and case.
+        """
+        at = [m for m in re.finditer(r"[0-9]+|[^\W\d_]+", text) if m[0].lower() not in ("de", "del")]
+        parts = [m[0] for m in at]
+        named = next((i for i, part in enumerate(parts) if not part.isdigit()), None)
+        names, month = (None, 0) if named is None else _MONTH_OF[parts[named].lower()]
+        if named is not None:
+            order = (2, named, 1 - named)
+        elif len(parts[0]) == 4:
             order = (0, 1, 2)
-        elif sign == "/" and int(parts[0]) <= 12:
+        elif "/" in text and int(parts[0]) <= 12:
             order = (2, 0, 1)
         else:
             order = (2, 1, 0)
         try:
-            day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
+            day = datetime.date(int(parts[order[0]]), month or int(parts[order[1]]), int(parts[order[2]])).toordinal()
         except ValueError:
             return None
         if not _FIRST_DAY <= day <= _LAST_DAY:
             return None
-        swapped = sign == "/" and order == (2, 1, 0)  # day first, as no month has its number: must stay so
+        swapped = "/" in text and order == (2, 1, 0)  # day first, as no month has its number: must stay so
         while True:
             day = _FIRST_DAY + self.feistel.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, b"date", self.back)
             made = datetime.date.fromordinal(day)
-            if not swapped or made.day > 12:
-                break
-        values = (made.year, made.month, made.day)
+            if swapped and made.day <= 12 or len(parts[order[2]]) == 1 and made.day > 9:
+                continue
+            if len(parts[order[1]]) == 1 and made.month > 9 if names is None else _MONTH_OF.get(_MONTHS[names][made.month - 1]) != (names, made.month):
+                continue
+            break
         fields = [""] * 3
-        for i, v in zip(order, values):
-            fields[i] = f"{v:04d}" if i == order[0] else f"{v:02d}"
-        return sign.join(fields)
+        for i, v in zip(order, (made.year, made.month, made.day)):
+            fields[i] = f"{v:0{len(parts[i])}d}"
+        if names is not None:
+            name, old = _MONTHS[names][made.month - 1], parts[named]
+            fields[named] = name.upper() if old.isupper() else name.title() if old.istitle() else name
+        out, pos = "", 0
+        for m, field in zip(at, fields):
+            out, pos = out + text[pos : m.start()] + field, m.end()
+        return out
 
     def secret(self, text: str) -> str | None:
         """A key or the value of 8 characters or more given to a password, token or secret: letters and digits change within their class, a known prefix and all other signs stay."""
@@ -245,6 +310,8 @@ def _secret_prefix(text: str) -> str:
 
 # No pattern reaches over a line feed.  Bytes of letters beyond ASCII count as word characters.
 _B, _E = rb"(?<![0-9A-Za-z_\x80-\xff])", rb"(?![0-9A-Za-z_\x80-\xff])"
+_YEAR = rb"(?:19|20)[0-9]{2}"
+_NAMES = "|".join(sorted((f(n) for n in _MONTH_OF for f in (str.lower, str.title, str.upper)), key=len, reverse=True)).encode()
 _PATTERNS = {
     # a value reaches to its closing quote, without quotes to white space
     "secret": rb"(?:(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3})(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)|[\"']?(?P<bare>[^\s\"'][^\s]{7,}))|"
@@ -252,15 +319,19 @@ _PATTERNS = {
     "email": rb"(?<![0-9A-Za-z._%+\-\x80-\xff])[0-9A-Za-z][0-9A-Za-z._%+\-]{0,63}@(?:[0-9A-Za-z](?:[0-9A-Za-z\-]{0,61}[0-9A-Za-z])?\.){1,6}[A-Za-z]{2,24}" + _E,
     "iban": _B + rb"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _E,
     "ip": rb"(?<![0-9A-Za-z_.\x80-\xff])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_\x80-\xff]|\.[0-9])",
-    "date": rb"(?<![0-9A-Za-z_/.\-\x80-\xff])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z_/\-\x80-\xff]|\.[0-9])",
+    "date": rb"(?<![0-9A-Za-z_/.\-\x80-\xff])(?:" + _YEAR + rb"-[0-9]{1,2}-[0-9]{1,2}|" + _YEAR + rb"/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\." + _YEAR + rb"|[0-9]{1,2}/[0-9]{1,2}/" + _YEAR
+    + rb"|[0-9]{1,2}(?:\.? |-)(?:de )?(?:" + _NAMES + rb")(?:\.?,? |-)(?:del? )?" + _YEAR + rb"|(?:" + _NAMES + rb")\.? [0-9]{1,2},? " + _YEAR + rb")(?:(?=T[0-9]{2})|(?![0-9A-Za-z_/\-\x80-\xff]|\.[0-9]))",
     "ssn": rb"(?<![0-9A-Za-z_\-\x80-\xff])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_\-\x80-\xff])",
-    "phone": rb"(?<![0-9A-Za-z_+\x80-\xff])\+[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{1,5}\))?(?:[ .\-][0-9])?(?:[ .\-]?[0-9]{2,4}){2,7}" + _E,
-    "card": rb"(?<![0-9A-Za-z_\-.\x80-\xff])[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![0-9A-Za-z_\-\x80-\xff]|\.[0-9])",
+    "phone": rb"(?<![0-9A-Za-z_+\x80-\xff])(?:\+|00)[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{1,5}\))?(?:[ .\-][0-9])?(?:[ .\-]?[0-9]{2,4}){2,7}" + _E
+    # within a country: North America's, pairs after 0, an area after 0 and the rest
+    + rb"|(?<![0-9A-Za-z_+./\-\x80-\xff])(?:(?:1[ .\-])?(?:\([2-9][0-9]{2}\)[ .\-]?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}|0[1-9](?:[ .\-][0-9]{2}){4}"
+    + rb"|(?:\(0[1-9][0-9]{0,4}\)[ ./\-]?|0[1-9][0-9]{1,4}[ ./\-])(?:[0-9]{5,8}|[0-9]{3,4}[ \-][0-9]{3,5}|[0-9]{2}(?: [0-9]{2}){2,3}))" + _E + rb"(?![./\-][0-9])",
+    "card": rb"(?<![0-9A-Za-z_\-.\x80-\xff])(?:[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})(?![0-9A-Za-z_\-\x80-\xff]|\.[0-9])",
 }
 #: Where another value than the rest of a phone number may begin: told by the counts of digits alone, which pseudonyms keep.
 _OTHER = re.compile(
     rb"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}([\-/])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-    rb"|[0-9]{4}([ \-])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{13,19}|[0-9]{3,4}[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3,5}[ /\-][0-9]{5,8})(?![0-9])"
+    rb"|[0-9]{4}([ \-])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{13,19}|[0-9]{3,4}[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3,5}[ /\-][0-9]{5,8}|[0-9]{2}(?:[ .\-][0-9]{2}){4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})(?![0-9])"
 )
 _SIGNS = string.punctuation.encode() + b" \t"
 _TRIGGER = re.compile(rb"[0-9@=:]")
@@ -273,16 +344,13 @@ def finder(kinds: tuple[str, ...]) -> re.Pattern[bytes]:
 
 
 def phone_ends(line: bytes, a: int, b: int) -> list[int]:
-    """Where the number that begins at ``a`` may end, the likeliest first: before another value, at the country's length, as late as possible."""
+    """Where the number that begins at ``a`` may end, the likeliest first: at the country's length, before another value, as late as possible."""
+    if line[a : a + 1] != b"+" and line[a : a + 2] != b"00":
+        return [b]
     ends = [m.end() for m in re.finditer(rb"[0-9]+", line[a:b])]
-    other = next((m.end() for m in re.finditer(rb"[ .\-]", line[a:b]) if _OTHER.match(line, a + m.end()) and len(re.sub(rb"[^0-9]", b"", line[a : a + m.end()])) >= 8), b - a)
-
-    def rank(end: int) -> tuple[bool, bool, int]:
-        digits = re.sub(rb"\(0\)|[^0-9]", b"", line[a : a + end]).decode()
-        code = _code(digits)
-        return end > other, len(digits) - len(code) not in _NATIONAL.get(code, range(8 - len(code), 16 - len(code))), -end
-
-    return [a + end for end in sorted(ends, key=rank)]
+    gaps = [m.end() for m in re.finditer(rb"[ .\-]", line[a:b])]
+    other = next((g for g in gaps if _OTHER.match(line, a + g) and len(re.sub(rb"[^0-9]", b"", line[a : a + g])) >= 8), b - a)
+    return [a + end for end in sorted(ends, key=lambda end: (not _national_length(line[a : a + end].lstrip(b"+0").decode()), end > other, -end))]
 
 
 def iban_ends(line: bytes, a: int, b: int) -> list[int]:

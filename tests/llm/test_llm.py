@@ -159,6 +159,33 @@ def test_secrets_are_replaced_to_their_end():
     assert round_trip("token=" + "x/" * 300_000)[1] == ["secret"]
 
 
+FORMS = {
+    "phone": ["(212) 555-0123", "212-555-0123", "212.555.0123", "1-800-555-0123", "030 1234567", "(030) 1234567", "0171/1234567", "020 7946 0958", "01 42 68 53 00", "0049 30 1234567", "(017) 555-7713", "+44 (0)20 7946 0958", "+33 1 42 68 53 00"],
+    "date": ["5/1/2024", "29.2.2024", "2024-2-9", "29 February 2024", "February 29, 2024", "Feb. 29, 2024", "5 MAY 2024", "29-Feb-2024", "Sept 5, 2024", "29. Februar 2024", "3. März 2024", "29 février 2024", "29 de febrero de 2024", "31/12/1999"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "378282246310005", "3056 930902 5904"],
+}
+
+
+@pytest.mark.parametrize("kind", FORMS)
+def test_other_forms_of_values(kind):
+    for value in FORMS[kind]:
+        alone = round_trip(value)[0]
+        for text in (f"see {value}, and {value}.", f"({value})", *(f"{value} {w}" for w in VALUES.values())):
+            new, found = round_trip(text)
+            assert found[0] == kind and alone in new and value not in new, text
+        shape = lambda s: re.sub(r"[^\W\d]+", "a", re.sub(r"\d", "9", s))
+        assert shape(alone) == shape(value)
+    assert round_trip("at 2024-02-29T10:00:00Z")[1] == ["date"]
+    for text in ("(112) 555-0123 112-555-0123 212-155-0123", "31.2.2024 30 February 2024 0/1/2024", "3782 822463 10006", "0012345678 00 12", "1.2.3 10/12 2024", "may 2024 or 5 apples"):
+        assert round_trip(text) == (text, [])
+
+
+def test_dates_of_one_shape_are_a_permutation():
+    made = pii.Pseudonyms(b"k")
+    days = [f"{d}/{m}/{y}" for y in range(1900, 2100) for m in range(1, 10) for d in range(1, 10)]
+    assert sorted(map(made.date, days)) == sorted(days)
+
+
 def brute_components(rows, words=5, percent=75):
     sets = {}
     for d, t in rows:
