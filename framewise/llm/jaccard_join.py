@@ -31,6 +31,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import record_batch, stored, table, text_chunks
 from .components import connected_components
@@ -331,9 +332,15 @@ def similar_components(docs: DataFrame, rule: Similarity | None = None, id_col:
     Other columns are not read.  Texts are taken whole; no list, group or
     number of candidates is capped.
     """
-    rule = rule or Similarity()
+    rows, of = _components(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), rule or Similarity())
+    return rows.join(of.select("node", "component_id", "n_links"), "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+
+
+def _components(docs: DataFrame, rule: Similarity) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, n, node`` and nodes ``node, doc_id`` (the least), ``comp, component_id, n_links``."""
     spark = docs.sparkSession
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     survey = stored(_surveyed(docs, rule), "survey")
     rows = survey.where("kind = 0").select("doc_id", "n", "node")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -404,25 +411,24 @@ def similar_components(docs: DataFrame, rule: Similarity | None = None, id_col:
     labels = connected_components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     least_doc = labels.join(nodes, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of = labels.join(least_doc, "comp").join(degree, "node").select("node", "component_id", "n_links")
-    of = nodes.select("node", "doc_id").join(of, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(of, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    of = labels.join(least_doc, "comp").join(degree, "node").select("node", "comp", "component_id", "n_links")
+    of = nodes.select("node", "doc_id").join(of, "node", "left")
+    return rows, of.select("node", "doc_id", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rule: Similarity) -> DataFrame:
+    """``node, shingles`` of the nodes of ``wanted(node, doc_id)``; a null doc_id is sought in all rows without one."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            seen = {node_of(s): s for s in shingle_sets(texts, rule.words)}  # rows that repeat an id may differ
-            asked = batch.column(0).to_pylist()
-            found = [(node, seen[node].tobytes()) for node in dict.fromkeys(asked) if node in seen]
-            yield record_batch(schema, *(zip(*found) if found else ([], [])))
+            found = {node_of(s): s.tobytes() for s in shingle_sets(texts, rule.words) if len(s)}
+            yield record_batch(schema, list(found), list(found.values()))
 
-    made = docs.join(wanted, "doc_id").select("node", "text").mapInArrow(build, "node long, shingles binary")
-    return made.dropDuplicates(["node"])
+    ids = wanted.where("doc_id is not null").select("doc_id").distinct()
+    holders = docs.join(ids, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+    made = holders.select("doc_id", "text").mapInArrow(build, "node long, shingles binary")
+    return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])  # rows that repeat an id may differ
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,9 +436,26 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, rule: Similarity | None = None) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id (of rows that repeat it, one)."""
-    of = similar_components(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_doc")).distinct()
-    one = docs.join(of, docs["doc_id"].eqNullSafe(of["_kept_doc"]), "left_semi")
-    return one
+    """``docs`` with one row of each component: that of the least doc_id (of rows that repeat it, the least row with the least set; null ids last).
 
+    Rows are told by doc_id and set, so rows that repeat an id with different
+    texts stand for themselves.  Of rows without a set (null, empty or blank
+    text) one for each doc_id stays, null being one doc_id.
+    """
+    rule = rule or Similarity()
+    rows, of = _components(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), rule)
+    first = of.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("one"))
+    kept = first.select(F.col("one.doc_id").alias("_kept_doc"), F.col("one.node").alias("_kept_node")).union(rows.where("n = 0").select("doc_id", "node").distinct())
 
+    names = docs.columns
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            nodes = [node_of(s) if len(s) else None for s in shingle_sets(texts, rule.words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*names, "_node"])
+
+    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("_node", LongType())])).withColumn("_doc", F.col("doc_id").cast("long"))
+    held = named.join(kept, named["_node"].eqNullSafe(kept["_kept_node"]) & named["_doc"].eqNullSafe(kept["_kept_doc"]))
+    columns = [F.col(f"`{c}`") for c in names]
+    ordered = [F.col("text"), *(F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind)]
+    return held.groupBy("_node", "_doc").agg(F.min_by(F.struct(*columns), F.struct(*ordered)).alias("_row")).select("_row.*")

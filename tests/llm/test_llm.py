@@ -227,6 +227,30 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == brute_components(list(enumerate(texts)))
 
 
+def test_one_row_of_each_component_with_repeated_and_null_ids(spark):
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = [t + " more" for t in long]
+    rows = [
+        (1, long[0]), (1, long[0]), (5, near[0]),  # repeated whole, and a near copy
+        (2, long[1]), (2, long[2]), (3, long[2]), (4, near[1]), (0, near[2]),  # one id, two texts: the second is a copy of 0
+        (None, long[3]), (None, long[3]), (None, near[3]),  # copies without an id
+        (None, long[4]), (7, near[4]), (None, "only one"), (None, "only one"),
+        (8, long[5]), (8, "x y z"), (9, ""), (9, ""), (10, None),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC)
+    out = jaccard_join.keep_one_of_each(df)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    some = [x for x in got if x in ((None, long[3]), (None, near[3]))]
+    assert len(some) == 1
+    assert out.dtypes == df.dtypes and [x for x in got if x not in some] == sorted(
+        [(1, long[0]), (2, long[1]), (0, near[2]), (7, near[4]), (None, "only one"), (8, long[5]), (8, "x y z"), (9, ""), (10, None)], key=str
+    )
+    # a link that runs through a text which only rows without an id hold
+    chain = [" ".join(f"w{i}" for i in range(k, k + 60)) for k in (0, 6, 12)]
+    df = docs(spark, {1: chain[0], 2: chain[2]}).union(spark.createDataFrame([(None, chain[1], "en", "s", 0)], DOC))
+    assert [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one_of_each(df).collect()] == [(1, chain[0])]
+
+
 def test_jaccard_join_of_the_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op8_jaccard_join"](spark, SMALL).collect()}
