@@ -3,33 +3,78 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files go when the write that needed them has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where the session names none (tests, one machine), a temporary folder is made and set."""
+    """``spark.checkpoint.dir``; where the session names none and all runs on one machine (tests), a temporary folder is made and set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="framewise-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` once to the shared folder; gives the path.
+
+    What reads the table does not run ``df`` again, and a lost executor takes
+    nothing with it.  The folder goes with :func:`drop_tables`, or when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/framewise/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended already; the folder is left
-        pass
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; it goes when Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framewise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+
+
+def tables() -> list[str]:
+    """Paths of the tables that are still there, in the order they were written."""
+    return list(_written)
+
+
+def drop_tables(*paths: str) -> None:
+    for path in paths:
+        spark = _written.pop(path)
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended already; the folder is left
+            pass
+
+
+class Scratch:
+    """Tables of one run of an operator, by name, so that each goes after its last reader."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, str] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = write_table(df, name)
+        return df.sparkSession.read.schema(df.schema).parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        drop_tables(*(self.paths.pop(name) for name in names))
+
+
+atexit.register(lambda: drop_tables(*tables()))
