@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from framewise.storage import stored, write_table  # noqa: F401
+
 #: Text bytes that one numpy pass works on; bounds the memory of a task.
 CHUNK_BYTES = 1 << 20
 
@@ -29,68 +30,42 @@ def _let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, one machine) a temporary folder is
-    made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="framewise-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended already; the folder is left
-        pass
-
-
-def drop_tables(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        _remove(spark, path)
-
-
-def write_table(df: DataFrame, name: str) -> str:
-    """Write ``df`` once to the shared folder; gives the path.
-
-    This cuts the lineage: what reads the table does not run ``df`` again, and
-    a lost executor takes nothing with it.  The folder goes when Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framewise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
-
-
 def text_chunks(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most ``limit`` bytes of text (one row at least), and their texts; null is empty."""
+    """Slices of the batches with at most ``limit`` bytes of text (one row at least), and their texts.
+
+    Null is empty.  Bytes that are not UTF-8 become U+FFFD, in every operator.
+    Only the texts of one slice are Python objects at a time.
+    """
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
-        texts = [t or b"" for t in col.cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        at = batch.schema.get_field_index(text)
+        column = batch.column(at)
+        sums = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        try:
+            column.validate(full=True)
+            valid = True
+        except pa.ArrowInvalid:
+            valid = False
+        start = 0
+        while start < len(column):
+            before = int(sums[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(sums, before + limit, "right")))
+            part = batch.slice(start, stop - start)
+            texts = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+            yield part, texts if valid else [t.decode("utf-8", "replace").encode() for t in texts]
+            start = stop
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
     )
+
+
+def fresh(names: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it in any case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
