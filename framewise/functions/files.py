@@ -20,7 +20,7 @@ IMAGE_EXTENSIONS = RAW_EXTENSIONS + STANDARD_EXTENSIONS
 
 @F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
-    """Python's case folding, for the one pass that reads a collection; Spark has lower() only."""
+    """Python's case folding, for keys by which files are one family or one destination; Spark has lower() only."""
     return text.map(lambda t: None if t is None else t.casefold())
 
 
@@ -45,7 +45,7 @@ def logical_stem(name: Column) -> Column:
     """The stem of an asset's family: a sidecar of ``a.arw`` may be ``a.xmp`` or ``a.arw.xmp``."""
     outer = stem(name)
     double = extension(name).isin(*SIDECAR_EXTENSIONS) & extension(outer).isin(*IMAGE_EXTENSIONS)
-    return F.lower(F.when(double, stem(outer)).otherwise(outer))
+    return casefold(F.when(double, stem(outer)).otherwise(outer))
 
 
 def is_pruned_directory(part: Column) -> Column:
@@ -76,6 +76,36 @@ def strip_preset(text: Column) -> tuple[Column, Column]:
     return F.array_join(F.filter(parts, lambda p: ~p.startswith("preset=")), ";"), F.coalesce(F.substring(F.try_element_at(presets, F.lit(1)), 8, 1_000_000), F.lit(""))
 
 
+def byte_text(count: Column) -> Column:
+    """A size as ``512 B``, ``1.5 KiB``, ``3.0 MiB`` or ``2.0 GiB``."""
+    value, out = count.cast("double"), None
+    for i, unit in enumerate(("B", "KiB", "MiB", "GiB")):
+        text = F.concat(F.rint(value).cast("long").cast("string") if i == 0 else one_digit(value / 1024.0**i), F.lit(f" {unit}"))
+        last = unit == "GiB"
+        out = F.when(value < 1024.0 ** (i + 1), text) if out is None else out.otherwise(text) if last else out.when(value < 1024.0 ** (i + 1), text)
+    return out
+
+
+def duration_text(seconds: Column) -> Column:
+    """``1h 5m``, ``5m 3s`` or ``3s``; parts of a second round, halves to even."""
+    n = F.greatest(F.lit(0), F.rint(seconds).cast("long"))
+    h, m, s = (x.cast("string") for x in (F.floor(n / 3600), F.floor(n / 60) % 60, n % 60))
+    return F.when(n >= 3600, F.concat(h, F.lit("h "), m, F.lit("m"))).when(n >= 60, F.concat(m, F.lit("m "), s, F.lit("s"))).otherwise(F.concat(s, F.lit("s")))
+
+
+def one_digit(x: Column) -> Column:
+    """A number of at least 0 with one digit after the point, rounded as its exact binary value demands, halves to even.
+
+    With t tenths below it, 20 x less the odd number 2 t + 1 tells on which
+    side of the middle x lies; near the middle that difference is exact.
+    """
+    tenths = F.floor(x * 10)
+    odd = (2 * tenths + 1).cast("double")
+    side = (16 * x - odd) + 4 * x
+    made = tenths + F.when(side > 0, 1).when(side < 0, 0).otherwise(tenths % 2)
+    return F.concat(F.floor(made / 10).cast("string"), F.lit("."), (made % 10).cast("string"))
+
+
 def csv_safe(text: Column) -> Column:
     """A text that no spreadsheet takes for a formula."""
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)

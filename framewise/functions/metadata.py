@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -13,11 +14,26 @@ EMBEDDED, ASSUMED = "embedded_offset", "system_local_assumption"
 
 @dataclass(frozen=True)
 class CaptureTime:
-    """``micros`` since 1970 (null where the text is no time), minutes of the offset, and where the offset is from."""
+    """``column`` is a struct of ``micros`` since 1970 (null where the text is no time), minutes of the offset, and where the offset is from."""
 
-    micros: Column
-    offset_minutes: Column
-    zone_source: Column
+    column: Column
+
+    @property
+    def micros(self) -> Column:
+        return self.column["micros"]
+
+    @property
+    def offset_minutes(self) -> Column:
+        return self.column["offset_minutes"]
+
+    @property
+    def zone_source(self) -> Column:
+        return self.column["zone_source"]
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, where ``value`` is evaluated once however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def capture_time(text: Column, subsecond: Column | None = None, offset: Column | None = None, zone: str = "UTC") -> CaptureTime:
@@ -25,27 +41,41 @@ def capture_time(text: Column, subsecond: Column | None = None, offset: Column |
 
     Digits after the sixth are cut.  The text's own offset comes before
     ``offset``; without either, the time is local to ``zone``.  An impossible
-    date, time or offset gives null.
+    date, time or offset gives null.  The text is matched once.
     """
-    part = lambda i: F.regexp_extract(text, _DATE, i)
+    parts = F.split(F.when(text.rlike(_DATE), F.regexp_replace(text, _DATE, "$1-$2-$3 $4:$5:$6|$7|$8")), r"\|")  # second, fraction, offset
     extra = F.regexp_replace(subsecond, r"\D", "") if subsecond is not None else F.lit("")
-    micros = F.rpad(F.substring(F.coalesce(F.nullif(part(7), F.lit("")), extra, F.lit("")), 1, 6), 6, "0").cast("long")
-    given = F.coalesce(F.nullif(part(8), F.lit("")), F.trim(offset) if offset is not None else F.lit(""), F.lit(""))
-    number = F.regexp_replace(F.when(given.rlike(r"^[+-]\d{2}:?\d{2}$"), given), ":", "").try_cast("int")  # hours and minutes as hhmm
-    minutes = F.when(given == "Z", 0).otherwise((number / 100).cast("int") * 60 + number % 100)
-    minutes = F.when(F.abs(minutes) < 1440, minutes)
-    wall_text = F.when(text.rlike(_DATE), F.regexp_replace(text, _DATE, "$1-$2-$3 $4:$5:$6"))
-    wall = F.try_to_timestamp(wall_text, F.lit("yyyy-MM-dd HH:mm:ss"))  # in the session's zone, which is UTC
-    local = wall if zone == "UTC" else F.to_utc_timestamp(wall, zone)
-    found = F.unix_micros(F.when(given == "", local).otherwise(F.timestamp_micros(F.unix_micros(wall) - minutes.cast("long") * 60_000_000))) + micros
-    return CaptureTime(found, minutes, F.when(given == "", F.lit(ASSUMED)).otherwise(F.lit(EMBEDDED)))
+    other = F.trim(offset) if offset is not None else F.lit("")
+    given = F.struct(parts.alias("parts"), extra.alias("extra"), other.alias("other"))
+
+    def with_offset(x: Column) -> Column:
+        own = F.coalesce(F.nullif(x["parts"][2], F.lit("")), x["other"], F.lit(""))
+        wall = F.unix_micros(F.try_to_timestamp(x["parts"][0], F.lit("yyyy-MM-dd HH:mm:ss")))  # in the session's zone, which is UTC
+        micros = F.rpad(F.substring(F.coalesce(F.nullif(x["parts"][1], F.lit("")), x["extra"], F.lit("")), 1, 6), 6, "0").cast("long")
+        return _bound(F.struct(own.alias("own"), wall.alias("wall"), micros.alias("micros")), found)
+
+    def found(x: Column) -> Column:
+        number = F.regexp_replace(F.when(x["own"].rlike(r"^[+-]\d{2}:?\d{2}$"), x["own"]), ":", "").try_cast("int")  # hours and minutes as hhmm
+        minutes = F.when(x["own"] == "Z", 0).otherwise((number / 100).cast("int") * 60 + number % 100)
+        return _bound(F.struct(x["own"].alias("own"), x["wall"].alias("wall"), x["micros"].alias("micros"), F.when(F.abs(minutes) < 1440, minutes).alias("minutes")), last)
+
+    def last(x: Column) -> Column:
+        local = x["wall"] if zone == "UTC" else F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(x["wall"]), zone))
+        start = F.when(x["own"] == "", local).otherwise(x["wall"] - x["minutes"].cast("long") * 60_000_000)
+        return F.struct((start + x["micros"]).alias("micros"), x["minutes"].alias("offset_minutes"), F.when(x["own"] == "", F.lit(ASSUMED)).otherwise(F.lit(EMBEDDED)).alias("zone_source"))
+
+    return CaptureTime(_bound(given, with_offset))
 
 
 def first_time(candidates: list[tuple[str, CaptureTime]], fallback_micros: Column) -> Column:
     """``struct(micros, source, zone_source)`` of the first candidate that is a time, else of the file's own."""
-    one = lambda c, source: F.struct(c.micros.alias("micros"), F.lit(source).alias("source"), c.zone_source.alias("zone_source"))
+
+    def of(source: str) -> Callable[[Column], Column]:
+        return lambda t: F.struct(t["micros"].alias("micros"), F.lit(source).alias("source"), t["zone_source"].alias("zone_source"))
+
+    found = [_bound(c.column, of(source)) for source, c in candidates]
     fallback = F.struct(fallback_micros.alias("micros"), F.lit("filesystem_mtime").alias("source"), F.lit(ASSUMED).alias("zone_source"))
-    return F.coalesce(*(F.when(c.micros.isNotNull(), one(c, source)) for source, c in candidates), fallback)
+    return F.coalesce(F.get(F.filter(F.array(*found), lambda t: t["micros"].isNotNull()), F.lit(0)), fallback)
 
 
 def first_tag(tags: Column, *names: str) -> Column:

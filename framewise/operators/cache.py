@@ -36,8 +36,15 @@ def route(candidates: DataFrame, base: DataFrame, presets: DataFrame, signature:
     return joined.withColumn("route", way).drop("_base", "_preset")
 
 
-def migrate(legacy: DataFrame, order: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """Base and preset rows of a log whose signature held the preset; the last copy counts."""
+def migrate(legacy: DataFrame, order: str = "row_id", root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Base and preset rows of a log whose signature held the preset; the last copy counts.
+
+    With ``root``, rows go by an absolute ``file_path`` so far: they get the
+    ``relative_path`` below the root, and those of other places are left out.
+    """
+    if root is not None:
+        top = root.rstrip("/") + "/"
+        legacy = legacy.where(F.col("file_path").startswith(top)).withColumn("relative_path", F.substring("file_path", len(top) + 1, 1_000_000)).drop("file_path")
     plain, preset = strip_preset(F.col("pipeline_signature"))
     split = legacy.withColumn("preset", preset).withColumn("pipeline_signature", plain)
     base = latest(split.drop("preset", "subject_integrity"), BASE_KEY, order)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.functions.files import one_digit
 from framewise.functions.scoring import positive
 from framewise.operators.ordering import value_ranks
 from framewise.storage import stored
@@ -20,10 +21,6 @@ def whole(x: Column) -> Column:
     return F.rint(x).cast("long").cast("string")
 
 
-def one_digit(x: Column) -> Column:
-    return F.format_number(F.bround(x, 1), 1)
-
-
 def ordinal(n: Column) -> Column:
     last = F.when((n % 100).between(10, 20), F.lit("th")).otherwise(F.element_at(F.array(*map(F.lit, ("th", "st", "nd", "rd", "th", "th", "th", "th", "th", "th"))), (n % 10 + 1).cast("int")))
     return F.concat(n.cast("string"), last)
@@ -78,23 +75,24 @@ def with_burst_clause(ranked: DataFrame, aesthetic_weight: float) -> DataFrame:
     return out.withColumn("_clause", clause).drop("_me", "_first", "_second", "_better", "_worse", "_ties", "_amount", "_why", "_other", "_place")
 
 
-def standings(ranked: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def standings(ranked: DataFrame) -> DataFrame:
     """``top_percent, top_label, bottom_percent, bottom_label`` of each capture among all.
 
-    One join on each measure's distinct values; a value that many captures
-    share is one row on the small side.  ``base`` is a written table of the same
-    captures; without it one is written here, as it is read for each measure.
+    A null or NaN measure counts as 0, as it does in the score.  One join on
+    each measure's distinct values; a value that many captures share is one row
+    on the small side.  ``ranked`` is read for the counts and for the rows, so
+    it should be a written table.
     """
-    if base is None:
-        ranked = base = stored(ranked, "ranked")
+    value = lambda field: F.when(F.col(field).isNull() | F.isnan(field), F.lit(0.0)).otherwise(F.col(field).cast("double")) + F.lit(0.0)
+    ranks = value_ranks(ranked, *(value(field) for _, field in MEASURES))
     out = ranked
     tops, bottoms = [], []
     for i, (label, field) in enumerate(MEASURES):
         key = f"_v{i}"
-        ranks = value_ranks(base, F.col(field), key).select(
-            key, F.ceil(F.lit(100) * (F.col("total") - F.col("below")) / F.col("total")).alias(f"_top{i}"), F.ceil(F.lit(100) * F.col("upto") / F.col("total")).alias(f"_bottom{i}")
+        of = ranks[i].select(
+            F.col("value").alias(key), F.ceil(F.lit(100) * (F.col("total") - F.col("below")) / F.col("total")).alias(f"_top{i}"), F.ceil(F.lit(100) * F.col("upto") / F.col("total")).alias(f"_bottom{i}")
         )
-        out = out.withColumn(key, F.col(field)).join(ranks, key).drop(key)
+        out = out.withColumn(key, value(field)).join(of, key).drop(key)
         tops.append(F.struct(F.col(f"_top{i}").alias("p"), F.lit(i).alias("i"), F.lit(label).alias("label")))
         bottoms.append(F.struct(F.col(f"_bottom{i}").alias("p"), F.lit(i).alias("i"), F.lit(label).alias("label")))
     top = F.array_min(F.array(*tops))
@@ -117,9 +115,9 @@ def penalty_clauses() -> list[Column]:
 
 
 def score_reasons(ranked: DataFrame, aesthetic_weight: float = 1.0, grouped: bool = True) -> DataFrame:
-    """``ranked`` with ``score_reason``."""
-    base = stored(ranked, "ranked")
-    out = standings(with_burst_clause(base, aesthetic_weight) if grouped else base, base)
+    """``ranked``, without the embedding, with ``score_reason``."""
+    ranked = ranked.drop("embedding")
+    out = standings(stored(with_burst_clause(ranked, aesthetic_weight) if grouped else ranked, "ranked"))
     clauses = [F.col("_clause")] if grouped else []
     for side in ("top", "bottom"):
         of = F.concat(F.col(f"{side}_label"), F.lit(f" in {side} "), F.col(f"{side}_percent").cast("string"), F.lit("% of all photos"))

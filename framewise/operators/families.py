@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.functions.files import RAW_EXTENSIONS, SIDECAR_EXTENSIONS, extension, logical_stem
+from framewise.functions.files import RAW_EXTENSIONS, SIDECAR_EXTENSIONS, casefold, extension, logical_stem
 
 
 def with_family(files: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def export_plan(leads: DataFrame, files: DataFrame) -> DataFrame:
     families = with_family(leads).select("parent", "stem").distinct()
     found = with_family(files).join(families, ["parent", "stem"], "left_semi")
     path = F.concat_ws("/", "parent", "name")
-    return found.select(path.alias("source"), F.ltrim(path, F.lit("/")).alias("destination"), F.lower(path).alias("destination_key"), "size_bytes").distinct()
+    return found.select(path.alias("source"), F.ltrim(path, F.lit("/")).alias("destination"), path.alias("_path"), "size_bytes").distinct().withColumn("destination_key", casefold("_path")).select("source", "destination", "destination_key", "size_bytes")
 
 
 def collisions(plan: DataFrame) -> DataFrame:
@@ -46,6 +46,18 @@ def checked_plan(plan: DataFrame) -> DataFrame:
     return plan.withColumn("destination", ok)
 
 
+def in_order(plan: DataFrame) -> DataFrame:
+    """The plan by destination, as it is told and copied."""
+    return plan.orderBy("destination_key", "destination")
+
+
+def rated_families(selected: DataFrame) -> DataFrame:
+    """One row of ``selected(parent, name, rank, ...)`` for each family, that of the best rank, so that no sidecar is rated twice."""
+    of = with_family(selected)
+    first = of.groupBy("parent", "stem").agg(F.min_by(F.struct(*selected.columns), F.struct("rank", "name")).alias("one"))
+    return first.select("one.*", "stem")
+
+
 def family_totals(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n_bytes"))
 

@@ -54,6 +54,33 @@ def clipping(bgr: np.ndarray) -> tuple[float, float]:
     return float((pixels >= 254).any(2).mean()), float((pixels <= 1).all(2).mean())
 
 
+def draft_box(width: Column, height: Column, longest: int) -> Column:
+    """``struct(width, height)`` of the box in which a decoder may draft a picture whose longest side becomes ``longest``."""
+    part = lambda x, y: F.greatest(F.lit(1), F.rint(F.lit(float(longest)) * x / y).cast("int"))
+    box = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    whole = F.lit(longest)
+    return F.when((width <= 0) | (height <= 0), box(whole, whole)).when(width >= height, box(whole, part(height, width))).otherwise(box(part(width, height), whole))
+
+
+def oriented(pixels: np.ndarray, orientation: int) -> np.ndarray:
+    """The picture upright, by the eight values of the orientation tag; others leave it."""
+    if orientation in (5, 6, 7, 8):
+        pixels = pixels.swapaxes(0, 1)
+    if orientation in (2, 3, 6, 7):
+        pixels = pixels[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        pixels = pixels[::-1]
+    return pixels
+
+
+def perceptual_hash(gray32: np.ndarray) -> int:
+    """64 bits of a gray picture of 32 by 32: which of the lowest cosine terms are above their median, the first bit highest."""
+    n = np.arange(32)
+    terms = np.cos(np.pi * np.outer(np.arange(8), 2 * n + 1) / 64)
+    low = terms @ gray32.astype(np.float64) @ terms.T
+    return int("".join("01"[int(b)] for b in (low > np.median(low)).ravel()), 2)
+
+
 def measure_images(images: DataFrame) -> DataFrame:
     """``origin, focus_score, blown, crushed, error`` of Spark's image source; a broken image has an error, the others go on."""
 

@@ -36,13 +36,18 @@ class Ordered:
     def _joined(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(summary), PART)
 
-    def running_sum(self, value: Column, name: str, rows: DataFrame | None = None) -> DataFrame:
-        """The rows with the sum of ``value`` up to and with each row."""
+    def running_sums(self, values: dict[str, Column], rows: DataFrame | None = None) -> DataFrame:
+        """The rows with the sum of each value, by name, up to and with each row."""
         rows = self.rows if rows is None else rows
         before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # of one row a range
-        sums = rows.groupBy(PART).agg(F.sum(value).alias("_sum")).select(PART, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-        up_to = F.sum(value).over(self.within.rowsBetween(Window.unboundedPreceding, 0))
-        return self._joined(rows.withColumn(name, up_to), sums).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
+        sums = rows.groupBy(PART).agg(*(F.sum(v).alias(f"_sum_{k}") for k, v in values.items()))
+        sums = sums.select(PART, *(F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in values))
+        up_to = self.within.rowsBetween(Window.unboundedPreceding, 0)
+        joined = self._joined(rows.withColumns({k: F.sum(v).over(up_to) for k, v in values.items()}), sums)
+        return joined.withColumns({k: (F.col(k) + F.col(f"_before_{k}")).cast("long") for k in values}).drop(*(f"_before_{k}" for k in values))
+
+    def running_sum(self, value: Column, name: str, rows: DataFrame | None = None) -> DataFrame:
+        return self.running_sums({name: value}, rows)
 
     def row_number(self, name: str) -> DataFrame:
         return self.running_sum(F.lit(1), name).drop(PART, AT)
@@ -58,10 +63,15 @@ class Ordered:
         return self._joined(rows, last).select(PART, AT, *keep, *(prev[new].alias(new) for new in columns))
 
 
-def value_ranks(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """``<name>, below, upto, total`` for each distinct value: rows with a lesser one, with at most it, and all rows."""
-    counts = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
-    ordered = Ordered(counts, name, name=f"ranks-{name}")
-    summed = ordered.running_sum(F.col("n"), "upto").select(name, "n", "upto")
-    total = df.agg(F.count("*").alias("total"))  # one row
-    return summed.crossJoin(F.broadcast(total)).select(name, (F.col("upto") - F.col("n")).alias("below"), "upto", "total")
+def value_ranks(df: DataFrame, *values: Column) -> list[DataFrame]:
+    """For each of ``values`` a table ``value, below, upto, total`` of its distinct values: rows with a lesser one, with at most it, and all rows.
+
+    All are counted and ordered together.  The values are doubles and not null.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("of"), v.alias("value")) for i, v in enumerate(values))))
+    counts = df.select(each.alias("_one")).groupBy("_one.of", "_one.value").agg(F.count("*").alias("n"))
+    ordered = Ordered(counts, "of", "value", name="ranks")
+    total = ordered.rows.where("of = 0").agg(F.sum("n")).first()[0] or 0
+    upto = F.col("upto") - F.col("of") * F.lit(total)  # the values before this one had all rows each
+    summed = ordered.running_sum(F.col("n"), "upto").select("of", "value", "n", upto.alias("upto"))
+    return [summed.where(F.col("of") == i).select("value", (F.col("upto") - F.col("n")).alias("below"), "upto", F.lit(total).alias("total")) for i in range(len(values))]

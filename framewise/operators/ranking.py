@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from framewise.functions.scoring import Profile, absolute_focus, composite, multipliers, positive
 from framewise.operators.bursts import BurstRules, burst_stats, group_bursts, ungrouped
-from framewise.operators.ordering import Ordered, value_ranks
+from framewise.operators.ordering import AT, PART, Ordered, value_ranks
 
 
 def focus_percentile(captures: DataFrame, p: Profile) -> DataFrame:
     """``focus_percentile`` by mid-rank (equal values share the mean of their ranks) and ``absolute_focus_factor``."""
     value = positive(F.col("focus_score"))
-    ranks = value_ranks(captures, value, "_focus")
+    ranks = value_ranks(captures, value)[0].withColumnRenamed("value", "_focus")
     middle = (F.col("below") + F.lit(1) + F.col("upto")) / F.lit(2.0) / F.col("total")
     joined = captures.withColumn("_focus", value).join(ranks, "_focus").withColumn("focus_percentile", middle)
     return joined.withColumn("absolute_focus_factor", absolute_focus(F.col("focus_percentile"), p)).drop("_focus", "below", "upto", "total")
@@ -39,13 +39,13 @@ def global_rank(scores: DataFrame, name: str = "global_quality_rank") -> DataFra
     return Ordered(scores, F.desc("composite_score"), "path_key", name=name).row_number(name)
 
 
-def selection_rank(ranked: DataFrame) -> DataFrame:
-    """``selection_rank`` among the winners of bursts; null for the others."""
-    ordered = Ordered(ranked, F.desc("composite_score"), "path_key", name="selection")
-    counted = ordered.running_sum(F.col("burst_winner").cast("int"), "_winners")
-    return counted.withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("_winners"))).drop("_winners", "_part", "_at")
-
-
 def evaluated(captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True) -> DataFrame:
-    """All ranks of all captures."""
-    return selection_rank(global_rank(burst_ranks(scored(captures, p, rules, grouped))))
+    """All ranks of all captures; ``selection_rank`` is among the winners of bursts, null for the others.
+
+    Both ranks are sums along one order.  The embedding is of no more use after
+    the bursts and does not travel further.
+    """
+    scores = burst_ranks(scored(captures, p, rules, grouped)).drop("embedding")
+    ordered = Ordered(scores, F.desc("composite_score"), "path_key", name="evaluated")
+    ranked = ordered.running_sums({"global_quality_rank": F.lit(1), "selection_rank": F.col("burst_winner").cast("int")})
+    return ranked.withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("selection_rank"))).drop(PART, AT)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.operators.ordering import Ordered
+from framewise.operators.ordering import AT, PART, Ordered
 from framewise.storage import stored
 
 
@@ -64,11 +64,17 @@ def pool_of(ranked: DataFrame, mode: str = "bursts", feedback: str = "feedback_d
 
 
 def select_top(pool: DataFrame, count: int, pinned: Column | None = None) -> DataFrame:
-    """The pinned captures and the best others, ``count`` or as many as are pinned; ``portfolio_selection_order`` is by score."""
+    """The pinned captures and the best others, ``count`` or as many as are pinned; ``portfolio_selection_order`` is by score.
+
+    One sort of ``pool``, which should have no more columns than are wanted.
+    """
     pinned = F.lit(False) if pinned is None else F.coalesce(pinned, F.lit(False))
-    placed = Ordered(pool.withColumn("_pin", pinned), F.desc("_pin"), F.desc("composite_score"), "path_key", name="top").row_number("_place")
-    chosen = placed.where((F.col("_place") <= max(0, count)) | F.col("_pin")).drop("_pin", "_place")
-    return Ordered(chosen, F.desc("composite_score"), "path_key", name="chosen").row_number("portfolio_selection_order")
+    ordered = Ordered(pool.withColumn("_pin", pinned.cast("int")), F.desc("composite_score"), "path_key", name="top")
+    left = max(0, count - (ordered.rows.agg(F.sum("_pin")).first()[0] or 0))
+    placed = ordered.running_sums({"_pins": F.col("_pin"), "_others": 1 - F.col("_pin")})
+    chosen = placed.where((F.col("_pin") == 1) | (F.col("_others") <= left))
+    order = F.col("_pins") + F.least("_others", F.lit(left))
+    return chosen.withColumn("portfolio_selection_order", order).drop("_pin", "_pins", "_others", PART, AT)
 
 
 #: Candidates that come to the driver at once in :func:`select_diverse`.
@@ -154,11 +160,11 @@ def selection_changes(before: DataFrame, after: DataFrame, limit: int = 20) -> D
 
 
 def cut_boundary(pool: DataFrame, count: int, limit: int = 25) -> DataFrame:
-    """``side, path_key, composite_score``: the lowest chosen and the highest not chosen captures, ``limit`` of each."""
+    """``side, path_key, composite_score, place`` and what else ``pool`` has: the lowest chosen and the highest not chosen captures, ``limit`` of each."""
     placed = Ordered(pool, F.desc("composite_score"), "path_key", name="cut").row_number("place")
     inside = placed.where((F.col("place") <= count) & (F.coalesce("feedback_decision", F.lit("")) != "keep")).orderBy(F.desc("place")).limit(limit)
     outside = placed.where(F.col("place") > count).orderBy("place").limit(limit)
-    return inside.select(F.lit("in").alias("side"), "path_key", "composite_score", "place").union(outside.select(F.lit("out").alias("side"), "path_key", "composite_score", "place"))
+    return inside.withColumn("side", F.lit("in")).union(outside.withColumn("side", F.lit("out")))
 
 
 def review_groups(selected: DataFrame, ranked: DataFrame, limit: int = 100) -> DataFrame:

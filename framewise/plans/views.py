@@ -11,7 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A capture for each event.  Its paths are ASCII, so that lower case is their case folding."""
+    """A capture for each event; some have no sharpness, and some shares of pixels lie in the middle of two tenths.
+
+    Its paths are ASCII, so that lower case is their case folding.
+    """
     id_ = F.col("event_id")
     path = F.concat(F.lit("/c/"), "event_type", F.lit("/IMG_"), F.lpad(id_.cast("string"), 7, "0"), F.lit(".jpg"))
     exposed = F.lit(0.1) * ((id_ * 29) % 83) / F.lit(82.0)
@@ -19,10 +22,10 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         id_.alias("capture_id"), path.alias("file_path"), F.lower(path).alias("path_key"), F.element_at(F.split(path, "/"), -1).alias("file_name"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.when(id_ % 7 == 0, "").otherwise(F.concat(F.lit("SN"), (F.col("user_id") % 3).cast("string"))).alias("camera_serial"),
         F.concat(F.lit("M"), (F.col("user_id") % 2).cast("string")).alias("camera_model"), F.when(id_ % 5 == 0, "x").otherwise((id_ % 12).cast("string")).alias("sequence_number"),
-        F.col("value").alias("focus_score"), (F.lit(20.0) + F.lit(60.0) * ((id_ * 37) % 101) / F.lit(100.0)).alias("musiq_score"),
+        F.when(id_ % 97 != 5, F.col("value")).alias("focus_score"), (F.lit(20.0) + F.lit(60.0) * ((id_ * 37) % 101) / F.lit(100.0)).alias("musiq_score"),
         (F.lit(3.0) + F.lit(5.0) * ((id_ * 53) % 97) / F.lit(96.0)).alias("aesthetic_score"), ((id_ * F.lit(2654435761)) % F.lit(4294967296)).alias("phash"),
         F.greatest(F.lit(0.4), F.lit(1.0) - F.lit(5.0) * F.greatest(F.lit(0.0), exposed - F.lit(0.02))).alias("exposure_penalty"),
-        (F.lit(10.0) * ((id_ * 29) % 83) / F.lit(82.0)).alias("blown_pct"), F.lit(0.0).alias("crushed_pct"),
+        (((id_ * 29) % 83) / F.lit(20.0)).alias("blown_pct"), F.lit(0.0).alias("crushed_pct"),
         F.when(id_ % 10 == 0, 0.7).otherwise(1.0).alias("eye_factor"), F.when(id_ % 10 == 0, "Possible closed/obscured eyes").otherwise("").alias("eye_warning"),
         (F.lit(0.5) + F.lit(0.5) * ((id_ * 17) % 89) / F.lit(88.0)).alias("subject_integrity"), (id_ % 500).alias("vec_id"),
     )
@@ -33,11 +36,11 @@ CAPTURES = """captures AS (
   SELECT event_id AS capture_id, '/c/' || event_type || '/IMG_' || lpad(event_id::VARCHAR, 7, '0') || '.jpg' AS file_path,
     lower('/c/' || event_type || '/IMG_' || lpad(event_id::VARCHAR, 7, '0') || '.jpg') AS path_key, 'IMG_' || lpad(event_id::VARCHAR, 7, '0') || '.jpg' AS file_name,
     epoch_us(ts) AS ts_us, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'SN' || (user_id % 3)::VARCHAR END AS camera_serial, 'M' || (user_id % 2)::VARCHAR AS camera_model,
-    CASE WHEN event_id % 5 = 0 THEN 'x' ELSE (event_id % 12)::VARCHAR END AS sequence_number, value AS focus_score,
+    CASE WHEN event_id % 5 = 0 THEN 'x' ELSE (event_id % 12)::VARCHAR END AS sequence_number, CASE WHEN event_id % 97 <> 5 THEN value END AS focus_score,
     20e0 + 60e0 * ((event_id * 37) % 101) / 100e0 AS musiq_score, 3e0 + 5e0 * ((event_id * 53) % 97) / 96e0 AS aesthetic_score,
     (event_id * 2654435761) % 4294967296 AS phash,
     greatest(4e-1, 1e0 - 5e0 * greatest(0e0, 1e-1 * ((event_id * 29) % 83) / 82e0 - 2e-2)) AS exposure_penalty,
-    10e0 * ((event_id * 29) % 83) / 82e0 AS blown_pct, 0e0 AS crushed_pct, CASE WHEN event_id % 10 = 0 THEN 7e-1 ELSE 1e0 END AS eye_factor,
+    ((event_id * 29) % 83) / 20e0 AS blown_pct, 0e0 AS crushed_pct, CASE WHEN event_id % 10 = 0 THEN 7e-1 ELSE 1e0 END AS eye_factor,
     CASE WHEN event_id % 10 = 0 THEN 'Possible closed/obscured eyes' ELSE '' END AS eye_warning,
     5e-1 + 5e-1 * ((event_id * 17) % 89) / 88e0 AS subject_integrity, embedding
   FROM events JOIN embeddings ON vec_id = event_id % 500)"""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from framewise.functions import files as ff
 from framewise.functions import metadata, scoring, vectors
-from framewise.operators import bursts, cache, explain, families, feedback, ordering, ranking, selection
+from framewise.operators import bursts, cache, explain, families, feedback, incremental, ordering, ranking, selection
 from framewise.operators.bursts import BurstRules
+from framewise.operators.features import draft_box as box
 from framewise.operators.features import tile_edges
 from framewise.plans import views
 from framewise.plans.views import CAPTURES, EXIF, FEEDBACK, FILES
@@ -253,10 +254,16 @@ def xmp_rating_band(spark, sf_dir):
 
 # --- reasons ------------------------------------------------------------------
 
-_FACTORS = "[pow(greatest(0e0, {0}.aesthetic_score), 1e0), {0}.absolute_focus_multiplier * {0}.relative_focus_multiplier, {0}.musiq_multiplier, {0}.exposure_multiplier, {0}.eye_multiplier, {0}.subject_multiplier]"
-_REASONS = f"""{_ranked(BALANCED, RULES)},
+_FACTORS = "[pow(greatest(0e0, {0}.aesthetic_score), {1}::DOUBLE), {0}.absolute_focus_multiplier * {0}.relative_focus_multiplier, {0}.musiq_multiplier, {0}.exposure_multiplier, {0}.eye_multiplier, {0}.subject_multiplier]"
+
+
+def _reasons(p: scoring.Profile) -> str:
+    """Ends in the relation ``reasons``."""
+    loss = "' (-' || printf('%.0f', 1e2 * (1e0 - {0}_multiplier)) || '%)'".format
+    factors = lambda t: _FACTORS.format(t, repr(float(p.aesthetic_weight)))
+    return f"""{_ranked(p, RULES)},
 standing AS (
-  SELECT *, {", ".join(f"((100 * (count(*) OVER () - rank() OVER (ORDER BY {f}) + 1) + count(*) OVER () - 1) // count(*) OVER ())::BIGINT AS top{i}, ((100 * (rank() OVER (ORDER BY {f}) - 1 + count(*) OVER (PARTITION BY {f})) + count(*) OVER () - 1) // count(*) OVER ())::BIGINT AS bottom{i}" for i, (_, f) in enumerate(explain.MEASURES))} FROM ranked),
+  SELECT *, {", ".join(f"((100 * (count(*) OVER () - rank() OVER (ORDER BY coalesce({f}, 0e0)) + 1) + count(*) OVER () - 1) // count(*) OVER ())::BIGINT AS top{i}, ((100 * (rank() OVER (ORDER BY coalesce({f}, 0e0)) - 1 + count(*) OVER (PARTITION BY coalesce({f}, 0e0))) + count(*) OVER () - 1) // count(*) OVER ())::BIGINT AS bottom{i}" for i, (_, f) in enumerate(explain.MEASURES))} FROM ranked),
 topped AS (
   SELECT *, least(top0, top1, top2) AS top_percent, CASE least(top0, top1, top2) WHEN top0 THEN 0 WHEN top1 THEN 1 ELSE 2 END AS top_i FROM standing),
 named AS (SELECT *, CASE WHEN top_percent <= 25 THEN top_i ELSE -1 END AS no FROM topped),
@@ -264,7 +271,7 @@ both_ AS (
   SELECT *, list_min([struct_pack(p := CASE WHEN no = 0 THEN 999 ELSE bottom0 END, i := 0), struct_pack(p := CASE WHEN no = 1 THEN 999 ELSE bottom1 END, i := 1), struct_pack(p := CASE WHEN no = 2 THEN 999 ELSE bottom2 END, i := 2)]) AS low FROM named),
 stood AS (SELECT *, ['aesthetic', 'sharpness', 'technical quality'][top_i + 1] AS top_label, low.p AS bottom_percent, ['aesthetic', 'sharpness', 'technical quality'][low.i + 1] AS bottom_label FROM both_),
 gaps AS (
-  SELECT m.*, o.file_name AS other, o.composite_score AS other_score, {_FACTORS.format("m")} AS mine, {_FACTORS.format("o")} AS theirs
+  SELECT m.*, o.file_name AS other, o.composite_score AS other_score, {factors("m")} AS mine, {factors("o")} AS theirs
   FROM stood m LEFT JOIN ranked o ON o.burst_id = m.burst_id AND o.burst_rank = CASE WHEN m.burst_rank = 1 THEN 2 ELSE 1 END),
 turned AS (SELECT *, CASE WHEN burst_rank = 1 THEN mine ELSE theirs END AS hi, CASE WHEN burst_rank = 1 THEN theirs ELSE mine END AS lo, greatest(composite_score, other_score) AS high, least(composite_score, other_score) AS low_score FROM gaps),
 ratioed AS (
@@ -284,19 +291,27 @@ reasons AS (
       ELSE place || 'scored ' || amount || ' lower than ' || other || why END,
     CASE WHEN top_percent <= 25 THEN top_label || ' in top ' || top_percent::VARCHAR || '% of all photos' END,
     CASE WHEN bottom_percent <= 25 THEN bottom_label || ' in bottom ' || bottom_percent::VARCHAR || '% of all photos' END,
-    CASE WHEN exposure_multiplier <= 0.95 THEN 'clipping (-' || printf('%.0f', 1e2 * (1e0 - exposure_multiplier)) || '%): ' || printf('%.1f', blown_pct) || '% highlights blown, ' || printf('%.1f', crushed_pct) || '% shadows crushed' END,
-    CASE WHEN eye_warning <> '' THEN lower(eye_warning[1]) || eye_warning[2:] END) AS score_reason FROM texts)"""
+    CASE WHEN exposure_multiplier <= 0.95 THEN 'clipping' || {loss("exposure")} || ': ' || printf('%.1f', blown_pct) || '% highlights blown, ' || printf('%.1f', crushed_pct) || '% shadows crushed' END,
+    CASE WHEN eye_multiplier <= 0.95 THEN CASE WHEN eye_warning <> '' THEN lower(eye_warning[1]) || eye_warning[2:] ELSE 'eye check' END || {loss("eye")}
+      WHEN eye_warning <> '' THEN lower(eye_warning[1]) || eye_warning[2:] END,
+    CASE WHEN subject_multiplier <= 0.95 THEN 'weak subject check' || {loss("subject")} END) AS score_reason FROM texts)"""
 
 
-@query(f"WITH RECURSIVE {_REASONS} SELECT capture_id, top_percent, top_label, bottom_percent, bottom_label FROM reasons")
+@query(f"WITH RECURSIVE {_reasons(BALANCED)} SELECT capture_id, top_percent, top_label, bottom_percent, bottom_label FROM reasons")
 def standing_percent(spark, sf_dir):
     return explain.standings(_captures(spark, sf_dir)).select("capture_id", "top_percent", "top_label", "bottom_percent", "bottom_label")
 
 
-@query(f"WITH RECURSIVE {_REASONS} SELECT capture_id, score_reason FROM reasons")
-def score_reason(spark, sf_dir):
-    ranked = ranking.burst_ranks(_scores(spark, sf_dir))
-    return explain.score_reasons(ranked).select("capture_id", "score_reason")
+def _reason_query(name: str, p: scoring.Profile) -> None:
+    @query(f"WITH RECURSIVE {_reasons(p)} SELECT capture_id, score_reason FROM reasons", name=name)
+    def run(spark, sf_dir):
+        ranked = ranking.burst_ranks(_scores(spark, sf_dir, p))
+        return explain.score_reasons(ranked, p.aesthetic_weight).select("capture_id", "score_reason")
+
+
+_reason_query("score_reason", BALANCED)
+_reason_query("score_reason_wildlife", scoring.PROFILES["wildlife"])
+_reason_query("score_reason_portrait", scoring.PROFILES["portrait"])
 
 
 # --- feedback, selection, validation -------------------------------------------
@@ -327,17 +342,18 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_feedback(spark, sf_dir, ranking.burst_ranks(_scores(spark, sf_dir)))
 
 
+_NARROW = ("capture_id", "path_key", "composite_score", "feedback_decision")
 _KEPT = "burst_winner OR feedback_decision = 'keep'"
 
 
 @query(f"""WITH RECURSIVE {_POOL} SELECT capture_id, row_number() OVER (ORDER BY composite_score DESC, path_key) AS portfolio_selection_order FROM (SELECT * FROM marked WHERE ({_KEPT}) AND feedback_decision <> 'reject' ORDER BY composite_score DESC, path_key LIMIT 200)""")
 def select_topk_bursts(spark, sf_dir):
-    return selection.select_top(selection.pool_of(_marked(spark, sf_dir)), 200).select("capture_id", "portfolio_selection_order")
+    return selection.select_top(selection.pool_of(_marked(spark, sf_dir)).select(*_NARROW), 200).select("capture_id", "portfolio_selection_order")
 
 
 @query(f"""WITH RECURSIVE {_POOL} SELECT capture_id, row_number() OVER (ORDER BY composite_score DESC, path_key) AS portfolio_selection_order FROM (SELECT *, row_number() OVER (ORDER BY feedback_decision = 'keep' DESC, composite_score DESC, path_key) AS k FROM marked WHERE feedback_decision <> 'reject') WHERE k <= 300 OR feedback_decision = 'keep'""")
 def select_with_pins(spark, sf_dir):
-    pool = selection.pool_of(_marked(spark, sf_dir), "photos")
+    pool = selection.pool_of(_marked(spark, sf_dir), "photos").select(*_NARROW)
     return selection.select_top(pool, 300, F.col("feedback_decision") == "keep").select("capture_id", "portfolio_selection_order")
 
 
@@ -375,7 +391,7 @@ other AS (SELECT *, row_number() OVER (ORDER BY aesthetic_score DESC, path_key)
 @query(f"""WITH {_SELECTIONS} (SELECT 'entered' AS change, capture_id FROM other WHERE r2 <= 300 AND global_quality_rank > 300 ORDER BY aesthetic_score, path_key DESC LIMIT 20)
 UNION ALL (SELECT 'left', capture_id FROM other WHERE global_quality_rank <= 300 AND r2 > 300 ORDER BY composite_score DESC, path_key LIMIT 20)""")
 def selection_diff(spark, sf_dir):
-    rows = _scores(spark, sf_dir, grouped=False)
+    rows = _scores(spark, sf_dir, grouped=False).select("capture_id", "path_key", "composite_score", "aesthetic_score")
     before = selection.select_top(rows, 300)
     after = selection.select_top(rows.withColumn("composite_score", F.col("aesthetic_score")), 300)
     changed = selection.selection_changes(before, after)
@@ -385,8 +401,7 @@ def selection_diff(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_POOL}, cut AS (SELECT *, row_number() OVER (ORDER BY composite_score DESC, path_key) AS place FROM marked WHERE ({_KEPT}) AND feedback_decision <> 'reject')
 (SELECT 'in' AS side, capture_id, place FROM cut WHERE place <= 150 AND feedback_decision <> 'keep' ORDER BY place DESC LIMIT 25) UNION ALL (SELECT 'out', capture_id, place FROM cut WHERE place > 150 ORDER BY place LIMIT 25)""")
 def cut_boundary(spark, sf_dir):
-    pool = selection.pool_of(_marked(spark, sf_dir))
-    return selection.cut_boundary(pool, 150).join(pool.select("path_key", "capture_id"), "path_key").select("side", "capture_id", "place")
+    return selection.cut_boundary(selection.pool_of(_marked(spark, sf_dir)).select(*_NARROW), 150).select("side", "capture_id", "place")
 
 
 @query(f"""WITH RECURSIVE {_ranked(BALANCED, RULES)}, firsts AS (SELECT burst_id, min(global_quality_rank) AS place FROM ranked WHERE burst_winner GROUP BY burst_id),
@@ -516,6 +531,99 @@ def cache_migrate(spark, sf_dir):
     return base.select("relative_path", F.lit("").alias("preset"), F.col("focus_score").alias("score")).union(presets.select("relative_path", "preset", F.round("subject_integrity", 6)))
 
 
+@query("""SELECT '/c/' || (event_id % 97)::VARCHAR AS key, 'algorithm=' || (event_id % 2)::VARCHAR AS signature, arg_max(value, event_id) AS focus_score
+FROM events WHERE event_id % 4 <> 3 GROUP BY event_id % 97, event_id % 2""")
+def cache_rekeyed(spark, sf_dir):
+    id_ = F.col("event_id")
+    path = F.concat(F.when(id_ % 4 == 3, "/elsewhere/c/").otherwise("/root//c/"), (id_ % 97).cast("string"))
+    legacy = views.table(spark, sf_dir, "events").select(
+        F.regexp_replace(path, "//", "/").alias("file_path"), F.concat(F.lit("algorithm="), (id_ % 2).cast("string"), F.when(id_ % 3 == 0, ";preset=portrait").otherwise("")).alias("pipeline_signature"),
+        F.col("value").alias("focus_score"), F.lit(1.0).alias("subject_integrity"), id_.alias("row_id"),
+    )
+    base, _ = cache.migrate(legacy, root="/root")
+    return base.select(F.concat(F.lit("/"), "relative_path").alias("key"), F.col("pipeline_signature").alias("signature"), "focus_score")
+
+
+# --- incremental runs -------------------------------------------------------------------
+
+
+def _run(spark: SparkSession, sf_dir: str, mode: str) -> tuple[incremental.Run, DataFrame]:
+    """The kept rows of :func:`views.cache`, a model that fails on some rows, and files that change meanwhile."""
+    base, presets = views.cache(spark, sf_dir)
+    id_ = F.col("event_id")
+    files = views.table(spark, sf_dir, "events").select(
+        id_.alias("capture_id"), F.concat(F.lit("/r/d/"), id_.cast("string")).alias("file_path"), F.concat(F.lit("d/"), id_.cast("string")).alias("relative_path"),
+        (F.lit(1000) + id_).alias("size_bytes"), (id_ * 7).alias("modified_ns"),
+    )
+    base = base.withColumn("focus_score", F.col("capture_id") * 0.5).drop("capture_id")
+    presets = presets.withColumn("subject_integrity", F.lit(0.9))
+    error = F.when(F.col("capture_id") % 17 == 0, "ValueError: no picture")
+    evaluate = lambda rows: rows.withColumns({"focus_score": F.col("capture_id") * 2.0, "subject_integrity": F.lit(0.7), "error": error})
+    refresh = lambda rows: rows.withColumn("subject_integrity", F.lit(0.8))
+    rescan = files.where("capture_id % 19 <> 0").withColumn("modified_ns", F.col("modified_ns") + F.when(F.col("capture_id") % 23 == 0, 1).otherwise(0))
+    return incremental.run(files, base, presets, "algorithm=5", "wildlife", evaluate, refresh, rescan, mode=mode), files
+
+
+_ROUTED = """kept AS (SELECT event_id, event_id % 3 <> 0 AND event_id % 13 <> 0 AND event_id % 11 <> 0 AND {0} AS base, event_id % 2 = 0 AS preset FROM events),
+ways AS (SELECT event_id, CASE WHEN NOT base THEN 'miss' WHEN preset THEN 'hit' ELSE 'preset' END AS route FROM kept),
+told AS (SELECT event_id, route, CASE WHEN route <> 'miss' THEN NULL WHEN event_id % 17 = 0 THEN 'ValueError' WHEN event_id % 19 = 0 OR event_id % 23 = 0 THEN 'RuntimeError' END AS error FROM ways)"""
+
+
+def _run_queries(mode: str, known: str) -> None:
+    ways = _ROUTED.format(known)
+
+    @query(f"""WITH {ways} SELECT event_id AS capture_id, route <> 'miss' AS cache_hit, event_id * CASE WHEN route = 'miss' THEN 2e0 ELSE 5e-1 END AS focus_score,
+  CASE route WHEN 'hit' THEN 9e-1 WHEN 'preset' THEN 8e-1 ELSE 7e-1 END AS subject_integrity FROM told WHERE error IS NULL""", name=f"incremental_records_{mode}")
+    def records(spark, sf_dir):
+        return _run(spark, sf_dir, mode)[0].records.select("capture_id", "cache_hit", "focus_score", "subject_integrity")
+
+    @query(f"""WITH {ways} SELECT count(*) AS discovered, count(*) FILTER (route <> 'miss') AS cached, count(*) FILTER (route = 'preset') AS refreshed,
+  count(*) FILTER (route = 'miss' AND error IS NULL) AS evaluated, count(error) AS failed FROM told""", name=f"phase_counts_{mode}")
+    def counts(spark, sf_dir):
+        return incremental.phase_counts(*_run(spark, sf_dir, mode))
+
+
+_run_queries("use", "true")
+_run_queries("refresh", "false")
+
+
+@query(f"""WITH {_ROUTED.format("true")} SELECT '/r/d/' || event_id::VARCHAR AS file_path, CASE error WHEN 'ValueError' THEN 'evaluation' ELSE 'checkpoint' END AS stage, error AS error_type,
+  CASE error WHEN 'ValueError' THEN 'no picture' ELSE 'File changed while it was being evaluated' END AS message FROM told WHERE error IS NOT NULL""")
+def incremental_failures(spark, sf_dir):
+    return reports.report_rows(_run(spark, sf_dir, "use")[0].failures, reports.FAILURE_COLUMNS)
+
+
+@query("""SELECT event_id AS capture_id, CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 0 THEN 'T' || (event_id % 5)::VARCHAR ELSE 'E' || (event_id % 7)::VARCHAR END AS camera_model,
+  CASE WHEN event_id % 3 = 0 THEN event_id * 2 ELSE event_id END AS ts_us FROM events""")
+def tags_over_embedded(spark, sf_dir):
+    id_ = F.col("event_id")
+    rows = views.table(spark, sf_dir, "events").select(id_.alias("capture_id"), F.concat(F.lit("/r/"), id_.cast("string")).alias("file_path"), F.concat(F.lit("E"), (id_ % 7).cast("string")).alias("camera_model"), id_.alias("ts_us"))
+    tags = rows.where("capture_id % 3 = 0").select("file_path", F.when(F.col("capture_id") % 4 == 0, "").otherwise(F.concat(F.lit("T"), (F.col("capture_id") % 5).cast("string"))).alias("camera_model"), (F.col("capture_id") * 2).alias("ts_us"))
+    return incremental.with_tags(rows, tags, "camera_model", "ts_us").select("capture_id", "camera_model", "ts_us")
+
+
+@query(f"WITH {FILES} SELECT file_id FROM (SELECT *, row_number() OVER (PARTITION BY parent, {_STEM} ORDER BY (file_id * 37) % 101, name) AS k FROM files) WHERE k = 1")
+def rated_families(spark, sf_dir):
+    return families.rated_families(views.files(spark, sf_dir).withColumn("rank", (F.col("file_id") * 37) % 101)).select("file_id")
+
+
+@query("""SELECT event_id, CASE WHEN w <= 0 OR h <= 0 THEN 1024 WHEN w >= h THEN 1024 ELSE greatest(1, round_even(1024e0 * w / h, 0)::INT) END AS box_width,
+  CASE WHEN w <= 0 OR h <= 0 THEN 1024 WHEN w >= h THEN greatest(1, round_even(1024e0 * h / w, 0)::INT) ELSE 1024 END AS box_height FROM (SELECT event_id, (event_id * 7) % 6000 AS w, (event_id * 11) % 4500 AS h FROM events)""")
+def draft_box(spark, sf_dir):
+    id_ = F.col("event_id")
+    made = box((id_ * 7) % 6000, (id_ * 11) % 4500, 1024)
+    return views.table(spark, sf_dir, "events").select("event_id", made["width"].alias("box_width"), made["height"].alias("box_height"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024e0) || ' KiB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576e0) || ' MiB' ELSE printf('%.1f', n / 1073741824e0) || ' GiB' END AS size,
+  CASE WHEN s >= 3600 THEN (s // 3600)::VARCHAR || 'h ' || (s // 60 % 60)::VARCHAR || 'm' WHEN s >= 60 THEN (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS took
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 2000 WHEN 1 THEN (o_orderkey % 5000) * 205 WHEN 2 THEN (o_orderkey % 9999) * 104858 ELSE (o_orderkey % 9999) * 1073742 END AS n, greatest(0, round_even(o_orderkey % 9000 / 2e0 - 10, 0)::BIGINT) AS s FROM orders)""")
+def size_and_duration_text(spark, sf_dir):
+    k = F.col("o_orderkey")
+    n = F.when(k % 4 == 0, k % 2000).when(k % 4 == 1, (k % 5000) * 205).when(k % 4 == 2, (k % 9999) * 104858).otherwise((k % 9999) * 1073742)
+    return views.table(spark, sf_dir, "orders").select("o_orderkey", ff.byte_text(n).alias("size"), ff.duration_text((k % 9000) / F.lit(2.0) - 10).alias("took"))
+
+
 # --- metadata -----------------------------------------------------------------------
 
 _TIME = r"""CASE WHEN {0} = '' OR try_cast(substr({0}, 1, 4) || '-' || substr({0}, 6, 2) || '-' || substr({0}, 9, 11) AS TIMESTAMP) IS NULL THEN NULL

@@ -6,6 +6,7 @@ import html
 import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,25 @@ def iso_times(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, *order: str) -> None:
-    """A CSV folder, sorted over all its files; an earlier one is replaced when the new one is whole."""
-    (rows.orderBy(*order) if order else rows).write.mode("overwrite").option("header", True).csv(path)
+    """A CSV folder, sorted over all its files.
+
+    It is written aside; when it is whole, an earlier one makes way and the
+    new one takes the name.  Whatever fails before leaves the earlier one.
+    """
+    aside, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{word}" for word in ("part", "old"))
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    here, new, before = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, old))
+    files = here.getFileSystem(conf)
+    try:
+        (rows.orderBy(*order) if order else rows).write.option("header", True).csv(aside)
+        if files.exists(here):
+            files.rename(here, before)
+        if not files.rename(new, here):
+            files.rename(before, here)
+            raise OSError(f"{aside} could not take the name {path}")
+    finally:
+        for left in (new, before):
+            files.delete(left, True)
 
 
 def feedback_template(ranked: DataFrame) -> DataFrame:

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import types
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framewise import storage
 from framewise.functions import files as ff
 from framewise.functions import metadata, vectors
 from framewise.functions.scoring import PROFILES
-from framewise.operators import explain, families, features, feedback, ranking, selection
+from framewise.operators import explain, families, features, feedback, incremental, ranking, selection
 from framewise.operators.bursts import BurstRules, group_bursts
 from framewise.operators.ordering import Ordered, value_ranks
+from framewise.sinks import export
 from framewise.sinks.export import copy_plan, rated_xmp
-from framewise.sinks.reports import review_page
+from framewise.sinks.reports import review_page, write_csv
+from framewise.sinks.run_log import RunLog, append_failures
 from framewise.sources import files as fs
 
 SCHEMA = "file_path string, path_key string, file_name string, ts_us long, sequence_number string, camera_serial string, camera_model string, phash long, embedding array<float>, focus_score double, musiq_score double, aesthetic_score double, exposure_penalty double, eye_factor double, eye_warning string, subject_integrity double, blown_pct double, crushed_pct double"
@@ -213,7 +221,100 @@ def test_order_over_ranges_equals_a_plain_sort(spark):
     assert [(r["k"], r["id"]) for r in got] == want and [r["n"] for r in got] == list(range(1, 501))
     before = {r["id"]: r["p"] for r in ordered.lag({"p": "id"}).collect()}
     assert before == {b[1]: (want[i - 1][1] if i else None) for i, b in enumerate(want)}
-    assert value_ranks(rows.limit(0), F.col("k"), "v").count() == 0
+    assert value_ranks(rows.limit(0), F.col("k"))[0].count() == 0
+
+
+def test_one_digit_rounds_as_python_does(spark):
+    values = [i / 20 for i in range(0, 200)] + [0.35, 2.45, 1.15, 0.25, 99.95, 0.05, 0.04999999999999999, 12.349999999999998, 7.0]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", ff.one_digit(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{r['x']:.1f}" for r in got]
+
+
+def test_standings_keep_rows_without_a_measure(spark):
+    rows = captures(spark, [("a", 0, {"focus_score": None}), ("b", 60, {"musiq_score": float("nan")}), ("c", 120, {"aesthetic_score": None}), ("d", 180, {})])
+    assert explain.standings(rows).count() == 4
+    scored = explain.score_reasons(ranking.burst_ranks(ranking.scored(rows, PROFILES["balanced"])))
+    assert scored.where("score_reason is not null").count() == 4
+
+
+def test_pictures():
+    p = np.arange(6).reshape(2, 3)
+    turned = {1: p, 2: p[:, ::-1], 3: p[::-1, ::-1], 4: p[::-1], 5: p.T, 6: np.rot90(p, -1), 7: p[::-1, ::-1].T, 8: np.rot90(p)}
+    for o, want in turned.items():
+        assert np.array_equal(features.oriented(p, o), want), o
+    picture = np.random.default_rng(2).integers(0, 256, (32, 32)).astype(float)
+    term = lambda u, v: sum(picture[i, j] * np.cos(np.pi * u * (2 * i + 1) / 64) * np.cos(np.pi * v * (2 * j + 1) / 64) for i in range(32) for j in range(32))
+    low = np.array([[term(u, v) for v in range(8)] for u in range(8)])
+    assert f"{features.perceptual_hash(picture):064b}" == "".join(str(int(x > np.median(low))) for x in low.ravel())
+
+
+def test_csv_and_log(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "=1"), ("a", "x")], "k string, v string")
+    path = str(tmp_path / "out")
+    write_csv(rows, path, "k")
+    write_csv(rows.where("k = 'a'"), path, "k")
+    assert spark.read.option("header", True).csv(path).count() == 1 and os.listdir(tmp_path) == ["out"]
+    bad = rows.select("k", F.when(F.col("k") == "a", F.raise_error(F.lit("no"))).otherwise("y").alias("v"))
+    with pytest.raises(Exception, match="no"):
+        write_csv(bad, path)
+    assert spark.read.option("header", True).csv(path).count() == 1 and os.listdir(tmp_path) == ["out"]
+    log = RunLog(str(tmp_path / "run"), {"preset": "balanced"})
+    log.phase("lookup")
+    log.counts(spark.createDataFrame([(3, 1)], "discovered long, failed long"))
+    append_failures(spark.createDataFrame([], incremental.FAILURE), log.folder)
+    append_failures(spark.createDataFrame([("/x", "decode", "ValueError", "=bad")], incremental.FAILURE), log.folder)
+    log.output("report", path)
+    log.finish()
+    told = json.loads((tmp_path / "run/run.json").read_text())
+    assert told["status"] == "completed" and told["counts"] == {"discovered": 3, "failed": 1} and set(told["timings_seconds"]) == {"initializing", "lookup"}
+    assert [r["message"] for r in spark.read.option("header", True).csv(f"{log.folder}/failures").collect()] == ["'=bad"]
+    with pytest.raises(FileExistsError):
+        RunLog(log.folder, {})
+    with pytest.raises(RuntimeError):
+        incremental.some(rows.limit(0))
+
+
+def test_export_checks_its_sources(spark, tmp_path):
+    (tmp_path / "x.jpg").write_bytes(b"12")
+    os.symlink(tmp_path / "x.jpg", tmp_path / "l.jpg")
+    plan = lambda *names: spark.createDataFrame([(str(tmp_path / n), f"o/{n}", f"o/{n}") for n in names], "source string, destination string, destination_key string")
+    for bad in ("l.jpg", "missing.jpg"):
+        with pytest.raises(Exception, match="regular"):
+            export.copy_plan(plan("x.jpg", bad), str(tmp_path / "out"))
+        assert sorted(os.listdir(tmp_path)) == ["l.jpg", "x.jpg"]
+    assert export.required_bytes(plan("x.jpg", "missing.jpg")) == 2
+    export.link_or_copy(export.preview(spark.createDataFrame([(str(tmp_path / "x.jpg"), 3)], "source string, place int"), str(tmp_path / "p")))
+    assert (tmp_path / "p/0003_x.jpg").read_bytes() == b"12"
+    two = '<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xmp="http://ns.adobe.com/xap/1.0/"><rdf:RDF><rdf:Description rdf:about="a"/><rdf:Description rdf:about="b" xmp:Rating="1"/></rdf:RDF></x:xmpmeta>'
+    made = rated_xmp(two, 4)
+    assert made.count("Rating") == 1 and re.search('about="b"[^>]*Rating="4"', made)
+
+
+def test_scan_of_many_folders(spark, tmp_path, monkeypatch):
+    for i in range(12):
+        (tmp_path / f"d{i % 3}/e{i}/f").mkdir(parents=True)
+        (tmp_path / f"d{i % 3}/e{i}/f/{i}.jpg").write_bytes(b"x")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/made.jpg").write_bytes(b"x")
+    for shares in (1, 3, 7, 100):
+        monkeypatch.setattr(fs, "SHARES", shares)
+        reader = fs._Reader(str(tmp_path), str(tmp_path / "out"))
+        found = sorted(os.path.basename(r[0]) for part in reader.partitions() for r in reader.read(part))
+        assert found == sorted(f"{i}.jpg" for i in range(12))
+    assert fs.scan(spark, str(tmp_path), str(tmp_path / "out")).count() == 12 and fs.scan(spark, str(tmp_path)).count() == 13
+
+
+def test_the_shared_folder_is_named_on_a_cluster():
+    conf = types.SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://host:7077")))
+
+
+def test_files_whose_names_fold_alike_collide(spark):
+    rows = spark.createDataFrame([("/a", "straße.jpg", 1), ("/a", "STRASSE.arw", 2)], "parent string, name string, size_bytes long")
+    assert {r["stem"] for r in families.with_family(rows).collect()} == {"strasse"}
+    again = rows.union(spark.createDataFrame([("/a", "STRASSE.jpg", 3)], rows.schema))
+    assert families.collisions(families.export_plan(again, again)).count() == 1
 
 
 def test_small_expressions(spark):
