@@ -3,8 +3,10 @@
 An inverted file: coarse centroids, and product-quantised residuals below each.
 Centroids and codebooks are fitted on a bounded sample; every vector is
 indexed.  A query visits the cells of the largest inner products, ranks their
-vectors by asymmetric distance tables, and reranks the best by the exact
-product of the original vectors in double precision.
+vectors by asymmetric distance tables into one short list over all its cells,
+and reranks that list by the exact product of the original vectors in double
+precision.  A query that finds fewer than it asked for is searched again in
+all cells, exactly.
 """
 
 from __future__ import annotations
@@ -12,31 +14,46 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import record_batch, stored, table
+from framewise.storage import Scratch
+
+from .common import record_batch, table
 
 
 @dataclass(frozen=True)
 class IvfPq:
-    """``sample``: vectors to fit on, at most.  ``probe``: the share of cells that a query visits.
+    """``sample``: vectors to fit on, at most.  ``cell_size``: rows for each cell, up to ``max_cells`` cells.
 
-    ``rerank``: vectors of a block of a cell whose exact product is computed.
-    ``cell_rows`` and ``query_rows``: rows of a cell, and queries, in one task's block.
+    ``recall``: the share of the sample's own nearest vectors that lie in the
+    cells visited; so many cells are visited as that takes (at least
+    ``min_probe``).  ``short_list``: vectors of a query whose exact product is
+    computed, about, of all cells together.  ``cell_rows`` and ``query_rows``:
+    rows of a cell, and queries, in one task's block.
     """
 
     sample: int = 20_000
+    cell_size: int = 1024
     max_cells: int = 1024
-    probe: float = 0.75
+    recall: float = 0.975
+    min_probe: int = 4
     subspaces: int = 16
-    rerank: int = 200
-    cell_rows: int = 20_000
-    query_rows: int = 4_000
-    rounds: int = 12
+    short_list: int = 500
+    cell_rows: int = 50_000
+    query_rows: int = 20_000
+    rounds: int = 10
+
+
+#: Trial queries on the sample, and vectors of it by which a query's cut is set.
+TRIALS, REFERENCE = 256, 4096
+#: Queries whose tables are read at once.
+AT_ONCE = 128
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -47,8 +64,7 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
         distance = (centres**2).sum(1)[None] - 2 * x @ centres.T
         near = distance.argmin(1)
         n = np.bincount(near, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
+        sums = np.stack([np.bincount(near, x[:, j], len(centres)) for j in range(x.shape[1])], 1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
         if (empty := np.flatnonzero(n == 0)).size:
             far = np.argsort(-(distance[np.arange(len(x)), near] + (x**2).sum(1)), kind="stable")
@@ -57,12 +73,34 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, x: np.ndarray, rows: int, options: IvfPq) -> None:
+    """Cells, codebooks, how many cells a query visits, and reference vectors; ``rows`` is the size of the whole table."""
+
+    def __init__(self, x: np.ndarray, rows: int, k: int, options: IvfPq) -> None:
         x = x.astype(np.float64)
-        self.cells = k_means(x, max(1, min(options.max_cells, round(math.sqrt(max(rows, 1))))), options.rounds, 1)
-        rest = x - self.cells[self.cell_of(x)]
+        n_cells = min(options.max_cells, max(16, round(rows / options.cell_size)))
+        self.cells = k_means(x, n_cells, options.rounds, 1)
+        cell = self.cell_of(x)
+        rest = x - self.cells[cell]
         self.cuts = np.linspace(0, x.shape[1], min(options.subspaces, x.shape[1]) + 1).astype(int)
         self.books = [k_means(rest[:, a:b], 256, options.rounds, 2) for a, b in zip(self.cuts, self.cuts[1:])]
+        self.probes = max(min(options.min_probe, len(self.cells)), self._probes(x, cell, k, options.recall))
+        self.reference = x[:REFERENCE]
+        self.share = min(1.0, options.short_list / max(rows, 1))
+
+    def _probes(self, x: np.ndarray, cell: np.ndarray, k: int, recall: float) -> int:
+        """The cells that hold the share ``recall`` of the nearest ``k`` of trial queries within the sample, by the order in which a query visits them."""
+        trials = np.arange(min(TRIALS, len(x)))
+        score = x[trials] @ x.T
+        score[trials, trials] = -np.inf
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return len(self.cells)
+        best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        visits = np.argsort(-(x[trials] @ self.cells.T), axis=1, kind="stable")
+        turn = np.empty_like(visits)
+        np.put_along_axis(turn, visits, np.arange(len(self.cells))[None], 1)
+        turns = np.sort(np.take_along_axis(turn, cell[best], 1).ravel())
+        return int(turns[min(len(turns) - 1, math.ceil(recall * len(turns)) - 1)]) + 1
 
     def cell_of(self, x: np.ndarray) -> np.ndarray:
         return ((self.cells**2).sum(1)[None] - 2 * x @ self.cells.T).argmin(1)
@@ -72,11 +110,23 @@ class Model:
         near = [((b**2).sum(1)[None] - 2 * rest[:, i:j] @ b.T).argmin(1) for b, i, j in zip(self.books, self.cuts, self.cuts[1:])]
         return np.stack(near, 1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each query's parts with all code words, 256 for each subspace."""
-        out = np.zeros((len(q), len(self.books), 256), np.float32)
+    def cut(self, q: np.ndarray) -> np.ndarray:
+        """For each query the product that about a short list of all vectors reaches, as told by the reference vectors.
+
+        Where the list is a smaller share than eight of these, the tail of a
+        normal distribution goes on from there.
+        """
+        score = np.sort(q @ self.reference.T, axis=1)
+        place = math.ceil(self.share * score.shape[1])
+        if place >= min(8, score.shape[1]):
+            return score[:, score.shape[1] - place]
+        return np.maximum(score[:, -8], score.mean(1) + score.std(1) * NormalDist().inv_cdf(1 - self.share))
+
+    def about(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """A row for each vector of the cell, a column for each query: the products by distance tables."""
+        out = np.repeat((q @ self.cells[cell])[None].astype(np.float32), len(codes), 0)
         for k, (b, i, j) in enumerate(zip(self.books, self.cuts, self.cuts[1:])):
-            out[:, k, : len(b)] = q[:, i:j] @ b.T
+            out += (b @ q[:, i:j].T).astype(np.float32)[codes[:, k]]  # the table of one subspace: a row for each code word
         return out
 
 
@@ -89,14 +139,9 @@ def _best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(score == limit)[: n - len(above)]])
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
-
-
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, v`` (doubles) of the vectors that take part: not null or zero, all components finite."""
-    v = vectors[vector_col].cast("array<double>")
-    chosen = vectors.select(vectors[id_col].cast("long").alias("vec_id"), v.alias("v"))
+    """``vec_id, v`` of the vectors that take part: not null or zero, all components finite."""
+    chosen = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return chosen.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
@@ -104,7 +149,7 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, options: IvfPq | None = None, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row of ``queries`` in ``vectors``, without itself.
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row of ``queries`` in ``vectors``, without itself (all others, if fewer).
 
     Nearest is the largest inner product; ties go to the smaller vec_id.  Null
     and zero vectors, those with null or non-finite components, those of
@@ -114,8 +159,10 @@ def nearest(
     no rows; other columns are not read.
     """
     options = options or IvfPq()
-    spark = vectors.sparkSession
-    x, q = valid_vectors(vectors, id_col, vector_col), valid_vectors(queries, id_col, vector_col)
+    spark, scratch = vectors.sparkSession, Scratch()
+    wide = not all(isinstance(df.schema[c].dataType.elementType, FloatType) for df, c in ((vectors, vector_col), (queries, vector_col)))
+    kind = np.dtype("<f8" if wide else "<f4")
+    x, q = (valid_vectors(df, id_col, vector_col).withColumn("v", F.col("v").cast("array<double>" if wide else "array<float>")) for df in (vectors, queries))
     sizes = x.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     result = "query_id long, rank int, vec_id long, score double"
     if not sizes:
@@ -123,81 +170,113 @@ def nearest(
     dim, rows = sizes[0]["d"], sizes[0]["count"]
     x, q = x.where(F.size("v") == dim), q.where(F.size("v") == dim)
     q = q.groupBy("vec_id").agg(F.min("v").alias("v"))
-    drawn = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(options.sample).select("v").toArrow()
-    shared = spark.sparkContext.broadcast(Model(np.array(drawn.column("v").to_pylist()), rows, options))  # at most max_cells + 256 rows of dim
-    n_cells = len(shared.value.cells)
-    n_probe = max(min(8, n_cells), math.ceil(options.probe * n_cells))
+    some = x if rows <= options.sample else x.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * 1.2 * options.sample / rows)))
+    drawn = some.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(options.sample).select("v").toArrow()
+    sample = drawn.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    shared = spark.sparkContext.broadcast(model := Model(sample, rows, k, options))  # at most max_cells + 256 + REFERENCE rows of dim
+    n_cells = len(model.cells)
 
     coded_schema = pa.schema([("cell", pa.int32()), ("vec_id", pa.int64()), ("code", pa.binary()), ("v", pa.binary())])
 
+    def packed(m: np.ndarray) -> pa.Array:
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(m.shape[1] * m.itemsize), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(1).flatten().to_numpy().reshape(-1, dim)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            m = batch.column(1).flatten().to_numpy().reshape(-1, dim)
-            cell = model.cell_of(m)
-            codes = model.codes(m, cell)
-            yield record_batch(coded_schema, cell.astype(np.int32), batch.column(0), [c.tobytes() for c in codes], [r.tobytes() for r in m])
+            m = matrix(batch)
+            cell = shared.value.cell_of(m)
+            yield record_batch(coded_schema, cell.astype(np.int32), batch.column(0), packed(shared.value.codes(m, cell)), packed(m.astype(kind)))
 
-    coded = stored(x.mapInArrow(index, "cell int, vec_id long, code binary, v binary"), "index")
+    coded = scratch.put(x.mapInArrow(index, "cell int, vec_id long, code binary, v binary"), "index")
     per_cell = np.zeros(n_cells, np.int64)
     for row in coded.groupBy("cell").count().collect():  # a row for each cell
         per_cell[row["cell"]] = row["count"]
     blocks = np.maximum(1, -(-per_cell // options.cell_rows))
-    asked = q.count()
-    query_blocks = max(1, math.ceil(asked * n_probe / n_cells / options.query_rows))
-    spread = spark.sparkContext.broadcast(blocks)
-
-    probe_schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("query_id", pa.int64()), ("v", pa.binary())])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n_blocks = shared.value, spread.value
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            m = batch.column(1).flatten().to_numpy().reshape(-1, dim)
-            for a in range(0, len(ids), 256):
-                cells = np.argsort(-(m[a : a + 256] @ model.cells.T), axis=1, kind="stable")[:, :n_probe]
-                found = [
-                    (int(c), b, ids[a + i] % query_blocks, ids[a + i], m[a + i].tobytes())
-                    for i, row in enumerate(cells) for c in row for b in range(n_blocks[c])
-                ]
-                yield record_batch(probe_schema, *zip(*found))
-
-    probes = q.mapInArrow(probe, "cell int, block int, part int, query_id long, v binary")
-    block_of = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("cell") + 1)).cast("int")
-    parts = F.explode(F.array(*(F.lit(p) for p in range(query_blocks))))
-    placed = coded.withColumn("block", block_of).withColumn("part", parts)
-    near_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    probe_schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("query_id", pa.int64()), ("cut", pa.float64()), ("v", pa.binary())])
+
+    def probed(q: DataFrame, every: bool) -> DataFrame:
+        """A row for each query and block of a cell that it visits; ``every``: all cells, without a cut."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for whole in batches:
+                for a in range(0, whole.num_rows, 256):
+                    batch = whole.slice(a, 256)
+                    m = matrix(batch).astype(np.float64)
+                    order = np.argsort(-(m @ model.cells.T), axis=1, kind="stable")
+                    before = np.cumsum(per_cell[order], axis=1) - per_cell[order]
+                    visited = (np.arange(n_cells)[None] < model.probes) | (before <= k)  # k and itself, at least
+                    of, turn = np.nonzero((visited | every) & (per_cell[order] > 0))
+                    cell = order[of, turn]
+                    times = blocks[cell]
+                    at = np.repeat(of, times)
+                    block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    cut = np.full(len(m), -np.inf) if every else model.cut(m)
+                    take = pa.array(at)
+                    yield record_batch(probe_schema, np.repeat(cell, times).astype(np.int32), block.astype(np.int32), batch.column(0).take(take), cut[at], packed(m.astype(kind)).take(take))
+
+        return q.mapInArrow(probe, "cell int, block int, query_id long, cut double, v binary")
+
+    near_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("about", pa.float32()), ("score", pa.float64())])
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return near_schema.empty_table()
-        model = shared.value
         left = left.sort_by("vec_id").combine_chunks()
-        right = right.combine_chunks()
-        ids, m = left.column("vec_id").to_numpy(), _matrix(left.column("v"), dim)
+        values = lambda column: np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
+        ids, m, asking, qs, cuts = left.column("vec_id").to_numpy(), values(left.column("v")), right.column("query_id").to_numpy(), values(right.column("v")), right.column("cut").to_numpy()
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        asking, qs = right.column("query_id").to_numpy(), _matrix(right.column("v"), dim)
-        base = qs @ model.cells[left.column("cell")[0].as_py()]
-        out = []
-        for a in range(0, len(asking), 32):
-            tables = model.tables(qs[a : a + 32])
-            about = np.repeat(base[a : a + 32, None].astype(np.float32), len(ids), 1)
-            for k in range(codes.shape[1]):
-                about += tables[:, k][:, codes[:, k]]
-            for i in range(len(tables)):
-                at = _best(about[i], options.rerank)
-                at = at[ids[at] != asking[a + i]]
-                score = (m[at] * qs[a + i]).sum(1)  # row by row, so that equal vectors have equal scores
-                first = np.lexsort((ids[at], -score))[:k_kept]
-                out.append((np.full(len(first), asking[a + i]), ids[at][first], score[first]))
+        cell, out = left.column("cell")[0].as_py(), []
+
+        def exact(i: int, at: np.ndarray) -> np.ndarray:
+            return (m[at].astype(np.float64) * qs[i].astype(np.float64)).sum(1)  # row by row, so that equal vectors have equal scores
+
+        for a in range(0, len(asking), AT_ONCE):
+            some = np.arange(a, min(a + AT_ONCE, len(asking)))
+            all_of = some[np.isneginf(cuts[some])]
+            for i in all_of:
+                score = exact(i, np.arange(len(ids)))
+                order = np.lexsort((ids, -score))
+                order = order[ids[order] != asking[i]]
+                order = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # each id once, by its best row
+                out.append((np.full(len(order), asking[i]), ids[order], score[order].astype(np.float32), score[order]))
+            some = some[~np.isneginf(cuts[some])]
+            about = np.ascontiguousarray(shared.value.about(qs[some].astype(np.float64), cell, codes).T) if len(some) else ()
+            for i, row in zip(some, about):
+                at = np.flatnonzero(row >= cuts[i])
+                at = at[ids[at] != asking[i]]
+                at = at[_best(row[at], options.short_list)]
+                out.append((np.full(len(at), asking[i]), ids[at], row[at], exact(i, at)))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=near_schema)
 
-    k_kept = k
-    by = ("cell", "block", "part")
-    found = placed.groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(q: DataFrame, every: bool) -> DataFrame:
+        share = 1.0 if every else model.probes / n_cells
+        parts = max(1, math.ceil(q.count() * share / options.query_rows))
+        number = F.array(*(F.lit(int(b)) for b in blocks))
+        placed = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(number, F.col("cell") + 1)).cast("int"))
+        placed = placed.withColumn("part", F.explode(F.array(*map(F.lit, range(parts)))))
+        probes = probed(q, every).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        by = ("cell", "block", "part")
+        found = placed.groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, about float, score double")
+        # one short list over all cells, then the exact order
+        found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("about").alias("about"), F.max("score").alias("score"))
+        listed = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("place", F.row_number().over(listed)).where(F.col("place") <= max(k, options.short_list))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    q = scratch.put(q, "queries")
+    found = scratch.put(searched(q, False), "found")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    lacking = scratch.put(q.join(full, "vec_id", "left_anti"), "lacking")
+    if not lacking.isEmpty():
+        again = scratch.put(searched(lacking, True), "again")
+        found = found.join(lacking.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(again)
+    scratch.drop("index", "queries")
+    return found
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
