@@ -16,8 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, table, text_chunks, write_table
+from framewise.storage import stored
 
+from .common import fresh, record_batch, table, text_chunks
+
+#: One in so many entries, at least, has a line that is broadcast; so at most so many lines are.
+HOT = 10_000
 _INNER = bytes(range(0x80, 0xC0))  # bytes of a UTF-8 character after its first
 
 
@@ -62,25 +66,19 @@ def dropped_lines(docs: DataFrame, rules: LineRules | None = None, id_col: str =
 
     The exploded hashes are written once to the shared folder.  Distinct
     documents are counted in two steps, so a line that a third of all documents
-    hold is summed in part before it is shuffled; in the join with the shared
-    lines, such a line is a skewed key of the large side, which adaptive
-    execution splits.
+    hold is summed in part before it is shuffled.  Lines with a larger share of
+    all entries than one in ``HOT`` are at most ``HOT``, so these are broadcast
+    to the entries; only the others are joined by a shuffle.
     """
     rules = rules or LineRules()
-    spark = docs.sparkSession
-    path = write_table(_exploded(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), rules), "lines")
-    lines = spark.read.schema("doc_id long, h1 long, h2 long").parquet(path)
-    shared = (
-        lines.groupBy("h1", "h2")
-        .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= rules.min_docs)
-    )
-    return (
-        lines.join(shared, ["h1", "h2"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    )
+    lines = stored(_exploded(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), rules), "lines")
+    shared = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    shared = stored(shared.where(F.col("n_docs") >= rules.min_docs).select("h1", "h2", "n", "keeper"), "shared")
+    often = F.col("n") > lines.count() // HOT
+    hot, other = shared.where(often).drop("n"), shared.where(~often).drop("n")
+    held = lines.join(F.broadcast(hot), ["h1", "h2"]).union(lines.join(F.broadcast(hot.drop("keeper")), ["h1", "h2"], "left_anti").join(other, ["h1", "h2"]))
+    lost = held.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("keeper")))
+    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 
 def _reassembler(rules: LineRules, i_text: int, i_gone: int):
@@ -103,7 +101,8 @@ def line_dedup(docs: DataFrame, rules: LineRules | None = None, id_col: str = "d
     A null or empty text is one empty line and stays an (empty) text.  A
     document that loses every line keeps an empty text.  Rows that repeat a
     doc_id are the same document: they count once and lose the same lines.
-    Rows with a null doc_id keep all lines and count as no document.  Other columns are not read.
+    Rows with a null doc_id keep all lines and count as no document.  An empty
+    table gives no rows; other columns are not read.
     """
     rules = rules or LineRules()
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -115,7 +114,14 @@ def line_dedup(docs: DataFrame, rules: LineRules | None = None, id_col: str = "d
             n, gone, kept = zip(*cut(batch, texts))
             yield record_batch(schema, batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), n, gone)
 
-    return docs.join(dropped_lines(docs, rules), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(assemble, "doc_id long, text string, n_lines long, n_dropped long")
+    return _with_lost(docs, dropped_lines(docs, rules), "doc_id", "gone").mapInArrow(assemble, "doc_id long, text string, n_lines long, n_dropped long")
+
+
+def _with_lost(docs: DataFrame, gone: DataFrame, doc: str, lost: str) -> DataFrame:
+    """``docs`` with the column ``lost``.  Rows without an id lose nothing and need no join, in which they would be one key."""
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("gone").alias(lost))
+    known = docs.where(F.col(doc).isNotNull()).join(gone, doc, "left").select(*(F.col(f"`{c}`") for c in docs.columns), lost)
+    return known.union(docs.where(F.col(doc).isNull()).withColumn(lost, F.lit(None).cast(gone.schema[lost].dataType)))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,23 +130,26 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(docs: DataFrame, rules: LineRules | None = None) -> DataFrame:
-    """``docs`` with shared lines taken out of ``text``, and ``n_chars`` to match; other columns stay."""
+    """``docs`` with shared lines taken out of ``text``, and ``n_chars`` to match; other columns stay.
+
+    A null text stays null; else as :func:`line_dedup`, row by row.
+    """
     rules = rules or LineRules()
     names = docs.columns
-    gone = dropped_lines(docs, rules).withColumnRenamed("doc_id", "_line_doc").withColumnRenamed("gone", "_line_gone")
-    i_text, cut = names.index("text"), _reassembler(rules, names.index("text"), len(names))
+    doc, lost = fresh(names, "_doc"), fresh(names, "_gone")
+    i_text, cut = names.index("text"), _reassembler(rules, names.index("text"), len(names) + 1)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            kept = pa.array([x[2] for x in cut(batch, texts)], pa.binary()).cast(pa.string())
+            valid = batch.column(i_text).is_valid().to_pylist()
+            kept = pa.array([x[2] if v else None for x, v in zip(cut(batch, texts), valid)], pa.binary()).cast(pa.string())
             columns = batch.columns[: len(names)]
             columns[i_text] = kept
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = docs.join(gone, docs["doc_id"] == gone["_line_doc"], "left").drop("_line_doc")
-    out = joined.mapInArrow(assemble, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
-
+    told = docs.withColumn(doc, F.col("doc_id").cast("long"))
+    out = _with_lost(told, dropped_lines(docs, rules), doc, lost).mapInArrow(assemble, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out
 
 
 SQL = r"""
