@@ -18,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import record_batch, stored, table, text_chunks
+from framewise.storage import stored
+
+from .common import record_batch, table, text_chunks
 
 #: Steps of multiplicative weights in a round, and rounds; they bound the fillings that go to the executors.
 STEPS, ROUNDS = 24, 8
 #: How fast covered lengths lose weight, how far below the best a filling may be, and the share of a length that a step covers.
 RATE, NEAR, SHARE = 1.0, 0.02, 0.5
-#: Rows of one length that one task ranks.
-RANKED = 50_000
+#: Rows of one length that one task ranks, or the root of their number if that is more.
+RANKED = 1_000
 
 Filling = tuple[tuple[int, ...], int]  # lengths in a sequence, and how many sequences are filled so
 
@@ -63,11 +66,11 @@ class TokenIds:
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: ``doc_id, piece, start, length, ids_crc32``."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
+    """Pieces of at most ``capacity`` ids: ``doc_id, piece, start, length, ids_crc32`` and the ``row``, to be written before it is used."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds.load(path)
+        tokens, row = TokenIds.load(path), TaskContext.get().partitionId() << 33
         for batch, texts in text_chunks(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), texts):
@@ -76,11 +79,11 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFrame:
                 stops = len(ids) - capacity * np.arange(n - 1, -1, -1)  # only the first is shorter
                 start = 0
                 for piece, stop in enumerate(stops.tolist()):
-                    rows.append((doc, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
-                    start = stop
+                    rows.append((doc, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), row))
+                    start, row = stop, row + 1
             yield record_batch(schema, *zip(*rows))
 
-    return docs.mapInArrow(cut, "doc_id long, piece long, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(cut, "doc_id long, piece long, start long, length long, ids_crc32 long, row long")
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,23 +150,44 @@ def fractional(counts: np.ndarray, capacity: int) -> list[tuple[list[int], float
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
-    """Longest first, each into the fullest sequence that has room."""
-    rooms: list[int] = []  # sorted, with the sequence of each
-    which: list[int] = []
-    bins: list[list[int]] = []
-    for length in range(len(counts) - 1, 0, -1):
-        for _ in range(int(counts[length])):
+    """Longest first, each into the fullest sequence that has room.
+
+    Sequences with the same filling are kept as one group, and so many pieces
+    of a length as fit go into each at once; the work follows the number of
+    lengths and groups, not of pieces.
+    """
+    rooms: list[int] = []  # sorted
+    groups: dict[int, list[Filling]] = {}
+
+    def put(room: int, filling: tuple[int, ...], times: int) -> None:
+        if room not in groups:
+            bisect.insort(rooms, room)
+            groups[room] = []
+        groups[room].append((filling, times))
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        while left:
             i = bisect.bisect_left(rooms, length)
             if i == len(rooms):
-                bins.append([])
-                room, k = capacity, len(bins) - 1
-            else:
-                room, k = rooms.pop(i), which.pop(i)
-            bins[k].append(length)
-            j = bisect.bisect_left(rooms, room - length)
-            rooms.insert(j, room - length)
-            which.insert(j, k)
-    return [(tuple(b), 1) for b in bins]
+                put(capacity, (), -(-left // (capacity // length)))
+                continue
+            room = rooms[i]
+            filling, times = groups[room].pop()
+            if not groups[room]:
+                del groups[room], rooms[i]
+            fit = room // length
+            whole = min(times, left // fit)
+            if whole:
+                put(room - fit * length, filling + (length,) * fit, whole)
+            left -= whole * fit
+            if whole < times:
+                if left:
+                    put(room - left * length, filling + (length,) * left, 1)
+                if times - whole - (left > 0):
+                    put(room, filling, times - whole - (left > 0))
+                left = 0
+    return [f for room in rooms for f in groups[room] if f[0]]
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[Filling]:
@@ -218,12 +242,12 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | Non
         counts[row["length"]] = row["count"]
     slots = spark.sparkContext.broadcast(_slots(plan(counts, capacity)))
 
-    buckets = max(1, math.ceil(int(counts.max()) / RANKED))
-    placed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    buckets = F.array(*(F.lit(max(1, math.ceil(c / max(RANKED, math.isqrt(c))))) for c in counts.tolist()))
+    placed = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.element_at(buckets, F.col("length").cast("int") + 1)).cast("int"))
     sums = placed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = placed.withColumn("rank", F.row_number().over(within) - 1).join(sums, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).cast("long").alias("rank"))
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")])
