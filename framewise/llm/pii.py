@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
+import secrets
 import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,6 +29,8 @@ from .common import record_batch, table, text_chunks
 
 ROUNDS = 10
 KINDS = ("card", "phone", "ip", "email", "iban", "ssn", "date", "secret")
+KEY = "spark.framewise.pii.key"
+_DRAWN = secrets.token_bytes(32)
 #: Pseudonyms that a task keeps; beyond it the store starts anew.
 CACHE = 100_000
 #: Longer values, in bytes, are made anew each time.
@@ -35,11 +39,25 @@ KEPT = 400
 
 @dataclass(frozen=True)
 class PiiOptions:
-    """``key``: the secret of the permutation, to be set by whoever runs the job.  ``kinds``: what is replaced."""
+    """``key``: the secret of the permutation, 16 bytes at least.  ``kinds``: what is replaced."""
 
-    key: bytes = b"change this key"
+    key: bytes
     kinds: tuple[str, ...] = KINDS
 
+    def __post_init__(self) -> None:
+        if len(self.key) < 16:
+            raise ValueError("the key has 16 bytes at least")
+
+    @classmethod
+    def of_session(cls, spark: SparkSession) -> PiiOptions:
+        """With the key that the session's configuration names as ``KEY``.
+
+        Without it a key is drawn for this session: pseudonyms then agree
+        within the session, and nobody can turn them back after it.
+        """
+        key = spark.conf.get(KEY, None)
+        return cls(_DRAWN if key is None else key.encode())
+
 
 class Feistel:
     """A keyed permutation of ``0 .. size - 1`` for any size: rounds on two unequal halves, and a walk back into the range."""
@@ -219,13 +237,32 @@ class Pseudonyms:
         return _refilled(text, f"{lead}{area + 200}{exchange + 200}{line:04d}", _DIGITS)
 
     def ip(self, text: str) -> str | None:
-        """Four numbers of 0 to 255 without leading zeros."""
+        """Four numbers of 0 to 255 without leading zeros; or an address of version 6 with three groups at least, each of whose figures changes within its class."""
+        if ":" in text:
+            return self._ip6(text)
         parts = text.split(".")
         if any(int(p) > 255 or p != str(int(p)) for p in parts):
             return None
         x = self.feistel.permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, b"ip", self.back)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
+    def _ip6(self, text: str) -> str | None:
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        if sum(map(bool, text.split(":"))) < 3:
+            return None
+        sets = [next(k for k in (_DIGITS, "abcdef", "ABCDEF") if c in k) for c in text if c != ":"]
+        size, x = 1, 0
+        for c, k in zip(text.replace(":", ""), sets):
+            size, x = size * len(k), x * len(k) + k.index(c)
+        y, made = self.feistel.permute(x, size, b"ip6", self.back), []
+        for k in reversed(sets):
+            y, d = divmod(y, len(k))
+            made.append(k[d])
+        return _refilled(text, "".join(reversed(made)), _DIGITS + "abcdefABCDEF")
+
     def email(self, text: str) -> str | None:
         """The local part changes, letters to letters and digits to digits; the domain stays."""
         local, _, domain = text.partition("@")
@@ -314,11 +351,12 @@ _YEAR = rb"(?:19|20)[0-9]{2}"
 _NAMES = "|".join(sorted((f(n) for n in _MONTH_OF for f in (str.lower, str.title, str.upper)), key=len, reverse=True)).encode()
 _PATTERNS = {
     # a value reaches to its closing quote, without quotes to white space
-    "secret": rb"(?:(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3})(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)|[\"']?(?P<bare>[^\s\"'][^\s]{7,}))|"
+    "secret": rb"(?:(?i:(?<![0-9A-Za-z\x80-\xff])(?:password|passwd|pwd|token|secret(?:[_-]?key)?|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3})(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)|[\"']?(?P<bare>[^\s\"'][^\s]{7,}))|"
     + _B + rb"(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_\-]{20,})" + _E + rb")",
-    "email": rb"(?<![0-9A-Za-z._%+\-\x80-\xff])[0-9A-Za-z][0-9A-Za-z._%+\-]{0,63}@(?:[0-9A-Za-z](?:[0-9A-Za-z\-]{0,61}[0-9A-Za-z])?\.){1,6}[A-Za-z]{2,24}" + _E,
+    # signs before the first letter or digit are not part of the address
+    "email": rb"(?<![0-9A-Za-z._%+\-\x80-\xff])[._%+\-]*+(?P<address>[0-9A-Za-z\x80-\xff][0-9A-Za-z._%+\-\x80-\xff]*+@(?:[0-9A-Za-z]++(?:-++[0-9A-Za-z]++)*+\.)+(?:[A-Za-z]{2,}+|xn--[0-9A-Za-z\-]++))(?![0-9A-Za-z\x80-\xff])",
     "iban": _B + rb"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _E,
-    "ip": rb"(?<![0-9A-Za-z_.\x80-\xff])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_\x80-\xff]|\.[0-9])",
+    "ip": rb"(?<![0-9A-Za-z_.\x80-\xff])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_\x80-\xff]|\.[0-9])|(?<![0-9A-Za-z_:.\x80-\xff])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z_:\x80-\xff])",
     "date": rb"(?<![0-9A-Za-z_/.\-\x80-\xff])(?:" + _YEAR + rb"-[0-9]{1,2}-[0-9]{1,2}|" + _YEAR + rb"/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\." + _YEAR + rb"|[0-9]{1,2}/[0-9]{1,2}/" + _YEAR
     + rb"|[0-9]{1,2}(?:\.? |-)(?:de )?(?:" + _NAMES + rb")(?:\.?,? |-)(?:del? )?" + _YEAR + rb"|(?:" + _NAMES + rb")\.? [0-9]{1,2},? " + _YEAR + rb")(?:(?=T[0-9]{2})|(?![0-9A-Za-z_/\-\x80-\xff]|\.[0-9]))",
     "ssn": rb"(?<![0-9A-Za-z_\-\x80-\xff])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_\-\x80-\xff])",
@@ -364,6 +402,8 @@ def secret_ends(line: bytes, a: int, b: int) -> list[int]:
     return [end if len(line[a:end].decode()) >= 8 else b]
 
 
+#: What is replaced of a match, where that is not all of it.
+_GROUPS = {"secret": ("quoted", "bare", "key"), "email": ("address",)}
 _ENDS = {"phone": phone_ends, "iban": iban_ends, "secret": secret_ends}
 
 
@@ -393,7 +433,7 @@ class Replacer:
         out, pos, at = [], 0, 0
         while m := self.find.search(line, at):
             kind = next(k for k in self.kinds if m[k] is not None)
-            group = kind if kind != "secret" else next(g for g in ("quoted", "bare", "key") if m[g] is not None)
+            group = next(g for g in _GROUPS.get(kind, (kind,)) if m[g] is not None)
             a, b = m.span(group)
             ends = _ENDS[kind](line, a, b) if kind in _ENDS else [b]
             new, b = next(((new, e) for e in ends if (new := self._value(kind, line[a:e])) is not None), (None, b))
@@ -429,7 +469,7 @@ def _replacer(options: PiiOptions, back: bool = False) -> Replacer:
     return _MADE[options, back]
 
 
-def pseudonymised(docs: DataFrame, options: PiiOptions | None = None, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, options: PiiOptions, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """``doc_id``, the whole ``text`` with pseudonyms, ``n_values`` replaced, and a count ``n_<kind>`` for each kind.
 
     A null text stays null, an empty one empty, with no values.  Rows that
@@ -438,7 +478,6 @@ def pseudonymised(docs: DataFrame, options: PiiOptions | None = None, id_col: st
     shuffle: pseudonyms depend on key and value alone, so they agree between
     documents, tasks and runs.  ``back`` turns pseudonyms into the values.
     """
-    options = options or PiiOptions()
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_values", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS)])
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,9 +491,12 @@ def pseudonymised(docs: DataFrame, options: PiiOptions | None = None, id_col: st
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(replace, names)
 
 
-def pseudonymise(docs: DataFrame, options: PiiOptions | None = None) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``, and ``n_chars`` to match where it is there; rows and other columns stay."""
-    options = options or PiiOptions()
+def pseudonymise(docs: DataFrame, options: PiiOptions) -> DataFrame:
+    """``docs`` with pseudonyms in ``text``, and ``n_chars`` to match where it is there; rows and other columns stay.
+
+    A null text stays null, an empty one empty; rows that repeat stay, each
+    rewritten alike; an empty table stays empty.
+    """
     names = docs.columns
     i_text = names.index("text")
 
@@ -471,4 +513,4 @@ def pseudonymise(docs: DataFrame, options: PiiOptions | None = None) -> DataFram
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents"))
+    return pseudonymised(table(spark, sf_dir, "documents"), PiiOptions.of_session(spark))
