@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, stored, table, text_chunks
+from framewise.storage import stored
+
+from .common import record_batch, table, text_chunks
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -28,6 +30,7 @@ PREFIXES = (4, 5, 6)
 class PuOptions:
     """``positives``, ``unlabelled``: documents to learn from, at most.  ``features``: words and beginnings of words, at most.
 
+    ``prior``: the share of toxic documents; None estimates it from both samples.
     A feature is used where confirmed documents have it ``enrichment`` times as
     often as unlabelled ones, with a likelihood ratio of ``evidence`` at least.
     """
@@ -41,6 +44,7 @@ class PuOptions:
     rate: float = 0.05
     decay: float = 1e-3
     threshold: float = 0.7
+    prior: float | None = None
 
 
 def features_of(text: str) -> set[str]:
@@ -106,17 +110,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(docs: DataFrame, toxic: DataFrame, unlabelled: DataFrame, prior: float | None, options: PuOptions) -> ToxicityModel:
+def train(docs: DataFrame, toxic: DataFrame, unlabelled: DataFrame, options: PuOptions) -> ToxicityModel:
     """Learn from the documents of ``toxic(doc_id)`` and of ``unlabelled(doc_id)``.
 
-    At most so many of either as the options say, drawn by a hash of the id.
-    ``prior`` is the share of toxic documents.  Without confirmed documents no
-    text is called toxic.
+    At most so many of either as the options say, drawn by a hash of the id; a
+    document may be in both samples, as the unlabelled ones stand for all.
+    No label of a clean document is used.  Without confirmed documents no text
+    is called toxic.
     """
     by = F.xxhash64("doc_id"), F.col("doc_id")
     toxic = toxic.where("doc_id is not null").distinct().orderBy(*by).limit(options.positives).withColumn("positive", F.lit(1))
     other = unlabelled.where("doc_id is not null").distinct().orderBy(*by).limit(options.unlabelled).withColumn("positive", F.lit(0))
-    drawn = toxic.union(other.join(F.broadcast(toxic), "doc_id", "left_anti"))
+    drawn = toxic.union(other)
     schema = pa.schema([("doc_id", pa.int64()), ("positive", pa.int32()), ("features", pa.list_(pa.string()))])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +132,12 @@ def train(docs: DataFrame, toxic: DataFrame, unlabelled: DataFrame, prior: float
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "positive", "text")
     sample = stored(texts.mapInArrow(extract, "doc_id long, positive int, features array<string>"), "pu-sample")
     n = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    if not n.get(1) or not n.get(0) or not prior:
+    if not n.get(1) or not n.get(0):
         return ToxicityModel({}, -8.0)
     p, u = (F.sum((F.col("positive") == flag).cast("long")) / n[flag] for flag in (1, 0))
     share = sample.select("positive", F.explode("features").alias("f")).groupBy("f").agg(p.alias("p"), u.alias("u"), F.sum("positive").alias("n_p"))
+    share = stored(share, "pu-share")
+    prior = options.prior or estimated_prior(share, n[1], n[0])
     gain = 2 * F.col("n_p") * F.log(F.col("p") / (F.col("u") + 0.5 / n[0]))
     share = share.where((F.col("n_p") >= 2) & (F.col("p") >= options.enrichment * F.col("u")) & (gain >= options.evidence))
     names = sorted(r["f"] for r in share.orderBy(F.desc(gain), "f").limit(options.features).collect())
@@ -144,6 +151,20 @@ def train(docs: DataFrame, toxic: DataFrame, unlabelled: DataFrame, prior: float
     return ToxicityModel(dict(zip(names, weights.tolist())), bias - shift)
 
 
+def estimated_prior(share: DataFrame, n_p: int, n_u: int) -> float:
+    """The share of toxic documents among the unlabelled.
+
+    A feature that the share p of the confirmed and u of the unlabelled have
+    bounds it by u / p, as toxic documents alone account for prior * p of the
+    unlabelled.  The least bound counts, each taken one standard error high, of
+    features that a tenth of the confirmed have.
+    """
+    u = F.col("u") + F.sqrt((F.col("u") * (1 - F.col("u")) + 1 / n_u) / n_u)
+    p = F.col("p") - F.sqrt(F.col("p") * (1 - F.col("p")) / n_p)
+    least = share.where("p >= 0.1 and n_p >= 5").agg(F.min(u / p)).first()[0]
+    return 0.1 if least is None else min(max(least, 0.01), 0.9)
+
+
 def _restricted(sample: DataFrame, index: dict[str, int]) -> DataFrame:
     known = sample.sparkSession.sparkContext.broadcast(frozenset(index))
     schema = pa.schema([("doc_id", pa.int64()), ("positive", pa.int32()), ("features", pa.list_(pa.string()))])
@@ -175,9 +196,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = PuOptions()
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    learnable = labels.where(~held_out).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    share = learnable.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
-    prior = None if share is None else min(max(share, 0.01), 0.9)
-    model = train(docs, learnable.where("toxic = 1").select("doc_id"), docs.where(~held_out).select(F.col("doc_id").cast("long").alias("doc_id")), prior, options)
+    confirmed = labels.where(~held_out & (F.col("toxic") == 1)).select(F.col("doc_id").cast("long").alias("doc_id"))
+    model = train(docs, confirmed, docs.where(~held_out).select(F.col("doc_id").cast("long").alias("doc_id")), options)
     scored = toxicity_scores(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= options.threshold).cast("int").alias("predicted"))
