@@ -21,9 +21,10 @@ from .spans import Spans, U, mix, repeated
 
 @dataclass(frozen=True)
 class MilOptions:
-    """``sample``: labelled documents of each label to learn from, at most.  ``threshold``: the score that decides best."""
+    """``sample``: labelled documents of each label to learn from, at most, and ``passages`` of each of these, evenly drawn.  ``threshold``: the score that decides best."""
 
     sample: int = 3000
+    passages: int = 128
     passage_words: int = 64
     hidden: int = 24
     gate: int = 12
@@ -192,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, options: MilOptions) -> MilModel:
         for batch, texts in text_chunks(batches):
             x, doc = passage_features(texts, words)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            yield record_batch(schema, batch.column(0), batch.column(1), [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
+            drawn = [x[a:b] if b - a <= options.passages else x[np.linspace(a, b - 1, options.passages).astype(int)] for a, b in zip(cuts, cuts[1:])]
+            yield record_batch(schema, batch.column(0), batch.column(1), [d.tobytes() for d in drawn])
 
     # at most twice ``sample`` rows, so the ids are broadcast
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
