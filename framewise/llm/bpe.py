@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import record_batch, table, text_chunks
 
 SHORT = 128
-#: Pieces that a task keeps with their ids; beyond it the store starts anew.
-CACHE = 300_000
+#: Pieces that a process keeps with their ids, in two halves: a full half becomes the old one, from which what is used again returns.
+CACHE = 400_000
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -110,8 +110,8 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
+        if 2 * len(cache) > CACHE:
+            cache.turn()
         if self.split is None or not any(a in text for a in self.added):
             return b"".join(map(cache.__getitem__, self.find(text)))
         parts = self.split.split(text)
@@ -125,9 +125,16 @@ class ByteBpe:
 
 class _Cache(dict):
     def __init__(self, bpe: ByteBpe) -> None:
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        if (known := self.old.get(piece)) is not None:
+            self[piece] = known
+            return known
         of = self.bpe.ids
         out = np.array([of[p] for p in self.bpe.parts(piece.encode())], "<u4").tobytes()
         if len(piece) <= 64:
