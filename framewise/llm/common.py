@@ -10,8 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from framewise.storage import stored, write_table  # noqa: F401
-
 #: Text bytes that one numpy pass works on; bounds the memory of a task.
 CHUNK_BYTES = 1 << 20
 
