@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewise.llm.common import stored, table
+from framewise.llm.common import table
 from framewise.llm.jaccard_join import keep_one_of_each
 from framewise.llm.line_dedup import drop_shared_lines
 from framewise.llm.packing import pack
-from framewise.llm.pii import pseudonymise
+from framewise.llm.pii import PiiOptions, pseudonymise
 from framewise.llm.repetition import keep_quality
+from framewise.storage import drop_tables, tables, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with pseudonyms for personal data."""
-    return pseudonymise(docs)
+    """The documents with pseudonyms for personal data, under the session's key."""
+    return pseudonymise(docs, PiiOptions.of_session(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +59,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over all documents; the results between are written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage over all documents.
+
+    The results between are written to the shared folder; each goes, with the
+    tables of its stage, when the next is written.  Documents with null, empty,
+    repeated or very long texts, or null ids, take the rule that each operator
+    states; an empty table gives an empty result.
+    """
+    docs, had = table(spark, sf_dir, "documents"), tables()
     *before, (_, last) = STAGES
     for name, stage in before:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = write_table(stage(spark, docs, sf_dir), name)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        drop_tables(*(p for p in tables() if p != path and p not in had))
     return last(spark, docs, sf_dir)

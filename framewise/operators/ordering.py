@@ -56,7 +56,8 @@ class Ordered:
         """The rows (or their columns ``keep``) with the values of the row before: ``columns`` maps new names to old ones; null at the first row."""
         keep = tuple(c for c in self.rows.columns if c not in (PART, AT)) if keep is None else keep
         one = F.struct(*(F.col(c).alias(new) for new, c in columns.items()))
-        last = self.rows.groupBy(PART).agg(F.max_by(one, AT).alias("_last"))
+        ends = self.rows.groupBy(PART).agg(F.max(AT).alias(AT))
+        last = self.rows.join(F.broadcast(ends.select(AT)), AT).select(PART, one.alias("_last"))
         last = last.select(PART, F.lag("_last").over(Window.orderBy(PART)).alias("_last"))  # of one row a range
         rows = self.rows.withColumn("_prev", F.lag(one).over(self.within))
         prev = F.coalesce("_prev", "_last")
