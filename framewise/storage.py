@@ -9,8 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Shuffle files go when the write that needed them has ended, not when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the write that needed them has ended, not when the driver happens
+#: to collect its garbage, and batches for Python are small, as each is held several times outside of the heap.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _written: dict[str, SparkSession] = {}
 
 
@@ -34,12 +35,14 @@ def write_table(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framewise/{name}-{uuid.uuid4().hex}"
     _written[path] = spark
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in SETTINGS}
     try:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return path
 
 
