@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.operators.ordering import AT, PART, Ordered
-from framewise.storage import stored
+from framewise.storage import Scratch, write_table
 
 
 @dataclass(frozen=True)
@@ -86,66 +87,93 @@ def select_diverse(pool: DataFrame, count: int, diversity: float, pinned: Column
 
     Each pick has the largest ``(1 - d) quality - d similarity``; the quality
     is scaled to 0..1, the similarity is the largest ``(cos + 1) / 2`` to a
-    pick; ties go to the quality, then the path.  Values only fall as picks are
-    made, so the best ``buffer`` candidates of a pass over all are enough until
-    the last of them could be beaten by one that did not come.  Candidates so
-    poor that even a perfect distance can't lift them are left out first; with
-    the vectors of the picks, ``buffer`` rows bound what the driver holds.
+    pick; ties go to the quality, then the path.  A capture without an embedding
+    is at right angles to all.  Values only fall as picks are made, so the best
+    ``buffer`` candidates of a pass over all are enough until the last of them
+    could be beaten by one that did not come.  Candidates so poor that even a
+    perfect distance can't lift them are left out first.  Each pass folds the
+    picks of the one before into a stored similarity, so the driver holds
+    ``buffer`` vectors at a time, whatever number is pinned or picked.
     """
     if not 0 <= diversity <= 1:
         raise ValueError("diversity is from 0 to 1")
-    spark, d = pool.sparkSession, float(diversity)
+    spark, d, scratch = pool.sparkSession, float(diversity), Scratch()
     pin = F.lit(False) if pinned is None else F.coalesce(pinned, F.lit(False))
     low, high = pool.agg(F.min("composite_score"), F.max("composite_score")).first()
     span = 0.0 if low is None else high - low
     quality = (F.col("composite_score") - F.lit(low)) / F.lit(span) if span else F.lit(1.0)
     rows = pool.select("path_key", quality.alias("q"), F.col("embedding").cast("array<double>").alias("v"), pin.alias("pin"))
-    pins = rows.where("pin").orderBy("path_key").collect() if pinned is not None else []
-    target = max(count, len(pins))
-    rest = rows.where("not pin").select("path_key", "q", "v")
+    rest = rows.where("not pin").select("path_key", "q", "v", F.lit(0.0).alias("near"))
     if d < 1 and count and d > 0:  # at every pick one of the first ``count`` by quality is still there
         cut = rest.orderBy(F.desc("q")).limit(count).agg(F.min("q")).first()[0]
         rest = rest.where(F.col("q") >= (cut or 0.0) - d / (1 - d) - 1e-9)
-    rest = stored(rest, "candidates")
-    unit = lambda v: np.asarray(v, float) / (np.linalg.norm(v) or 1.0)
-    picks: list[tuple[str, np.ndarray]] = [(r["path_key"], unit(r["v"])) for r in pins]
-    schema = "path_key string, q double, v array<double>, objective double"
+    schema = "path_key string, q double, v array<double>, near double"
 
-    while len(picks) < target:
-        told = spark.sparkContext.broadcast(({p for p, _ in picks}, np.array([v for _, v in picks])))
+    def matrix(vectors: list[list[float] | None]) -> np.ndarray:
+        width = max((len(v) for v in vectors if v is not None), default=0)
+        m = np.array([v if v is not None else [0.0] * width for v in vectors], float).reshape(len(vectors), width)
+        return m / np.where((size := np.linalg.norm(m, axis=1)) > 0, size, 1.0)[:, None]
 
-        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            taken, vectors = told.value
+    def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(a), len(b)))  # one side has no embedding at all
+
+    def folded(rest: DataFrame, keys: list[str], vectors: np.ndarray) -> DataFrame:
+        """The candidates without ``keys``, with their largest similarity to these too."""
+        told = spark.sparkContext.broadcast((set(keys), vectors))
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            taken, picked = told.value
             for batch in batches:
                 batch = batch.filter(pa.array([p not in taken for p in batch.column(0).to_pylist()], pa.bool_()))
-                if not batch.num_rows:
-                    continue
-                q = batch.column(1).to_numpy()
-                near = np.zeros(len(q))
-                if len(vectors):
-                    m = np.stack([unit(v) for v in batch.column(2).to_pylist()])
-                    near = ((m @ vectors.T + 1) / 2).max(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((1 - d) * q - d * near)], names=["path_key", "q", "v", "objective"])
-
-        best = rest.mapInArrow(weigh, schema).orderBy(F.desc("objective"), F.desc("q"), "path_key").limit(buffer).collect()
+                if batch.num_rows:
+                    near = ((cosines(matrix(batch.column(2).to_pylist()), picked) + 1) / 2).max(1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.maximum(batch.column(3).to_numpy(), near))], names=batch.schema.names)
+
+        return rest.mapInArrow(fold, schema)
+
+    def advanced(rest: DataFrame, keys: list[str], vectors: np.ndarray) -> DataFrame:
+        out = scratch.put(folded(rest, keys, vectors), "next")
+        if "rest" in scratch.paths:
+            scratch.drop("rest")
+        scratch.paths["rest"] = scratch.paths.pop("next")
+        return out
+
+    shape, done, n = "path_key string, pick long", [], 0
+
+    def told(keys: list[str]) -> None:
+        nonlocal n
+        done.append(write_table(spark.createDataFrame([(k, n + i) for i, k in enumerate(keys, 1)], shape), "picks"))
+        n += len(keys)
+
+    rest = scratch.put(rest, "rest")
+    if pinned is not None:
+        pins = scratch.put(rows.where("pin").select("path_key", "v").orderBy("path_key"), "pins").orderBy("path_key").toLocalIterator()
+        while block := list(islice(pins, buffer)):
+            told([r["path_key"] for r in block])
+            rest = advanced(rest, [], matrix([r["v"] for r in block]))
+    objective = F.lit(1 - d) * F.col("q") - F.lit(d) * F.col("near")
+    while n < count:
+        best = rest.withColumn("objective", objective).orderBy(F.desc("objective"), F.desc("q"), "path_key").limit(buffer).collect()
         if not best:
             break
         keys = [r["path_key"] for r in best]
-        q, m, value = np.array([r["q"] for r in best]), np.stack([unit(r["v"]) for r in best]), np.array([r["objective"] for r in best])
-        near = (1 - d) * q - value  # d times the similarity so far
+        q, m, value = np.array([r["q"] for r in best]), matrix([r["v"] for r in best]), np.array([r["objective"] for r in best])
+        near = np.array([d * r["near"] for r in best])
         open_ = np.ones(len(best), bool)
         bound = (value[-1], q[-1]) if len(best) == buffer else (-np.inf, -np.inf)
-        first = True
-        while len(picks) < target and open_.any():
+        picks: list[int] = []
+        while n + len(picks) < count and open_.any():
             at = min(np.flatnonzero(open_), key=lambda i: (-value[i], -q[i], keys[i]))
-            if not first and (value[at], q[at]) <= bound:
+            if picks and (value[at], q[at]) <= bound:
                 break
-            first, open_[at] = False, False
-            picks.append((keys[at], m[at]))
+            open_[at] = False
+            picks.append(at)
             near = np.maximum(near, d * ((m @ m[at] + 1) / 2))
             value = (1 - d) * q - near
-    made = [(p, i) for i, (p, _) in enumerate(picks, 1)]
-    return spark.createDataFrame(made, "path_key string, pick long")
+        told([keys[i] for i in picks])
+        if n < count:
+            rest = advanced(rest, [keys[i] for i in picks], m[picks])
+    return spark.read.schema(shape).parquet(*done) if done else spark.createDataFrame([], shape)
 
 
 def selection_changes(before: DataFrame, after: DataFrame, limit: int = 20) -> DataFrame:

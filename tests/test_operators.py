@@ -224,6 +224,15 @@ def test_order_over_ranges_equals_a_plain_sort(spark):
     assert value_ranks(rows.limit(0), F.col("k"))[0].count() == 0
 
 
+def test_diverse_picks_without_embeddings_and_many_pins(spark):
+    rows = [("a", 3.0, [1.0, 0.0], True), ("b", 2.9, None, True), ("c", 2.8, [1.0, 0.1], True), ("d", 2.7, None, False), ("e", 2.6, [0.0, 1.0], False), ("f", 2.5, [1.0, 0.0], False)]
+    df = spark.createDataFrame(rows, "path_key string, composite_score double, embedding array<double>, pin boolean")
+    got = [r["path_key"] for r in selection.select_diverse(df, 5, 0.9, F.col("pin"), buffer=2).orderBy("pick").collect()]
+    assert sorted(got[:3]) == ["a", "b", "c"] and got[3:] == ["d", "e"]
+    assert selection.select_diverse(df.drop("embedding").withColumn("embedding", F.lit(None).cast("array<double>")), 2, 0.5).count() == 2
+    assert selection.select_diverse(df.limit(0), 3, 0.5).count() == 0
+
+
 def test_one_digit_rounds_as_python_does(spark):
     values = [i / 20 for i in range(0, 200)] + [0.35, 2.45, 1.15, 0.25, 99.95, 0.05, 0.04999999999999999, 12.349999999999998, 7.0]
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", ff.one_digit(F.col("x")).alias("t")).collect()
