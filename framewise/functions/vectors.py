@@ -64,3 +64,9 @@ def same_camera(serial: Column, model: Column, other_serial: Column, other_model
     """Serials decide where both are known, else models unless one is unknown."""
     known = lambda x: F.coalesce(x, F.lit("")) != ""
     return F.when(known(serial) & known(other_serial), serial == other_serial).when(known(model) & known(other_model), model == other_model).otherwise(F.lit(True))
+
+
+def of_length(vector: Column, length: int) -> Column:
+    """The vector; an error where it was cut or is of another model."""
+    bad = F.raise_error(F.concat(F.lit(f"an embedding has {length} numbers, not "), F.size(vector).cast("string")))
+    return F.when(vector.isNull() | (F.size(vector) == length), vector).otherwise(bad.cast("array<double>"))

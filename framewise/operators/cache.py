@@ -13,8 +13,9 @@ PRESET_KEY = (*BASE_KEY, "preset")
 
 
 def latest(log: DataFrame, key: tuple[str, ...] = BASE_KEY, order: str = "written_at") -> DataFrame:
-    """The last row of each key; a map-side aggregate, so that a key written often is one row before the shuffle."""
-    return log.groupBy(*key).agg(F.max_by(F.struct(*(c for c in log.columns if c not in key)), order).alias("_row")).select(*key, "_row.*")
+    """The last row of each key, of rows written at once always the same one; a map-side aggregate, so that a key written often is one row before the shuffle."""
+    tie = F.xxhash64(*(c for c, kind in log.dtypes if "map<" not in kind))
+    return log.groupBy(*key).agg(F.max_by(F.struct(*(c for c in log.columns if c not in key)), F.struct(order, tie)).alias("_row")).select(*key, "_row.*")
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -22,6 +23,12 @@ def append(rows: DataFrame, path: str) -> None:
     rows.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def append_both(base: DataFrame, presets: DataFrame, base_path: str, preset_path: str) -> None:
+    """Preset rows first: what looks up a file begins with its base row, so a write that fails between the two leaves nothing half there."""
+    append(presets, preset_path)
+    append(base, base_path)
+
+
 def route(candidates: DataFrame, base: DataFrame, presets: DataFrame, signature: str, preset: str, needs_pixels: bool = False) -> DataFrame:
     """``candidates(relative_path, size_bytes, modified_ns, ...)`` with ``route``.
 

@@ -21,6 +21,8 @@ def read_feedback(spark: SparkSession, path: str, root: str) -> DataFrame:
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """A report's paths, scores and ranks, with their types."""
+    """A report's paths, scores and ranks, with their types; an error for a report without rows."""
     rows = spark.read.option("header", True).csv(path)
+    if not rows.columns or rows.isEmpty():
+        raise ValueError(f"{path} has no rows")
     return rows.select("file_path", F.lower("file_path").alias("path_key"), F.col("composite_score").cast("double"), F.col("global_quality_rank").cast("long"))

@@ -15,7 +15,7 @@ from framewise import storage
 from framewise.functions import files as ff
 from framewise.functions import metadata, vectors
 from framewise.functions.scoring import PROFILES
-from framewise.operators import explain, families, features, feedback, incremental, ranking, selection
+from framewise.operators import cache, explain, families, features, feedback, incremental, ranking, selection
 from framewise.operators.bursts import BurstRules, group_bursts
 from framewise.operators.ordering import Ordered, value_ranks
 from framewise.sinks import export
@@ -23,6 +23,7 @@ from framewise.sinks.export import copy_plan, rated_xmp
 from framewise.sinks.reports import review_page, write_csv
 from framewise.sinks.run_log import RunLog, append_failures
 from framewise.sources import files as fs
+from framewise.sources.reports import read_evaluation
 
 SCHEMA = "file_path string, path_key string, file_name string, ts_us long, sequence_number string, camera_serial string, camera_model string, phash long, embedding array<float>, focus_score double, musiq_score double, aesthetic_score double, exposure_penalty double, eye_factor double, eye_warning string, subject_integrity double, blown_pct double, crushed_pct double"
 
@@ -233,6 +234,24 @@ def test_diverse_picks_without_embeddings_and_many_pins(spark):
     assert selection.select_diverse(df.limit(0), 3, 0.5).count() == 0
 
 
+def test_kept_rows(spark, tmp_path):
+    v = spark.createDataFrame([([1.0, 2.0],), (None,)], "v array<double>")
+    assert v.select(vectors.of_length(F.col("v"), 2)).count() == 2
+    with pytest.raises(Exception, match="3 numbers, not 2"):
+        v.select(vectors.of_length(F.col("v"), 3)).collect()
+    twice = spark.createDataFrame([("a", "s", 1.0, 5), ("a", "s", 2.0, 5), ("a", "s", 9.0, 4)], "relative_path string, pipeline_signature string, x double, written_at long")
+    assert len({cache.latest(twice.orderBy(F.rand(i)).repartition(3)).first()["x"] for i in range(3)}) == 1
+    base = twice.drop("written_at")
+    cache.append_both(base.limit(1), base.limit(1), f"{tmp_path}/base", f"{tmp_path}/preset")
+    bad = base.withColumn("x", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        cache.append_both(base, bad, f"{tmp_path}/base", f"{tmp_path}/preset")
+    assert spark.read.parquet(f"{tmp_path}/base").count() == 1
+    base.limit(0).write.option("header", True).csv(f"{tmp_path}/empty")
+    with pytest.raises(ValueError, match="no rows"):
+        read_evaluation(spark, f"{tmp_path}/empty")
+
+
 def test_one_digit_rounds_as_python_does(spark):
     values = [i / 20 for i in range(0, 200)] + [0.35, 2.45, 1.15, 0.25, 99.95, 0.05, 0.04999999999999999, 12.349999999999998, 7.0]
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", ff.one_digit(F.col("x")).alias("t")).collect()
