@@ -10,8 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: While a table is written: shuffle files go when the write that needed them has ended, not when the driver happens
-#: to collect its garbage, and batches for Python are small, as each is held several times outside of the heap.
-SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: to collect its garbage.  Batches of rows are small, as long texts and sets are held in them several times.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 _written: dict[str, SparkSession] = {}
 
 
