@@ -58,6 +58,8 @@ LIGHT = 40
 MEETING = 8
 #: First tokens of a set by which a pair that has met before is told.
 HEADS = 16
+#: Outer shingles that become rows at once.
+OUTER = 1 << 17
 #: Keys that one task compares.
 RANGE = 1_000_000
 #: Bits, as a power of two, that mark the documents whose sets are built; a bound on what is broadcast.
@@ -360,12 +362,16 @@ def _around_centres(compared: DataFrame, labels: DataFrame, rule: Similarity, sc
     schema = pa.schema([(c, pa.int64()) for c in names])
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(6)]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            keep = sizes - np.maximum(batch.column(5).to_numpy(), 1) + 1
-            repeat = lambda c: np.repeat(np.asarray(c), sizes)
-            yield record_batch(schema, *(repeat(batch.column(k)) for k in range(5)), repeat(sizes), repeat(keep), np.concatenate(sets) if sets else [])
+        for whole in batches:
+            ends = np.cumsum(pc.binary_length(whole.column(6)).to_numpy()) // (8 * OUTER)
+            cuts = np.flatnonzero(np.diff(ends, prepend=-1, append=ends[-1:] + 1)) if len(ends) else []
+            for a, b in zip(cuts, cuts[1:]):
+                batch = whole.slice(a, b - a)
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(6)]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                keep = sizes - np.maximum(batch.column(5).to_numpy(), 1) + 1
+                repeat = lambda c: np.repeat(np.asarray(c), sizes)
+                yield record_batch(schema, *(repeat(batch.column(k)) for k in range(5)), repeat(sizes), repeat(keep), np.concatenate(sets))
 
     tokens = members.select("centre", "node", "comp", "n", "i", "least", "beyond").mapInArrow(outer, ", ".join(f"{c} long" for c in names))
     tokens = scratch.put(tokens.where("keep > 0"), "outer")
