@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_ivfpq, bpe, jaccard_join, line_dedup, packing, pii, quality_mil, repetition, toxicity_pu, url_trie
+from . import ann_ivfpq, bpe, filter_audit, jaccard_join, line_dedup, packing, pii, quality_mil, repetition, toxicity_pu, url_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_mil.op1_quality,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_nearest": ann_ivfpq.op9_nearest,
     "op10_packing": packing.op10_packing,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": url_trie.SQL,
     "op3_repetition_quality": repetition.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
