@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_ivfpq, bpe, filter_audit, jaccard_join, line_dedup, packing, pii, quality_mil, repetition, toxicity_pu, url_trie
+from . import ann_ivfpq, bpe, embedding_dedup, filter_audit, jaccard_join, line_dedup, packing, pii, quality_mil, repetition, toxicity_pu, url_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_mil.op1_quality,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": ann_ivfpq.op9_nearest,
     "op10_packing": packing.op10_packing,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
