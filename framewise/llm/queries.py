@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_ivfpq, bpe, embedding_dedup, filter_audit, jaccard_join, line_dedup, packing, pii, quality_mil, repetition, toxicity_pu, url_trie
+from . import ann_ivfpq, bpe, embedding_dedup, filter_audit, hard_negatives, jaccard_join, line_dedup, packing, pii, quality_mil, repetition, toxicity_pu, url_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_mil.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_nearest": ann_ivfpq.op9_nearest,
     "op10_packing": packing.op10_packing,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
