@@ -50,7 +50,7 @@ def capture_time(text: Column, subsecond: Column | None = None, offset: Column |
 
     def with_offset(x: Column) -> Column:
         own = F.coalesce(F.nullif(x["parts"][2], F.lit("")), x["other"], F.lit(""))
-        wall = F.unix_micros(F.try_to_timestamp(x["parts"][0], F.lit("yyyy-MM-dd HH:mm:ss")))  # in the session's zone, which is UTC
+        wall = F.unix_micros(F.try_to_timestamp(F.concat(x["parts"][0], F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX")))  # as if of UTC, whatever the session's zone
         micros = F.rpad(F.substring(F.coalesce(F.nullif(x["parts"][1], F.lit("")), x["extra"], F.lit("")), 1, 6), 6, "0").cast("long")
         return _bound(F.struct(own.alias("own"), wall.alias("wall"), micros.alias("micros")), found)
 
@@ -67,6 +67,12 @@ def capture_time(text: Column, subsecond: Column | None = None, offset: Column |
     return CaptureTime(_bound(given, with_offset))
 
 
+def wall_micros(time: Column) -> Column:
+    """Micros since 1970 of a time without a zone, as if of UTC, whatever the session's zone."""
+    seconds = (F.unix_date(time.cast("date")).cast("long") * 24 + F.hour(time)) * 3600 + F.minute(time) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("second"), time) * 1_000_000).cast("long")
+
+
 def first_time(candidates: list[tuple[str, CaptureTime]], fallback_micros: Column) -> Column:
     """``struct(micros, source, zone_source)`` of the first candidate that is a time, else of the file's own."""
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.operators.cache import route
+from framewise.sinks.journal import observed
+from framewise.storage import Scratch, write_table
 
 MODES = ("use", "refresh", "none")
 FINGERPRINT = ("size_bytes", "modified_ns")
@@ -32,42 +34,47 @@ def with_tags(pending: DataFrame, tags: DataFrame, *columns: str) -> DataFrame:
     return joined.withColumns({c: F.coalesce(filled(f"_bulk_{c}"), F.col(c)) for c in columns}).drop(*(f"_bulk_{c}" for c in columns))
 
 
-def failure(stage: str, kind: str, message: Column | str) -> list[Column]:
-    text = message if isinstance(message, Column) else F.lit(message)
-    return [F.lit(stage).alias("stage"), F.lit(kind).alias("error_type"), text.alias("message")]
+def failure(stage: str, kind: Column | str, message: Column | str) -> Column:
+    """``stage, error_type, message`` of one failed file."""
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(stage).alias("stage"), text(kind).alias("error_type"), text(message).alias("message"))
 
 
-def unchanged(evaluated: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose file still has the size and time it was evaluated with, and a failure for each of the others.
+def told_failure(error: Column, stage: str) -> Column:
+    """The failure of an error written ``Type: message``; null without one."""
+    parts = F.split(error, ": ", 2)
+    return F.when(error.isNotNull(), failure(stage, parts[0], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))))
 
-    ``now`` has ``file_path, size_bytes, modified_ns`` of a second scan.
+
+def changed_failure(evaluated: DataFrame, now: DataFrame) -> DataFrame:
+    """``evaluated`` with ``_changed``: a failure where the file no longer has the size and time it was evaluated with, else null.
+
+    ``now`` has ``file_path, size_bytes, modified_ns`` of a second scan; a file that it lacks has changed.
     """
-    again = now.select("file_path", *(F.col(c).alias(f"_now_{c}") for c in FINGERPRINT))
-    joined = evaluated.join(again, "file_path", "left")
-    same = F.lit(True)
+    again = now.select("file_path", F.lit(True).alias("_there"), *(F.col(c).alias(f"_now_{c}") for c in FINGERPRINT))
+    same = F.col("_there").isNotNull()
     for c in FINGERPRINT:
         same = same & F.col(c).eqNullSafe(F.col(f"_now_{c}"))
-    kept = joined.where(same & F.col("_now_size_bytes").isNotNull()).select(*evaluated.columns)
-    lost = joined.where(~(same & F.col("_now_size_bytes").isNotNull())).select("file_path", *failure("checkpoint", "RuntimeError", "File changed while it was being evaluated"))
-    return kept, lost
-
-
-def failed(rows: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
-    """Rows without ``error``, and a failure for each of the others; an error is written ``Type: message``."""
-    parts = F.split("error", ": ", 2)
-    message = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
-    lost = rows.where("error is not null").select("file_path", F.lit(stage).alias("stage"), parts[0].alias("error_type"), message.alias("message"))
-    return rows.where("error is null").drop("error"), lost
+    lost = F.when(~same, failure("checkpoint", "RuntimeError", "File changed while it was being evaluated"))
+    return evaluated.join(again, "file_path", "left").withColumn("_changed", lost).drop("_there", *(f"_now_{c}" for c in FINGERPRINT))
 
 
 @dataclass(frozen=True)
 class Run:
-    """``records`` of every candidate that has any, with ``cache_hit``; ``fresh``, those to keep for later runs; ``failures``."""
+    """What a run made of its candidates, read from one stored table.
+
+    ``records`` of every candidate that has any, with ``cache_hit``; ``fresh``,
+    those evaluated now, and ``refreshed``, those with new preset scores;
+    ``kept``, the fresh ones that later runs may use (none in mode ``none``);
+    ``failures``; and ``counts`` of each kind, taken while the table was written.
+    """
 
     records: DataFrame
     fresh: DataFrame
     refreshed: DataFrame
+    kept: DataFrame
     failures: DataFrame
+    counts: dict[str, int]
 
 
 def run(
@@ -82,17 +89,31 @@ def run(
     takes the misses and gives them back with all measures and ``error``;
     ``refresh`` takes rows of ``base`` and adds the preset's scores.  A file that
     ``rescan`` finds changed has no record.
+
+    The candidates' ways are written once and the outcome of every candidate
+    once, so each model sees a file once however much of the result is read.
     """
-    way = routed(candidates, base, presets, signature, preset, needs_pixels, mode)
+    scratch = Scratch()
+    way = scratch.put(routed(candidates, base, presets, signature, preset, needs_pixels, mode), "ways")
     known = way.where("route <> 'miss'").join(base.where(F.col("pipeline_signature") == signature).drop(*FINGERPRINT, "pipeline_signature"), "relative_path")
     scores = presets.where((F.col("pipeline_signature") == signature) & (F.col("preset") == preset)).drop("pipeline_signature", "preset")
-    hits = known.where("route = 'hit'").join(scores, "relative_path").withColumn("cache_hit", F.lit(True))
-    refreshed = refresh(known.where("route = 'preset'")).withColumn("cache_hit", F.lit(True))
-    made, broken = failed(evaluate(way.where("route = 'miss'")), "evaluation")
-    fresh, changed = unchanged(made, rescan)
-    fresh = fresh.withColumn("cache_hit", F.lit(False))
-    records = hits.unionByName(refreshed, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
-    return Run(records, fresh, refreshed, broken.union(changed))
+    none = F.lit(None).cast("struct<stage: string, error_type: string, message: string>")
+    hits = known.where("route = 'hit'").join(scores, "relative_path").withColumns({"_kind": F.lit("hit"), "_failure": none})
+    renewed = refresh(known.where("route = 'preset'")).withColumns({"_kind": F.lit("refreshed"), "_failure": none})
+    made = changed_failure(evaluate(way.where("route = 'miss'")), rescan)
+    made = made.withColumns({"_kind": F.lit("evaluated"), "_failure": F.coalesce(told_failure(F.col("error"), "evaluation"), F.col("_changed"))}).drop("error", "_changed")
+    every = hits.unionByName(renewed, allowMissingColumns=True).unionByName(made, allowMissingColumns=True)
+    every = every.withColumn("cache_hit", F.col("_kind") != "evaluated")
+    whole = F.col("_failure").isNull()
+    kinds = {"cached": F.col("cache_hit"), "refreshed": F.col("_kind") == "refreshed", "evaluated": (F.col("_kind") == "evaluated") & whole, "failed": ~whole}
+    paths: list[str] = []
+    counts = observed(every, lambda df: paths.append(write_table(df, "outcome")), discovered=F.count("*"), **{name: F.count_if(yes) for name, yes in kinds.items()})
+    told = every.sparkSession.read.schema(every.schema).parquet(*paths)
+    scratch.drop("ways")
+    records = told.where(whole).drop("_kind", "_failure")
+    fresh = records.where("not cache_hit")
+    failures = told.where(~whole).select("file_path", "_failure.*")
+    return Run(records, fresh, told.where("_kind = 'refreshed'").drop("_kind", "_failure"), fresh if mode != "none" else fresh.where("false"), failures, counts)
 
 
 def some(records: DataFrame) -> DataFrame:
@@ -102,10 +123,7 @@ def some(records: DataFrame) -> DataFrame:
     return records
 
 
-def phase_counts(run: Run, candidates: DataFrame) -> DataFrame:
-    """One row: ``discovered, cached, refreshed, evaluated, failed``."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))  # noqa: E731  # one row each
-    out = one(candidates, "discovered")
-    for df, name in ((run.records.where("cache_hit"), "cached"), (run.refreshed, "refreshed"), (run.fresh, "evaluated"), (run.failures, "failed")):
-        out = out.crossJoin(one(df, name))
-    return out
+def phase_counts(run: Run) -> DataFrame:
+    """One row: ``discovered, cached, refreshed, evaluated, failed``, as counted while the outcome was written."""
+    names = ("discovered", "cached", "refreshed", "evaluated", "failed")
+    return run.records.sparkSession.createDataFrame([tuple(run.counts[n] for n in names)], ", ".join(f"{n} long" for n in names))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewise.functions.metadata import wall_micros
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,7 +22,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     exposed = F.lit(0.1) * ((id_ * 29) % 83) / F.lit(82.0)
     rows = table(spark, sf_dir, "events").select(
         id_.alias("capture_id"), path.alias("file_path"), F.lower(path).alias("path_key"), F.element_at(F.split(path, "/"), -1).alias("file_name"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.when(id_ % 7 == 0, "").otherwise(F.concat(F.lit("SN"), (F.col("user_id") % 3).cast("string"))).alias("camera_serial"),
+        wall_micros(F.col("ts")).alias("ts_us"), F.when(id_ % 7 == 0, "").otherwise(F.concat(F.lit("SN"), (F.col("user_id") % 3).cast("string"))).alias("camera_serial"),
         F.concat(F.lit("M"), (F.col("user_id") % 2).cast("string")).alias("camera_model"), F.when(id_ % 5 == 0, "x").otherwise((id_ % 12).cast("string")).alias("sequence_number"),
         F.when(id_ % 97 != 5, F.col("value")).alias("focus_score"), (F.lit(20.0) + F.lit(60.0) * ((id_ * 37) % 101) / F.lit(100.0)).alias("musiq_score"),
         (F.lit(3.0) + F.lit(5.0) * ((id_ * 53) % 97) / F.lit(96.0)).alias("aesthetic_score"), ((id_ * F.lit(2654435761)) % F.lit(4294967296)).alias("phash"),
@@ -94,7 +96,7 @@ def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Offset"), F.when(id_ % 5 == 3, "-04:00").otherwise(""), F.lit("Model"), F.when(id_ % 2 == 0, "").otherwise("M1"), F.lit("CameraModelName"), F.lit("M2"),
         F.lit("SerialNumber"), F.when(id_ % 3 == 0, "").otherwise(F.concat(F.lit("S"), (id_ % 9).cast("string"))), F.lit("ImageNumber"), id_.cast("string"),
     )
-    return table(spark, sf_dir, "events").select(id_.alias("capture_id"), tags.alias("tags"), F.unix_micros(F.col("ts").cast("timestamp")).alias("modified_us"))
+    return table(spark, sf_dir, "events").select(id_.alias("capture_id"), tags.alias("tags"), wall_micros(F.col("ts")).alias("modified_us"))
 
 
 EXIF = """exif AS (

@@ -547,7 +547,7 @@ def cache_rekeyed(spark, sf_dir):
 # --- incremental runs -------------------------------------------------------------------
 
 
-def _run(spark: SparkSession, sf_dir: str, mode: str) -> tuple[incremental.Run, DataFrame]:
+def _run(spark: SparkSession, sf_dir: str, mode: str) -> incremental.Run:
     """The kept rows of :func:`views.cache`, a model that fails on some rows, and files that change meanwhile."""
     base, presets = views.cache(spark, sf_dir)
     id_ = F.col("event_id")
@@ -561,7 +561,7 @@ def _run(spark: SparkSession, sf_dir: str, mode: str) -> tuple[incremental.Run,
     evaluate = lambda rows: rows.withColumns({"focus_score": F.col("capture_id") * 2.0, "subject_integrity": F.lit(0.7), "error": error})
     refresh = lambda rows: rows.withColumn("subject_integrity", F.lit(0.8))
     rescan = files.where("capture_id % 19 <> 0").withColumn("modified_ns", F.col("modified_ns") + F.when(F.col("capture_id") % 23 == 0, 1).otherwise(0))
-    return incremental.run(files, base, presets, "algorithm=5", "wildlife", evaluate, refresh, rescan, mode=mode), files
+    return incremental.run(files, base, presets, "algorithm=5", "wildlife", evaluate, refresh, rescan, mode=mode)
 
 
 _ROUTED = """kept AS (SELECT event_id, event_id % 3 <> 0 AND event_id % 13 <> 0 AND event_id % 11 <> 0 AND {0} AS base, event_id % 2 = 0 AS preset FROM events),
@@ -575,22 +575,23 @@ def _run_queries(mode: str, known: str) -> None:
     @query(f"""WITH {ways} SELECT event_id AS capture_id, route <> 'miss' AS cache_hit, event_id * CASE WHEN route = 'miss' THEN 2e0 ELSE 5e-1 END AS focus_score,
   CASE route WHEN 'hit' THEN 9e-1 WHEN 'preset' THEN 8e-1 ELSE 7e-1 END AS subject_integrity FROM told WHERE error IS NULL""", name=f"incremental_records_{mode}")
     def records(spark, sf_dir):
-        return _run(spark, sf_dir, mode)[0].records.select("capture_id", "cache_hit", "focus_score", "subject_integrity")
+        return _run(spark, sf_dir, mode).records.select("capture_id", "cache_hit", "focus_score", "subject_integrity")
 
     @query(f"""WITH {ways} SELECT count(*) AS discovered, count(*) FILTER (route <> 'miss') AS cached, count(*) FILTER (route = 'preset') AS refreshed,
   count(*) FILTER (route = 'miss' AND error IS NULL) AS evaluated, count(error) AS failed FROM told""", name=f"phase_counts_{mode}")
     def counts(spark, sf_dir):
-        return incremental.phase_counts(*_run(spark, sf_dir, mode))
+        return incremental.phase_counts(_run(spark, sf_dir, mode))
 
 
 _run_queries("use", "true")
 _run_queries("refresh", "false")
+_run_queries("none", "false")
 
 
 @query(f"""WITH {_ROUTED.format("true")} SELECT '/r/d/' || event_id::VARCHAR AS file_path, CASE error WHEN 'ValueError' THEN 'evaluation' ELSE 'checkpoint' END AS stage, error AS error_type,
   CASE error WHEN 'ValueError' THEN 'no picture' ELSE 'File changed while it was being evaluated' END AS message FROM told WHERE error IS NOT NULL""")
 def incremental_failures(spark, sf_dir):
-    return reports.report_rows(_run(spark, sf_dir, "use")[0].failures, reports.FAILURE_COLUMNS)
+    return reports.report_rows(_run(spark, sf_dir, "use").failures, reports.FAILURE_COLUMNS)
 
 
 @query("""SELECT event_id AS capture_id, CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 0 THEN 'T' || (event_id % 5)::VARCHAR ELSE 'E' || (event_id % 7)::VARCHAR END AS camera_model,

@@ -8,11 +8,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.files import csv_safe
 from framewise.functions.scoring import MULTIPLIERS
+from framewise.storage import hadoop, take_name
 
 # Fixed values.
 REPORT_COLUMNS = (
@@ -32,34 +33,36 @@ def report_rows(evaluated: DataFrame, columns: tuple[str, ...] = REPORT_COLUMNS)
     return evaluated.select(*(safe(c).alias(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in columns))
 
 
+def iso_text(micros: Column) -> Column:
+    """Micros since 1970 as a time of UTC, whatever the session's zone."""
+    day, second = 86_400_000_000, 1_000_000
+    rest = F.pmod(micros, F.lit(day))
+    whole = lambda n: F.floor(rest / n)
+    clock = F.format_string("%02d:%02d:%02d.%06d", whole(3600 * second), whole(60 * second) % 60, whole(second) % 60, rest % second)
+    return F.concat(F.date_from_unix_date(((micros - rest) / day).cast("int")).cast("string"), F.lit("T"), clock)
+
+
 def iso_times(rows: DataFrame) -> DataFrame:
     """``timestamp`` with its own offset and ``timestamp_utc``, from ``ts_us`` and ``tz_offset_minutes``."""
-    shape = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    m = F.coalesce("tz_offset_minutes", F.lit(0))
+    m = F.coalesce("tz_offset_minutes", F.lit(0)).cast("long")
     zone = F.concat(F.when(m < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(m) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(m) % 60).cast("string"), 2, "0"))
-    return rows.withColumns({"timestamp": F.concat(shape(F.col("ts_us") + m * F.lit(60_000_000)), zone), "timestamp_utc": F.concat(shape(F.col("ts_us")), F.lit("+00:00"))})
+    return rows.withColumns({"timestamp": F.concat(iso_text(F.col("ts_us") + m * F.lit(60_000_000)), zone), "timestamp_utc": F.concat(iso_text(F.col("ts_us")), F.lit("+00:00"))})
 
 
 def write_csv(rows: DataFrame, path: str, *order: str) -> None:
     """A CSV folder, sorted over all its files.
 
     It is written aside; when it is whole, an earlier one makes way and the
-    new one takes the name.  Whatever fails before leaves the earlier one.
+    new one takes the name.  Whatever fails leaves the earlier one, under its
+    name or, where even that fails, beside it with the ending ``old``.
     """
     aside, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{word}" for word in ("part", "old"))
-    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    here, new, before = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, old))
-    files = here.getFileSystem(conf)
+    files, new = hadoop(rows.sparkSession, aside)
     try:
         (rows.orderBy(*order) if order else rows).write.option("header", True).csv(aside)
-        if files.exists(here):
-            files.rename(here, before)
-        if not files.rename(new, here):
-            files.rename(before, here)
-            raise OSError(f"{aside} could not take the name {path}")
+        take_name(files, new, hadoop(rows.sparkSession, path)[1], hadoop(rows.sparkSession, old)[1])
     finally:
-        for left in (new, before):
-            files.delete(left, True)
+        files.delete(new, True)
 
 
 def feedback_template(ranked: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +71,72 @@ def drop_tables(*paths: str) -> None:
             pass
 
 
+def hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system of a path, and the path, of the JVM."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A new folder; an error where the name is taken."""
+    files, target = hadoop(spark, path)
+    if files.exists(target):
+        raise FileExistsError(path)
+    files.mkdirs(target)
+
+
+def _rename(spark: SparkSession, new: str, path: str, over: bool) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE if over else kind.NONE
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (new, path))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(source, target, how)
+
+
+def write_text(spark: SparkSession, path: str, text: str, over: bool = True) -> None:
+    """A file that appears whole or not at all, in any store; without ``over`` a FileExistsError where the name is taken."""
+    aside = f"{path}.{uuid.uuid4().hex}"
+    files, target = hadoop(spark, aside)
+    out = files.create(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        _rename(spark, aside, path, over)
+    except Exception as error:
+        files.delete(target, False)
+        if not over and files.exists(hadoop(spark, path)[1]):
+            raise FileExistsError(path) from error
+        raise
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, target = hadoop(spark, path)
+    with_ = files.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(with_)).decode()
+    finally:
+        with_.close()
+
+
+def take_name(files: Any, new: Any, here: Any, before: Any) -> None:
+    """``new`` gets the name ``here``.  What has it so far waits as ``before``: it goes when that is done, and comes back where it fails."""
+    waits = files.exists(here)
+    if waits and not files.rename(here, before):
+        raise OSError(f"{here} could not make way")
+    try:
+        if not files.rename(new, here):
+            raise OSError(f"{new} could not take the name {here}")
+    except BaseException:
+        if waits and not files.exists(here):
+            files.rename(before, here)
+        raise
+    if waits:
+        files.delete(before, True)
+
+
 class Scratch:
     """Tables of one run of an operator, by name, so that each goes after its last reader."""
 

@@ -10,6 +10,7 @@ import types
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from framewise import storage
 from framewise.functions import files as ff
@@ -18,10 +19,10 @@ from framewise.functions.scoring import PROFILES
 from framewise.operators import cache, explain, families, features, feedback, incremental, ranking, selection
 from framewise.operators.bursts import BurstRules, group_bursts
 from framewise.operators.ordering import Ordered, value_ranks
-from framewise.sinks import export
+from framewise.sinks import export, reports
 from framewise.sinks.export import copy_plan, rated_xmp
 from framewise.sinks.reports import review_page, write_csv
-from framewise.sinks.run_log import RunLog, append_failures
+from framewise.sinks.journal import Journal, observed
 from framewise.sources import files as fs
 from framewise.sources.reports import read_evaluation
 
@@ -286,22 +287,110 @@ def test_csv_and_log(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         write_csv(bad, path)
     assert spark.read.option("header", True).csv(path).count() == 1 and os.listdir(tmp_path) == ["out"]
-    log = RunLog(str(tmp_path / "run"), {"preset": "balanced"})
-    log.phase("lookup")
-    log.counts(spark.createDataFrame([(3, 1)], "discovered long, failed long"))
-    append_failures(spark.createDataFrame([], incremental.FAILURE), log.folder)
-    append_failures(spark.createDataFrame([("/x", "decode", "ValueError", "=bad")], incremental.FAILURE), log.folder)
-    log.output("report", path)
-    log.finish()
-    told = json.loads((tmp_path / "run/run.json").read_text())
-    assert told["status"] == "completed" and told["counts"] == {"discovered": 3, "failed": 1} and set(told["timings_seconds"]) == {"initializing", "lookup"}
-    assert [r["message"] for r in spark.read.option("header", True).csv(f"{log.folder}/failures").collect()] == ["'=bad"]
-    with pytest.raises(FileExistsError):
-        RunLog(log.folder, {})
     with pytest.raises(RuntimeError):
         incremental.some(rows.limit(0))
 
 
+class Files:
+    """A file system of names, of which some renames fail."""
+
+    def __init__(self, names, bad=()):
+        self.names, self.bad = set(names), bad
+
+    def exists(self, name):
+        return name in self.names
+
+    def rename(self, a, b):
+        if (a, b) in self.bad:
+            raise OSError("away")
+        if a not in self.names or b in self.names:
+            return False
+        self.names = self.names - {a} | {b}
+        return True
+
+    def delete(self, name, deep):
+        self.names -= {name}
+
+
+def test_a_report_that_cannot_take_its_name_leaves_the_earlier_one():
+    files = Files({"new", "here"})
+    storage.take_name(files, "new", "here", "before")
+    assert files.names == {"here"}
+    files = Files({"new", "here"}, bad={("new", "here")})
+    with pytest.raises(OSError):
+        storage.take_name(files, "new", "here", "before")
+    assert files.names == {"new", "here"}
+    files = Files({"new", "here"}, bad={("new", "here"), ("before", "here")})
+    with pytest.raises(OSError):
+        storage.take_name(files, "new", "here", "before")
+    assert files.names == {"new", "before"}
+    files = Files({"new", "here", "before"})
+    with pytest.raises(OSError):
+        storage.take_name(files, "new", "here", "before")
+    assert files.names == {"new", "here", "before"}
+
+
+def test_journal(spark, tmp_path):
+    rows = spark.range(10)
+    book = Journal(spark, str(tmp_path / "run"), {"preset": "balanced"}, {"quality": "sha256:00"})
+    with book.step("lookup") as step:
+        made = book.write(step, rows, lambda df: df.write.parquet(f"{tmp_path}/a"), n=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
+        assert made == {"n": 10, "even": 5}
+        book.write(step, rows.limit(0), lambda df: df.write.parquet(f"{tmp_path}/b"), n=F.count("*"))
+    with pytest.raises(ValueError), book.step("decode"):
+        raise ValueError("no picture")
+    book.failures(spark.createDataFrame([], incremental.FAILURE))
+    book.failures(spark.createDataFrame([("/x", "decode", "ValueError", "=bad")], incremental.FAILURE))
+    book.output("report", "/r")
+    told = json.loads((tmp_path / "run/run.json").read_text())
+    assert [(s["step"], s["outcome"], s["counts"]) for s in told["steps"]] == [("lookup", "done", {"n": 10, "even": 5}), ("decode", "ValueError: no picture", {})]
+    assert told["options"] == {"preset": "balanced"} and told["models"] == {"quality": "sha256:00"} and told["files"] == {"report": "/r"} and told["software"]["spark"] == spark.version
+    assert {(r["step"], r["rows"]) for r in book.costs().collect()} == {("lookup", 10), ("decode", 0)} and book.table().count() == 2
+    assert [r["message"] for r in spark.read.option("header", True).csv(f"{book.folder}/failures").collect()] == ["'=bad"]
+    with pytest.raises(FileExistsError):
+        Journal(spark, book.folder)
+
+
+def test_a_run_calls_its_model_once_a_file(spark, tmp_path):
+    """However many of its tables are read; its counts take no job of their own."""
+    n = 40
+    files = spark.range(n).select(F.concat(F.lit("/r/"), F.col("id").cast("string")).alias("file_path"), F.col("id").cast("string").alias("relative_path"), F.lit(1).cast("long").alias("size_bytes"), F.lit(2).cast("long").alias("modified_ns"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch.assign(focus_score=batch["relative_path"].astype(float), error=[None if int(p) % 4 else "ValueError: dark" for p in batch["relative_path"]])
+
+    evaluate = lambda rows: rows.mapInPandas(model, StructType([*rows.schema.fields]).add("focus_score", "double").add("error", "string"))
+    base = spark.createDataFrame([], "relative_path string, pipeline_signature string, size_bytes long, modified_ns long, focus_score double")
+    presets = spark.createDataFrame([], "relative_path string, pipeline_signature string, preset string, subject_integrity double")
+    rescan = files.where("relative_path <> '3'")
+    run = incremental.run(files, base, presets, "s", "p", evaluate, lambda rows: rows, rescan)
+    assert run.records.count() == 29 and run.fresh.count() == 29 and run.refreshed.count() == 0 and run.failures.count() == 11 and run.kept.count() == 29
+    assert calls.value == n
+    assert tuple(incremental.phase_counts(run).first()) == (40, 0, 0, 29, 11) and calls.value == n
+    assert incremental.run(files, base, presets, "s", "p", evaluate, lambda rows: rows, rescan, mode="none").kept.count() == 0
+    assert observed(files.limit(0), lambda df: df.write.parquet(f"{tmp_path}/none"), n=F.count("*")) == {"n": 0}
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_times_in_any_session_zone(spark, zone):
+    texts = [("2024:01:31 12:00:00Z",), ("2024:03:10 02:30:00",), ("2024:11:03 01:30:00.5-04:00",), ("1969-12-31 23:59:59.25",)]
+    rows = spark.createDataFrame(texts, "t string")
+    own, berlin = (metadata.capture_time(F.col("t"), zone=z).micros for z in ("UTC", "Europe/Berlin"))
+    seen = rows.select(own.alias("ts_us"), berlin.alias("b"), F.lit(-90).alias("tz_offset_minutes"))
+    wall = spark.sql("select timestamp_ntz '2024-03-10 02:30:00.123456' as t").select(metadata.wall_micros(F.col("t")))
+    want = [tuple(r) for r in reports.iso_times(seen).collect()], wall.first()[0]
+    assert want[0][0] == (1706702400000000, 1706702400000000, -90, "2024-01-31T10:30:00.000000-01:30", "2024-01-31T12:00:00.000000+00:00")
+    assert want[0][3][0] == -750000 and want[0][3][4] == "1969-12-31T23:59:59.250000+00:00" and want[1] == 1710037800123456
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert ([tuple(r) for r in reports.iso_times(seen).collect()], wall.first()[0]) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_export_checks_its_sources(spark, tmp_path):
     (tmp_path / "x.jpg").write_bytes(b"12")
     os.symlink(tmp_path / "x.jpg", tmp_path / "l.jpg")
