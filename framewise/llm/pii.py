@@ -290,7 +290,11 @@ class Pseudonyms:
     def date(self, text: str) -> str | None:
         """A day of 1900 to 2099 as year-month-day, day.month.year or month/day/year (day/month/year where only that is a date), or with the month's name.
 
-        Day and month keep their number of digits, a name its language and case.
+        The day is permuted once among all days, so every spelling of a day
+        gets the same other day; the spelling follows it: a field of one digit
+        has two where it takes them, and a month's name is of the list that the
+        old one was found in.  So a day turns back, but perhaps with a 0 or another
+        list's name.  Day/month/year alone stands apart, as its day must stay above 12.
         """
         at = [m for m in re.finditer(r"[0-9]+|[^\W\d_]+", text) if m[0].lower() not in ("de", "del")]
         parts = [m[0] for m in at]
@@ -314,16 +318,14 @@ class Pseudonyms:
         while True:
             day = _FIRST_DAY + self.feistel.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, b"date", self.back)
             made = datetime.date.fromordinal(day)
-            if swapped and made.day <= 12 or len(parts[order[2]]) == 1 and made.day > 9:
-                continue
-            if len(parts[order[1]]) == 1 and made.month > 9 if names is None else _MONTH_OF.get(_MONTHS[names][made.month - 1]) != (names, made.month):
-                continue
-            break
+            if not swapped or made.day > 12:
+                break
         fields = [""] * 3
         for i, v in zip(order, (made.year, made.month, made.day)):
             fields[i] = f"{v:0{len(parts[i])}d}"
         if names is not None:
             name, old = _MONTHS[names][made.month - 1], parts[named]
+            name = _MONTHS[1][made.month - 1] if name == "-" else name
             fields[named] = name.upper() if old.isupper() else name.title() if old.istitle() else name
         out, pos = "", 0
         for m, field in zip(at, fields):
@@ -351,7 +353,7 @@ _YEAR = rb"(?:19|20)[0-9]{2}"
 _NAMES = "|".join(sorted((f(n) for n in _MONTH_OF for f in (str.lower, str.title, str.upper)), key=len, reverse=True)).encode()
 _PATTERNS = {
     # a value reaches to its closing quote, without quotes to white space
-    "secret": rb"(?:(?i:(?<![0-9A-Za-z\x80-\xff])(?:password|passwd|pwd|token|secret(?:[_-]?key)?|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3})(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)|[\"']?(?P<bare>[^\s\"'][^\s]{7,}))|"
+    "secret": rb"(?:(?i:(?<![0-9A-Za-z\x80-\xff])(?:password|passwd|pwd|token|secret(?:[_-]?key)?|api[_-]?key|access[_-]?key)\b[\"']?[ \t]*+[=:][ \t]*+)(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])++)(?P=quote)|[\"']?(?P<bare>[^\s\"'][^\s]{7,}))|"
     + _B + rb"(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_\-]{20,})" + _E + rb")",
     # signs before the first letter or digit are not part of the address
     "email": rb"(?<![0-9A-Za-z._%+\-\x80-\xff])[._%+\-]*+(?P<address>[0-9A-Za-z\x80-\xff][0-9A-Za-z._%+\-\x80-\xff]*+@(?:[0-9A-Za-z]++(?:-++[0-9A-Za-z]++)*+\.)+(?:[A-Za-z]{2,}+|xn--[0-9A-Za-z\-]++))(?![0-9A-Za-z\x80-\xff])",
@@ -513,4 +515,5 @@ def pseudonymise(docs: DataFrame, options: PiiOptions) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` with pseudonyms under the session's key; nulls and odd rows as in :func:`pseudonymised`."""
     return pseudonymised(table(spark, sf_dir, "documents"), PiiOptions.of_session(spark))

@@ -21,10 +21,9 @@ from .spans import Spans, U, mix, repeated
 
 @dataclass(frozen=True)
 class MilOptions:
-    """``sample``: labelled documents of each label to learn from, at most, and ``passages`` of each of these, evenly drawn.  ``threshold``: the score that decides best."""
+    """``sample``: labelled documents of each label to learn from, at most; all passages of each count.  ``threshold``: the score that decides best."""
 
     sample: int = 3000
-    passages: int = 128
     passage_words: int = 64
     hidden: int = 24
     gate: int = 12
@@ -193,8 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, options: MilOptions) -> MilModel:
         for batch, texts in text_chunks(batches):
             x, doc = passage_features(texts, words)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            drawn = [x[a:b] if b - a <= options.passages else x[np.linspace(a, b - 1, options.passages).astype(int)] for a, b in zip(cuts, cuts[1:])]
-            yield record_batch(schema, batch.column(0), batch.column(1), [d.tobytes() for d in drawn])
+            yield record_batch(schema, batch.column(0), batch.column(1), [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
 
     # at most twice ``sample`` rows, so the ids are broadcast
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
@@ -222,8 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, options: MilOptions) -> MilModel:
 def quality_scores(docs: DataFrame, model: MilModel, options: MilOptions, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` for each row of ``docs``: 0 to 1, higher for label 1; the whole text counts.
 
-    Null and empty texts are one empty passage and get that passage's score.
-    Repeated rows are scored row by row; other columns are not read.
+    Null and empty texts are one empty passage and get that passage's score; a null
+    id stays null.  Texts of any length are read in passages, with memory for one text
+    and its passages.  Repeated rows are scored row by row; an empty table gives no rows;
+    other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -238,6 +238,7 @@ def quality_scores(docs: DataFrame, model: MilModel, options: MilOptions, id_col
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents``, learnt from the labels that are not held out; nulls and odd rows as in :func:`quality_scores`."""
     options = MilOptions()
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

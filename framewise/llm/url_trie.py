@@ -114,7 +114,9 @@ def url_verdicts(
 ) -> DataFrame:
     """Host, path, deciding rule and verdict for each row of ``pages``.
 
-    ``rules`` may be a table ``verdict, host, path``.  A null or malformed URL
+    ``rules`` may be a table ``verdict, host, path``; a null field of it is an
+    empty text, so a rule without a path fits all paths, one without a host fits
+    hosts that end with a dot, and one without a verdict is an error.  A null or malformed URL
     has an empty host and path, no rule, and the ``default`` verdict, as has a
     URL that no rule fits.  Repeated rows are judged row by row; an empty table
     gives no rows; other columns are not read.  Up to ``most`` rules are
@@ -128,7 +130,7 @@ def url_verdicts(
         if len(rules) > most:
             rules = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
     elif rules.count() <= most:
-        rules = [UrlRule(*r) for r in rules.select("verdict", "host", "path").collect()]
+        rules = [UrlRule(*(x or "" for x in r)) for r in rules.select("verdict", "host", "path").collect()]
     if isinstance(rules, DataFrame):
         return _joined(chosen, rules, default)
     trie = spark.sparkContext.broadcast(UrlTrie(rules))
@@ -179,11 +181,13 @@ def _joined(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     tails = visited.join(nodes, ["at", "base"]).select("host", "path", "at", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("path"))
     hits = tails.withColumn("prefix", F.col("path").substr(F.lit(1), F.col("size"))).join(single, ["at", "prefix"])
     best = hits.groupBy("host", "path").agg(F.max("hit").alias("hit"))
-    out = parts.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    nowhere = parts.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    out = parts.where("host <> ''").join(best, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")).union(nowhere)
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL of ``pages`` under the four rules; nulls and odd rows as in :func:`url_verdicts`."""
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 

@@ -120,6 +120,44 @@ def test_bpe_query_equals_the_library(spark):
     assert not got
 
 
+def test_null_fields_of_rules_mean_the_same_on_both_paths(spark):
+    rules = spark.createDataFrame([("block", "com", None), ("allow", None, "/x"), ("allow", "a.com", "/en/"), ("block", "a.com", "/en/"), ("allow", "b.com", None), ("block", "B.com", "")], "verdict string, host string, path string")
+    urls = ["http://a.com", "http://a.com/en/1", "http://b.com/x", "http://c.com./x", "http://c.com./y", "http://.com", "x", "", None, "://", "http://org/x"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    one, other = (url_trie.url_verdicts(pages, rules, most=m).orderBy("page_id").collect() for m in (0, 10))
+    assert one == other and len(one) == len(urls)
+    assert [(r["rule"], r["verdict"]) for r in one[:7]] == [("com", "block"), ("a.com/en/", "block"), ("B.com", "block"), ("/x", "allow"), (None, "allow"), ("com", "block"), (None, "allow")]
+    unknown = rules.union(spark.createDataFrame([(None, "d.com", "")], rules.schema))
+    for most in (0, 10):
+        with pytest.raises(Exception, match="verdict|not a rule"):
+            url_trie.url_verdicts(pages, unknown, most=most).collect()
+
+
+def test_quality_scores_equal_a_plain_forward_pass(spark):
+    """Passage by passage and number by number, on whole texts with more passages than a learning step ever holds of one."""
+    options = quality_mil.MilOptions(rounds=3)
+    texts = ["good words here. " * 5, "", None, "x " * 40_000, "One. Two! Three? " * 50, "a\nb\nc " * 700, "buy now $$$ " * 30]
+    df = docs(spark, texts)
+    model = quality_mil.train(df, df.select("doc_id", (F.col("doc_id") % 2).alias("label")), options)
+    got = {r["doc_id"]: r["score"] for r in quality_mil.quality_scores(df, model, options).collect()}
+    p = {k: v.tolist() for k, v in model.p.items()}
+    for i, text in enumerate(texts):
+        words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+        x, _ = quality_mil.passage_features([(text or "").encode()], options.passage_words)
+        assert len(x) == max(1, -(-len(words) // options.passage_words))
+        encoded, weights = [], []
+        for row in x.tolist():
+            row = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(row, model.mean.tolist(), model.scale.tolist())]
+            h = [np.tanh(sum(v * w[j] for v, w in zip(row, p["W"])) + p["b"][j]) for j in range(options.hidden)]
+            t = [np.tanh(sum(v * w[j] for v, w in zip(h, p["V"]))) for j in range(options.gate)]
+            g = [1 / (1 + np.exp(-sum(v * w[j] for v, w in zip(h, p["U"])))) for j in range(options.gate)]
+            encoded.append(h)
+            weights.append(np.exp(sum(a * b * c for a, b, c in zip(t, g, p["w"]))))
+        z = [sum(w * h[j] for w, h in zip(weights, encoded)) / sum(weights) for j in range(options.hidden)]
+        logit = sum(a * b for a, b in zip(z, p["c"])) + p["d"][0] - model.shift
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-6, abs=1e-9), i
+
+
 def test_both_encoders_of_packing():
     both, rng = packing.TokenIds.load(bpe.default_path()), np.random.default_rng(3)
     words = [r for r in "the of and wolf tree 12 3456 !? é 中文 \n\n    don't".split(" ")]
@@ -296,24 +334,64 @@ FORMS = {
 }
 
 
+def day_of(text):
+    """The day that a spelling means, read anew; and the spelling without its figures and names."""
+    names = {name: i for names in pii._MONTHS for i, name in enumerate(names, 1)}
+    words = [w for w in re.findall(r"[0-9]+|[^\W\d_]+", text) if w.lower() not in ("de", "del")]
+    month = next((names[w.lower()] for w in words if w.isalpha()), None)
+    numbers = [int(w) for w in words if w.isdigit()]
+    year = max(numbers)
+    rest = [n for n in numbers if n != year]
+    if month is None:
+        month, day = rest if numbers[0] == year or ("/" in text and rest[0] <= 12) else rest[::-1]
+    else:
+        day = rest[0]
+    return datetime.date(year, month, day)
+
+
 @pytest.mark.parametrize("kind", FORMS)
 def test_other_forms_of_values(kind):
     for value in FORMS[kind]:
-        alone = round_trip(value)[0]
+        if kind == "date":
+            alone, found = pii.Replacer(KEY).text(value.encode())
+            back, again = pii.Replacer(KEY, back=True).text(alone)
+            assert found == again == ["date"] and day_of(back.decode()) == day_of(value) != day_of(alone.decode()), value
+            alone = alone.decode()
+        else:
+            alone = round_trip(value)[0]
         for text in (f"see {value}, and {value}.", f"({value})", *(f"{value} {w}" for w in VALUES.values())):
-            new, found = round_trip(text)
+            new, found = (pii.Replacer(KEY).text(text.encode())[0].decode(), [kind]) if kind == "date" else round_trip(text)
             assert found[0] == kind and alone in new and value not in new, text
-        shape = lambda s: re.sub(r"[^\W\d]+", "a", re.sub(r"\d", "9", s))
+        shape = lambda s: re.sub(r"[^\W\d]+", "a", re.sub(r"\d+" if kind == "date" else r"\d", "9", s))  # noqa: E731, B023
         assert shape(alone) == shape(value)
     assert round_trip("at 2024-02-29T10:00:00Z")[1] == ["date"]
     for text in ("(112) 555-0123 112-555-0123 212-155-0123", "31.2.2024 30 February 2024 0/1/2024", "3782 822463 10006", "0012345678 00 12", "1.2.3 10/12 2024", "may 2024 or 5 apples"):
         assert round_trip(text) == (text, [])
 
 
-def test_dates_of_one_shape_are_a_permutation():
-    made = pii.Pseudonyms(b"k")
-    days = [f"{d}/{m}/{y}" for y in range(1900, 2100) for m in range(1, 10) for d in range(1, 10)]
-    assert sorted(map(made.date, days)) == sorted(days)
+def test_every_spelling_of_a_day_gets_the_same_day():
+    made = pii.Pseudonyms(KEY.key)
+    for day in (datetime.date(2024, 2, 5), datetime.date(1999, 11, 30), datetime.date(2024, 4, 1), datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)):
+        y, m, d = day.year, day.month, day.day
+        names = {x[m - 1] for x in pii._MONTHS} - {"-"}
+        forms = [f"{y}-{m:02d}-{d:02d}", f"{y}-{m}-{d}", f"{y}/{m:02d}/{d:02d}", f"{d}.{m}.{y}", f"{d:02d}.{m:02d}.{y}", f"{m}/{d}/{y}", f"{m:02d}/{d:02d}/{y}"]
+        forms += [f for n in names for f in (f"{d} {n.title()} {y}", f"{n.upper()} {d}, {y}", f"{d:02d}-{n}-{y}", f"{d}. {n.title()} {y}", f"{d} de {n} de {y}")]
+        for form in forms:
+            assert pii.Replacer(KEY).text(form.encode())[1] == ["date"], form
+        assert len({day_of(made.date(form)) for form in forms}) == 1, day
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73_049)]
+    for form in ("{0:%Y-%m-%d}", "{0:%d.%m.%Y}", "{0:%m/%d/%Y}"):
+        texts = [form.format(d) for d in days]
+        assert sorted(map(made.date, texts)) == sorted(texts)  # of fixed width: a permutation of the spellings too
+    swapped = [f"{d}/{m}/{y}" for y in range(1900, 2100) for m in range(10, 13) for d in range(13, 31)]
+    assert all(day_of(made.date(t)).day > 12 for t in swapped) and len(set(map(made.date, swapped))) == len(swapped)
+
+
+@pytest.mark.parametrize("blanks", ["", " ", "    ", " " * 20, "\t", "\t\t \t\t\t"])
+def test_any_blanks_around_the_sign_of_a_secret(blanks):
+    for text in ("password{0}={0}hunter2hunter2", "token{0}:{0}abcdefgh12345678", 'api_key{0}={0}"some words here 1"', "secret-key{0}={0}'p@ssw0rd99'"):
+        new, found = round_trip(text.format(blanks))
+        assert found == ["secret"] and not any(x in new for x in ("hunter2", "abcdefgh", "some words", "p@ssw0rd"))
 
 
 def brute_components(rows, words=5, percent=75):
