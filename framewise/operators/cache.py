@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.files import strip_preset
@@ -29,18 +29,31 @@ def append_both(base: DataFrame, presets: DataFrame, base_path: str, preset_path
     append(base, base_path)
 
 
-def route(candidates: DataFrame, base: DataFrame, presets: DataFrame, signature: str, preset: str, needs_pixels: bool = False) -> DataFrame:
-    """``candidates(relative_path, size_bytes, modified_ns, ...)`` with ``route``.
+def way_of(base: Column, scores: Column, needs_pixels: bool) -> Column:
+    """``hit``, ``preset`` or ``miss``, from whether a row has its measures and its preset's scores."""
+    return F.when(~base, "miss").when(scores, "hit").otherwise("miss" if needs_pixels else "preset")
+
+
+def known(candidates: DataFrame, base: DataFrame, presets: DataFrame, signature: str, preset: str, needs_pixels: bool = False) -> DataFrame:
+    """``candidates(relative_path, size_bytes, modified_ns, ...)`` with ``route`` and what is kept of them: ``_kept``, measures, and ``_scores``, of the preset.
 
-    ``hit``: both tables have it.  ``preset``: the metrics are there, the
-    preset's scores are not (``miss`` instead where a preset needs pixels).
-    ``miss``: no row, or the file or signature has changed.
+    ``hit``: both are there.  ``preset``: the measures are, the preset's scores
+    are not (``miss`` instead where a preset needs pixels).  ``miss``: no
+    measures, or those of another file or signature.
     """
-    b = base.where(F.col("pipeline_signature") == signature).select("relative_path", "size_bytes", "modified_ns", F.lit(True).alias("_base"))
-    p = presets.where((F.col("pipeline_signature") == signature) & (F.col("preset") == preset)).select("relative_path", F.lit(True).alias("_preset"))
-    joined = candidates.join(b, ["relative_path", "size_bytes", "modified_ns"], "left").join(p, "relative_path", "left")
-    way = F.when(F.col("_base").isNull(), "miss").when(F.col("_preset").isNotNull(), "hit").otherwise("miss" if needs_pixels else "preset")
-    return joined.withColumn("route", way).drop("_base", "_preset")
+    stamp = ["relative_path", "size_bytes", "modified_ns"]
+    kept = F.struct(F.lit(True).alias("_there"), *(c for c in base.columns if c not in (*stamp, "pipeline_signature")))
+    scores = F.struct(F.lit(True).alias("_there"), *(c for c in presets.columns if c not in PRESET_KEY))
+    b = base.where(F.col("pipeline_signature") == signature).select(*stamp, kept.alias("_kept"))
+    p = presets.where((F.col("pipeline_signature") == signature) & (F.col("preset") == preset)).select("relative_path", scores.alias("_scores"))
+    joined = candidates.join(b, stamp, "left").join(p, "relative_path", "left")
+    return joined.withColumn("route", way_of(F.col("_kept").isNotNull(), F.col("_scores").isNotNull(), needs_pixels))
+
+
+def route(candidates: DataFrame, base: DataFrame, presets: DataFrame, signature: str, preset: str, needs_pixels: bool = False) -> DataFrame:
+    """``candidates`` with the ``route`` of :func:`known`."""
+    narrow = base.select("relative_path", "size_bytes", "modified_ns", "pipeline_signature"), presets.select(*PRESET_KEY)
+    return known(candidates, *narrow, signature, preset, needs_pixels).drop("_kept", "_scores")
 
 
 def migrate(legacy: DataFrame, order: str = "row_id", root: str | None = None) -> tuple[DataFrame, DataFrame]:

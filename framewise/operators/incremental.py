@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.operators.cache import route
+from framewise.operators.cache import known
 from framewise.sinks.journal import observed
 from framewise.storage import Scratch, write_table
 
@@ -17,13 +17,9 @@ FINGERPRINT = ("size_bytes", "modified_ns")
 FAILURE = "file_path string, stage string, error_type string, message string"
 
 
-def routed(candidates: DataFrame, base: DataFrame, presets: DataFrame, signature: str, preset: str, needs_pixels: bool = False, mode: str = "use") -> DataFrame:
-    """:func:`framewise.operators.cache.route` under a mode: ``refresh`` and ``none`` look nothing up, so every row is a miss."""
+def check_mode(mode: str) -> None:
     if mode not in MODES:
         raise ValueError(f"unknown cache mode {mode!r}; choose from {', '.join(MODES)}")
-    if mode != "use":
-        return candidates.withColumn("route", F.lit("miss"))
-    return route(candidates, base, presets, signature, preset, needs_pixels)
 
 
 def with_tags(pending: DataFrame, tags: DataFrame, *columns: str) -> DataFrame:
@@ -89,18 +85,28 @@ def run(
     takes the misses and gives them back with all measures and ``error``;
     ``refresh`` takes rows of ``base`` and adds the preset's scores.  A file that
     ``rescan`` finds changed has no record.
+    """
+    check_mode(mode)
+    return finish(known(candidates, base, presets, signature, preset, needs_pixels), evaluate, refresh, rescan, mode)
+
 
-    The candidates' ways are written once and the outcome of every candidate
+def finish(known: DataFrame, evaluate: Callable[[DataFrame], DataFrame], refresh: Callable[[DataFrame], DataFrame], rescan: DataFrame, mode: str = "use") -> Run:
+    """The run of candidates of which :func:`framewise.operators.cache.known` tells the route and what is kept.
+
+    In the modes ``refresh`` and ``none`` nothing that is kept is used.  The
+    ways are written once and the outcome of every candidate
     once, so each model sees a file once however much of the result is read.
     """
     scratch = Scratch()
-    way = scratch.put(routed(candidates, base, presets, signature, preset, needs_pixels, mode), "ways")
-    known = way.where("route <> 'miss'").join(base.where(F.col("pipeline_signature") == signature).drop(*FINGERPRINT, "pipeline_signature"), "relative_path")
-    scores = presets.where((F.col("pipeline_signature") == signature) & (F.col("preset") == preset)).drop("pipeline_signature", "preset")
+    if mode != "use":
+        known = known.withColumn("route", F.lit("miss"))
+    known = scratch.put(known, "known")
+    given = [c for c in known.columns if c not in ("_kept", "_scores", "route")]
+    kept, scores = ([f"{s}.{f.name}" for f in known.schema[s].dataType if f.name != "_there"] for s in ("_kept", "_scores"))
     none = F.lit(None).cast("struct<stage: string, error_type: string, message: string>")
-    hits = known.where("route = 'hit'").join(scores, "relative_path").withColumns({"_kind": F.lit("hit"), "_failure": none})
-    renewed = refresh(known.where("route = 'preset'")).withColumns({"_kind": F.lit("refreshed"), "_failure": none})
-    made = changed_failure(evaluate(way.where("route = 'miss'")), rescan)
+    hits = known.where("route = 'hit'").select(*given, *kept, *scores).withColumns({"_kind": F.lit("hit"), "_failure": none})
+    renewed = refresh(known.where("route = 'preset'").select(*given, *kept)).withColumns({"_kind": F.lit("refreshed"), "_failure": none})
+    made = changed_failure(evaluate(known.where("route = 'miss'").select(*given)), rescan)
     made = made.withColumns({"_kind": F.lit("evaluated"), "_failure": F.coalesce(told_failure(F.col("error"), "evaluation"), F.col("_changed"))}).drop("error", "_changed")
     every = hits.unionByName(renewed, allowMissingColumns=True).unionByName(made, allowMissingColumns=True)
     every = every.withColumn("cache_hit", F.col("_kind") != "evaluated")
@@ -109,7 +115,7 @@ def run(
     paths: list[str] = []
     counts = observed(every, lambda df: paths.append(write_table(df, "outcome")), discovered=F.count("*"), **{name: F.count_if(yes) for name, yes in kinds.items()})
     told = every.sparkSession.read.schema(every.schema).parquet(*paths)
-    scratch.drop("ways")
+    scratch.drop("known")
     records = told.where(whole).drop("_kind", "_failure")
     fresh = records.where("not cache_hit")
     failures = told.where(~whole).select("file_path", "_failure.*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,11 @@ from framewise.operators import bursts, cache, explain, families, feedback, incr
 from framewise.operators.bursts import BurstRules
 from framewise.operators.features import draft_box as box
 from framewise.operators.features import tile_edges
+from framewise.operators.store import EvaluationStore
 from framewise.plans import views
 from framewise.plans.views import CAPTURES, EXIF, FEEDBACK, FILES
 from framewise.sinks import reports
+from framewise.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -625,6 +629,66 @@ def size_and_duration_text(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").select("o_orderkey", ff.byte_text(n).alias("size"), ff.duration_text((k % 9000) / F.lit(2.0) - 10).alias("took"))
 
 
+# --- the store of kept rows -----------------------------------------------------------
+
+_STORE = ("relative_path string, pipeline_signature string, size_bytes long, modified_ns long, focus_score double", "relative_path string, pipeline_signature string, preset string, subject_integrity double")
+
+
+def _new_store(spark: SparkSession, buckets: int = 8) -> EvaluationStore:
+    return EvaluationStore(spark, f"{shared_dir(spark)}/framewise/store-{uuid.uuid4().hex}", *_STORE, buckets=buckets)
+
+
+def _photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_ = F.col("event_id")
+    return views.table(spark, sf_dir, "events").select(
+        id_.alias("capture_id"), F.concat(F.lit("/r/d/"), id_.cast("string")).alias("file_path"), F.concat(F.lit("d/"), id_.cast("string")).alias("relative_path"),
+        (F.lit(1000) + id_).alias("size_bytes"), (id_ * 7).alias("modified_ns"),
+    )
+
+
+@query("""SELECT event_id AS capture_id, event_id % 4 < 2 AS cache_hit, event_id * CASE WHEN event_id % 4 < 2 THEN 2e0 ELSE 3e0 END AS focus_score FROM events WHERE event_id % 17 <> 0""")
+def cache_resumed(spark, sf_dir):
+    """A run in four batches that ends after two, and one by another model that takes it up."""
+    photos, store = _photos(spark, sf_dir), _new_store(spark)
+    error = F.when(F.col("capture_id") % 17 == 0, "ValueError: no picture")
+    model = lambda factor: lambda rows: rows.withColumns({"focus_score": F.col("capture_id") * factor, "subject_integrity": F.lit(0.7), "error": error})
+    batch = F.col("capture_id") % 4
+    store.evaluate(photos.where("capture_id % 4 < 2"), "s", "p", model(2.0), lambda rows: rows, photos, batch, 2)
+    runs = store.evaluate(photos, "s", "p", model(3.0), lambda rows: rows, photos, batch, 4)
+    return reduce(DataFrame.union, (r.records.select("capture_id", "cache_hit", "focus_score") for r in runs))
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> EvaluationStore:
+    """Three batches of rows, of which each supersedes some; the first two are settled."""
+    store, rows = _new_store(spark), views.table(spark, sf_dir, "events")
+    for i in range(3):
+        some = rows.where(F.col("event_id") % 3 <= 2 - i).select(
+            F.concat(F.lit("d/"), F.col("event_id").cast("string")).alias("relative_path"), F.when(F.col("event_id") % 5 == 0, "t").otherwise("s").alias("pipeline_signature"),
+            (F.lit(1000) + F.col("event_id")).alias("size_bytes"), (F.col("event_id") * 7).alias("modified_ns"), (F.col("value") + i).alias("focus_score"), F.lit("p").alias("preset"), F.lit(0.5 + i).alias("subject_integrity"),
+        )
+        store.commit(some, some.where("modified_ns % 2 = 0"))
+        if i == 1:
+            store.settle()
+    return store
+
+
+@query("""SELECT 'd/' || event_id::VARCHAR AS relative_path, CASE WHEN event_id % 5 = 0 THEN 't' ELSE 's' END AS pipeline_signature, round(value + 2 - event_id % 3, 6) AS focus_score,
+  CASE WHEN event_id % 2 = 0 THEN 2.5e0 - event_id % 3 END AS subject_integrity FROM events""")
+def cache_compacted(spark, sf_dir):
+    store = _versions(spark, sf_dir)
+    store.settle()
+    store.forget()
+    return rounded(store.rows("base").join(store.rows("presets").drop("preset"), ["relative_path", "pipeline_signature"], "left").select("relative_path", "pipeline_signature", "focus_score", "subject_integrity"), "focus_score")
+
+
+@query("""SELECT event_id AS capture_id, CASE WHEN event_id % 5 = 0 OR event_id % 11 = 0 THEN 'miss' WHEN event_id % 2 = 0 THEN 'hit' ELSE 'preset' END AS route,
+  CASE WHEN event_id % 5 <> 0 AND event_id % 11 <> 0 THEN round(value + 2 - event_id % 3, 6) END AS focus_score FROM events""")
+def cache_lookup(spark, sf_dir):
+    photos = _photos(spark, sf_dir).withColumn("size_bytes", F.col("size_bytes") + F.when(F.col("capture_id") % 11 == 0, 1).otherwise(0))
+    found = _versions(spark, sf_dir).known(photos, "s", "p")
+    return rounded(found.select("capture_id", "route", F.col("_kept.focus_score").alias("focus_score")), "focus_score")
+
+
 # --- metadata -----------------------------------------------------------------------
 
 _TIME = r"""CASE WHEN {0} = '' OR try_cast(substr({0}, 1, 4) || '-' || substr({0}, 6, 2) || '-' || substr({0}, 9, 11) AS TIMESTAMP) IS NULL THEN NULL
