@@ -4,8 +4,11 @@ A capture joins the burst of the capture before it, in the order of time,
 sequence and path, if the camera is the same, both the gap and the time since
 the burst began are within their limits, and the two look alike.  All but the
 time since the beginning compares two neighbours, so it is a predecessor's
-columns; chains of such neighbours are then cut by duration in one streaming
-pass that remembers only when the current burst began.
+columns; chains of such neighbours are then cut by duration.  Each range of
+the order is cut at once with the others: behind its first break a range needs
+nothing from before.  For the captures up to that break it tells, for every
+moment at which a burst may begin there, when the last one before its end
+began; from these tables, one after the other, follows what each range takes over.
 """
 
 from __future__ import annotations
@@ -53,26 +56,147 @@ def capture_order(df: DataFrame) -> list:
     return [F.col("ts_us"), n.asc_nulls_last(), F.when(n.isNull(), text), F.col("path_key")]
 
 
-def _cut_chains(limit_us: int):
-    """Marks the first capture of each burst; rows come sorted by chain and time."""
+#: What a row of the marks is: a capture, a possible beginning with the last one that follows from it, the end of a range.
+CAPTURE, ENTRY, END = 0, 1, 2
+_MARKS = f"{PART} int, {AT} long, kind int, ts_us long, value long"
+
+
+def _hop(now: np.ndarray, times: np.ndarray, limit: int) -> np.ndarray:
+    """When the last burst began, for each of the beginnings ``now``, after the captures of ``times``."""
+    now = now.copy()
+    open_ = np.arange(len(now))
+    while len(open_):
+        at = np.searchsorted(times, now[open_] + limit, "right")
+        open_, at = open_[at < len(times)], at[at < len(times)]
+        now[open_] = times[at]
+    return now
+
+
+class _Lead:
+    """The captures of a range up to its first break, as a function of when the burst before them began.
+
+    It holds the moments within one burst's duration of the first capture, and the next one.
+    """
+
+    def __init__(self) -> None:
+        self.entries, self.now, self.first, self.full = np.zeros(0, np.int64), np.zeros(0, np.int64), None, False
+
+    def add(self, times: np.ndarray, limit: int) -> None:
+        if not len(times):
+            return
+        self.first = int(times[0]) if self.first is None else self.first
+        new = np.zeros(0, np.int64)
+        if not self.full:
+            stop = int(np.searchsorted(times, self.first + limit, "right"))
+            self.full = stop < len(times)
+            new = np.setdiff1d(times[: stop + 1], self.entries)
+        self.entries = np.concatenate([self.entries, new])
+        self.now = _hop(np.concatenate([self.now, new]), times, limit)
+
+
+def _starts(times: np.ndarray, breaks: np.ndarray, began: int, limit: int) -> tuple[np.ndarray, int]:
+    """Which captures begin a burst, and when the last one began; one began at ``began`` before them."""
+    starts = breaks.astype(np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(breaks), [len(times)]])
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        if a < b and breaks[a]:
+            began = int(times[a])
+        at = a
+        while (at := at + int(np.searchsorted(times[at:b], began + limit, "right"))) < b:
+            began, starts[at] = int(times[at]), 1
+    return starts, began
+
+
+def _mark_ranges(limit: int):
+    """Starts behind the first break of each range, null before it, and the range's tables; rows come range by range, in order."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, began, lead = None, None, _Lead()
+
+        def rows(of: int, at, kind: int, ts, value) -> pa.RecordBatch:
+            n = len(ts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, of, np.int32)), pa.array(at, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(ts, pa.int64()), pa.array(value, pa.int64())], names=[PART, AT, "kind", "ts_us", "value"])
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if part is not None:
+                yield rows(part, [None] * len(lead.entries), ENTRY, lead.entries, lead.now)
+                yield rows(part, [None], END, [lead.first], [began])
+
+        for batch in batches:
+            parts, at, times, breaks = (batch.column(i).to_numpy() for i in range(4))
+            edges = np.append(np.flatnonzero(np.append(True, parts[1:] != parts[:-1])), len(parts)) if len(parts) else []
+            for a, b in zip(edges, edges[1:]):
+                if parts[a] != part:
+                    yield from ended()
+                    part, began, lead = int(parts[a]), None, _Lead()
+                if began is None:
+                    cut = a + int(np.argmax(breaks[a:b])) if breaks[a:b].any() else b
+                    lead.add(times[a:cut], limit)
+                    yield rows(part, at[a:cut], CAPTURE, times[a:cut], [None] * (cut - a))
+                    a = cut
+                if a < b:
+                    starts, began = _starts(times[a:b], breaks[a:b] == 1, began or 0, limit)
+                    yield rows(part, at[a:b], CAPTURE, times[a:b], starts)
+        yield from ended()
+
+    return mark
+
+
+def _compose(limit: int):
+    """When the burst began that each range takes over; its rows are the ranges' entries and ends, in order, a few for each range."""
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, entries, last = 0, [], []
+        for batch in batches:
+            out = []
+            for part, kind, ts, value in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if kind == ENTRY:
+                    entries.append(ts)
+                    last.append(value)
+                    continue
+                out.append((part, now))
+                at = int(np.searchsorted(entries, now + limit, "right"))
+                now = value if value is not None else last[at] if at < len(entries) else now
+                entries, last = [], []
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.int64())], names=[PART, "_began"])
+
+    return compose
+
+
+def _cut_leads(limit: int):
+    """Starts among the captures before the first break of a range, which begin in the burst that the range takes over."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain_now, began = None, 0
+        part, began = None, 0
         for batch in batches:
-            chains, times = (batch.column(i).to_numpy() for i in (0, 2))
-            starts = np.zeros(len(chains), bool)
-            edges = np.append(np.flatnonzero(np.append(True, chains[1:] != chains[:-1])), len(chains)) if len(chains) else []
+            parts, times, before = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            starts = np.zeros(len(parts), np.int64)
+            edges = np.append(np.flatnonzero(np.append(True, parts[1:] != parts[:-1])), len(parts)) if len(parts) else []
             for a, b in zip(edges, edges[1:]):
-                at = int(a)
-                if chains[a] != chain_now:
-                    chain_now, began, starts[a] = chains[a], times[a], True
-                while (at := at + int(np.searchsorted(times[at:b], began + limit_us, "right"))) < b:
-                    began, starts[at] = times[at], True
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts)], names=["_chain", "_row", "_start"])
+                if parts[a] != part:
+                    part, began = parts[a], int(before[a])
+                starts[a:b], began = _starts(times[a:b], np.zeros(b - a, bool), began, limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts)], names=[PART, AT, "value"])
 
     return cut
 
 
+def _burst_starts(neighbours: DataFrame, limit: int) -> DataFrame:
+    """``_part, _at, value``: 1 for the first capture of each burst, else 0.
+
+    ``neighbours`` has ``_part, _at, ts_us`` and ``_break``, 1 where a capture cannot
+    be in the burst of the one before; it is partitioned by range and in order.
+    """
+    marks = stored(neighbours.sortWithinPartitions(PART, AT).mapInArrow(_mark_ranges(limit), _MARKS), "marks")
+    captures = marks.where(F.col("kind") == CAPTURE)
+    known, lead = captures.where("value is not null").select(PART, AT, "value"), captures.where("value is null")
+    tables = marks.where(F.col("kind") != CAPTURE).repartition(1).sortWithinPartitions(PART, "kind", "ts_us")  # one burst's captures for each range
+    began = tables.mapInArrow(_compose(limit), f"{PART} int, _began long")
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    late = lead.join(F.broadcast(began), PART).select(PART, AT, "ts_us", "_began").repartition(n, PART).sortWithinPartitions(PART, AT)
+    return known.union(stored(late.mapInArrow(_cut_leads(limit), f"{PART} int, {AT} long, value long"), "leads"))
+
+
 def group_bursts(captures: DataFrame, rules: BurstRules | None = None) -> DataFrame:
     """``captures`` with ``burst_id``, from 1 in capture order.
 
@@ -91,12 +215,7 @@ def group_bursts(captures: DataFrame, rules: BurstRules | None = None) -> DataFr
     ).otherwise(F.coalesce(dot(F.col("embedding"), F.col("_p_embedding")) >= rules.similarity, F.lit(False)))
     pairs = ordered.lag(before, ("ts_us", "camera_serial", "camera_model", "phash", "embedding", "path_key"))
     narrow = pairs.select(PART, AT, "ts_us", F.when(alike, 0).otherwise(1).alias("_break"))
-    chained = ordered.running_sum(F.col("_break"), "_chain", narrow)
-    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_chain = chained.select("_chain", F.col(AT).alias("_row"), "ts_us").repartition(n, "_chain").sortWithinPartitions("_chain", "_row")
-    starts = by_chain.mapInArrow(_cut_chains(round(rules.duration * 1e6)), "_chain long, _row long, _start boolean")
-    marked = stored(starts.select(F.shiftright("_row", 33).cast("int").alias(PART), F.col("_row").alias(AT), F.col("_start").cast("int").alias("_start")), "starts")
-    ids = ordered.running_sum(F.col("_start"), "burst_id", marked)
+    ids = ordered.running_sum(F.col("value"), "burst_id", _burst_starts(narrow, round(rules.duration * 1e6)))
     return ordered.rows.join(ids.select(AT, "burst_id"), AT).drop(PART, AT)
 
 

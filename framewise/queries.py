@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions import files as ff
 from framewise.functions import metadata, scoring, vectors
-from framewise.operators import bursts, cache, explain, families, feedback, incremental, ordering, ranking, selection
+from framewise.operators import bursts, cache, explain, families, feedback, incremental, ordering, ranking, replan, selection
 from framewise.operators.bursts import BurstRules
 from framewise.operators.features import draft_box as box
 from framewise.operators.features import tile_edges
@@ -629,6 +629,35 @@ def size_and_duration_text(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").select("o_orderkey", ff.byte_text(n).alias("size"), ff.duration_text((k % 9000) / F.lit(2.0) - 10).alias("took"))
 
 
+# --- sessions ------------------------------------------------------------------------
+
+_REPLANNED = replan.Settings(scoring.PROFILES["wildlife"].with_weights(sharpness=2.0), "looser", "photos", "12.5%")
+
+
+def _session(spark: SparkSession, sf_dir: str, *lines: str) -> replan.Session:
+    """A session in which these lines were typed, from balanced settings."""
+    session = replan.Session(_captures(spark, sf_dir), replan.Settings(BALANCED, target="40"), RULES)
+    for line in lines:
+        session.change(line)
+    return session
+
+
+@query(f"""WITH RECURSIVE {_ranked(_REPLANNED.profile, RULES.looser())} SELECT capture_id, row_number() OVER (ORDER BY composite_score DESC, path_key) AS place, burst_id FROM ranked
+QUALIFY place <= floor((SELECT count(*) FROM ranked) * 125e-3 + 5e-1)""")
+def replan_selection(spark, sf_dir):
+    """A selection after five changes, each made from the tables that it leaves as they are."""
+    session = _session(spark, sf_dir, "start wildlife", "bursts looser", "mode photos", "sharpness 2", "12.5%")
+    name = F.regexp_extract("file_path", r"IMG_0*(\d+)", 1).cast("long")
+    return session.selection().select(name.alias("capture_id"), F.col("portfolio_selection_order").alias("place"), "burst_id")
+
+
+@query(f"""WITH RECURSIVE {_ranked(BALANCED, RULES)}, winners AS (SELECT *, row_number() OVER (ORDER BY composite_score DESC, path_key) AS k FROM ranked WHERE burst_winner)
+SELECT 'entered' AS change, path_key, round(composite_score, 6) AS composite_score FROM winners WHERE k BETWEEN 41 AND 55""")
+def replan_changes(spark, sf_dir):
+    _, changes = _session(spark, sf_dir).change("target 55")
+    return rounded(changes, "composite_score")
+
+
 # --- the store of kept rows -----------------------------------------------------------
 
 _STORE = ("relative_path string, pipeline_signature string, size_bytes long, modified_ns long, focus_score double", "relative_path string, pipeline_signature string, preset string, subject_integrity double")

@@ -75,6 +75,28 @@ def test_bursts_match_a_plain_loop(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["even", "uneven", "copies", "breaks", "short"])
+def test_long_chains_match_a_plain_loop(spark, kind):
+    """A time-lapse is one chain; its ranges are cut apart from one another."""
+    rng = np.random.default_rng(len(kind))
+    n = 7 if kind == "short" else 700
+    gaps = {"even": np.full(n, 1.7), "uneven": rng.exponential(0.9, n).clip(0, 1.9), "copies": rng.choice([0.0, 0.0, 1.5], n), "breaks": rng.choice([0.5, 1.5, 2.5], n, p=[0.6, 0.395, 0.005]), "short": np.full(n, 1.9)}[kind]
+    times = [round(float(t), 3) for t in np.cumsum(gaps)]
+    df = captures(spark, [(f"{i:05d}", t, {}) for i, t in enumerate(times)])
+    want, began, k = [], 0, 0
+    for i, t in enumerate(round(x * 1e6) for x in times):
+        if not i or t - round(times[i - 1] * 1e6) > 2_000_000 or t - began > 10_000_000:
+            k, began = k + 1, t
+        want.append(k)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in ("1", "3", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            assert ids(group_bursts(df)) == want, ranges
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_rules_scale_and_are_checked():
     assert BurstRules().looser() == BurstRules(4, 20, 10, 0.84)
     assert BurstRules().tighter() == BurstRules(1, 5, 6, 0.92)
