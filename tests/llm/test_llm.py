@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -158,6 +159,37 @@ def test_quality_scores_equal_a_plain_forward_pass(spark):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-6, abs=1e-9), i
 
 
+def test_toxicity_scores_equal_a_plain_sum(spark):
+    """Every feature of a text looked up alone; and the risk that was trained, from its definition."""
+    texts = ["vile vileness vileful villain villages", "calm Calmly calmness calmest", None, "", "VILE!! vile7vile ville " * 500, "a", "grün grüner grünlich grünste Straße"]
+    names = sorted(set().union(*(toxicity_pu.features_of(t or "") for t in texts)))
+    rng = np.random.default_rng(4)
+    weights = {n: float(w) for n, w in zip(names, rng.normal(size=len(names))) if rng.random() < 0.7}
+    model = toxicity_pu.ToxicityModel(weights, -0.3)
+    got = {r["doc_id"]: r["score"] for r in toxicity_pu.toxicity_scores(docs(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        words = {w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w}
+        present = set(words)
+        for start in {w[:n] for w in words for n in (4, 5, 6) if len(w) > n}:
+            many = sum(w.startswith(start) and len(w) > len(start) for w in words)
+            present |= {start + "-" * k for k in range(1, min(many, 3) + 1)}
+        z = -0.3 + sum(weights.get(f, 0.0) for f in present)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9), i
+    rows = [np.array(sorted(rng.choice(6, 3, replace=False))) for _ in range(60)]
+    positive, prior = np.arange(60) < 20, 0.2
+    options = toxicity_pu.PuOptions(rounds=300, decay=0.0, rate=0.02)
+
+    def risk(w, b):
+        z = [b + sum(w[j] for j in r) for r in rows]
+        toxic = sum(math.log1p(math.exp(-z[i])) for i in range(20)) / 20
+        clean = sum(math.log1p(math.exp(z[i])) for i in range(20, 60)) / 40 - prior * sum(math.log1p(math.exp(z[i])) for i in range(20)) / 20
+        return prior * toxic + max(0.0, clean)
+
+    w, b = toxicity_pu.nn_pu_fit(rows, positive, 6, prior, options)
+    start = risk(np.zeros(6), math.log(prior / (1 - prior)))
+    assert risk(w, b) < start and all(risk(w + 0.5 * e, b) > risk(w, b) - 1e-3 for e in (*np.eye(6), *-np.eye(6)))
+
+
 def test_both_encoders_of_packing():
     both, rng = packing.TokenIds.load(bpe.default_path()), np.random.default_rng(3)
     words = [r for r in "the of and wolf tree 12 3456 !? é 中文 \n\n    don't".split(" ")]
