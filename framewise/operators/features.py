@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from framewise.functions.resample import fitted, resized
 from framewise.sources.tags import file_tags
+from framewise.storage import let_workers_import
 
 
 def tile_bounds(length: int, sections: int) -> np.ndarray:
@@ -124,6 +125,7 @@ def measure_images(images: DataFrame, longest: int | None = 1024, upright: bool
     are measured each; an empty table gives no rows.  A task works on one picture at a time; how many
     wait for it, ``spark.sql.execution.arrow.maxBytesPerBatch`` says.
     """
+    let_workers_import(images.sparkSession)
     own = "orientation" in images.columns
     turn = F.coalesce("orientation", F.lit(1)).cast("int") if own else F.lit(1)
 
@@ -219,6 +221,7 @@ def with_features(rows: DataFrame, provider: FeatureProvider, weights: dict[str,
     provider (which finds them by ``SparkFiles.get(name)``); a changed byte
     fails the task with the file's name.
     """
+    let_workers_import(rows.sparkSession)
     names = [f.name for f in provider.schema]
     schema = StructType([*rows.schema.fields, *provider.schema.fields]).add("error", "string")
     for path in weights or {}:

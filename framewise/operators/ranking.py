@@ -19,13 +19,17 @@ def focus_percentile(captures: DataFrame, p: Profile) -> DataFrame:
     return joined.withColumn("absolute_focus_factor", absolute_focus(F.col("focus_percentile"), p)).drop("_focus", "below", "upto", "total")
 
 
-def scored(captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True) -> DataFrame:
-    """Bursts, multipliers and ``composite_score`` of each capture."""
+def scored(captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True, numbered: bool = True) -> DataFrame:
+    """Bursts, multipliers and ``composite_score`` of each capture; its embedding is of no more use then and does not travel further.
+
+    Captures that are not grouped are bursts of one; without ``numbered`` they get no ``burst_id``, which takes a sort.
+    """
     placed = focus_percentile(captures, p)
     if grouped:
-        groups = burst_stats(group_bursts(placed, rules))
+        groups = burst_stats(group_bursts(placed, rules, without=("embedding",)))
     else:
-        groups = ungrouped(placed).withColumns({"burst_size": F.lit(1).cast("long"), "relative_focus_factor": F.lit(1.0)})
+        groups = ungrouped(placed.drop("embedding")) if numbered else placed.drop("embedding")
+        groups = groups.withColumns({"burst_size": F.lit(1).cast("long"), "relative_focus_factor": F.lit(1.0)})
     return groups.withColumns(multipliers(p)).withColumn("composite_score", composite(p))
 
 
@@ -42,10 +46,9 @@ def global_rank(scores: DataFrame, name: str = "global_quality_rank") -> DataFra
 def evaluated(captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True) -> DataFrame:
     """All ranks of all captures; ``selection_rank`` is among the winners of bursts, null for the others.
 
-    Both ranks are sums along one order.  The embedding is of no more use after
-    the bursts and does not travel further.
+    Both ranks are sums along one order.
     """
-    scores = burst_ranks(scored(captures, p, rules, grouped)).drop("embedding")
+    scores = burst_ranks(scored(captures, p, rules, grouped))
     ordered = Ordered(scores, F.desc("composite_score"), "path_key", name="evaluated")
     ranked = ordered.running_sums({"global_quality_rank": F.lit(1), "selection_rank": F.col("burst_winner").cast("int")})
     return ranked.withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("selection_rank"))).drop(PART, AT)

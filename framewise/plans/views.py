@@ -20,7 +20,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_ = F.col("event_id")
     path = F.concat(F.lit("/c/"), "event_type", F.lit("/IMG_"), F.lpad(id_.cast("string"), 7, "0"), F.lit(".jpg"))
     exposed = F.lit(0.1) * ((id_ * 29) % 83) / F.lit(82.0)
-    rows = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")  # one small file is one split; narrow rows yet
+    rows = events.select(
         id_.alias("capture_id"), path.alias("file_path"), F.lower(path).alias("path_key"), F.element_at(F.split(path, "/"), -1).alias("file_name"),
         wall_micros(F.col("ts")).alias("ts_us"), F.when(id_ % 7 == 0, "").otherwise(F.concat(F.lit("SN"), (F.col("user_id") % 3).cast("string"))).alias("camera_serial"),
         F.concat(F.lit("M"), (F.col("user_id") % 2).cast("string")).alias("camera_model"), F.when(id_ % 5 == 0, "x").otherwise((id_ % 12).cast("string")).alias("sequence_number"),

@@ -106,8 +106,12 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.captures(spark, sf_dir)
 
 
-def _scores(spark: SparkSession, sf_dir: str, p: scoring.Profile = BALANCED, grouped: bool = True) -> DataFrame:
-    return ranking.scored(_captures(spark, sf_dir), p, RULES, grouped)
+#: What only explanations and reports want of a capture; the steps write whole rows, so ranks go without.
+_TOLD = ("file_path", "file_name", "blown_pct", "crushed_pct", "eye_warning")
+
+
+def _scores(spark: SparkSession, sf_dir: str, p: scoring.Profile = BALANCED, grouped: bool = True, told: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
+    return ranking.scored(_captures(spark, sf_dir).drop(*(c for c in _TOLD if c not in told)), p, RULES, grouped, numbered)
 
 
 # --- scores and ranks --------------------------------------------------------
@@ -133,18 +137,20 @@ for _name in scoring.PROFILES:
 
 @query(f"WITH {_scored(BALANCED, None)} SELECT capture_id, burst_id, round(composite_score, 6) AS composite_score FROM scored")
 def composite_ungrouped(spark, sf_dir):
-    return rounded(_scores(spark, sf_dir, grouped=False).select("capture_id", "burst_id", "composite_score"), "composite_score")
+    return rounded(_scores(spark, sf_dir, grouped=False, numbered=True).select("capture_id", "burst_id", "composite_score"), "composite_score")
 
 
 @query(f"WITH {_ranked(BALANCED, None)} SELECT capture_id, global_quality_rank FROM ranked")
 def global_rank_ungrouped(spark, sf_dir):
-    return ranking.global_rank(_scores(spark, sf_dir, grouped=False)).select("capture_id", "global_quality_rank")
+    scores = _scores(spark, sf_dir, grouped=False).select("capture_id", "path_key", "composite_score")
+    return ranking.global_rank(scores).select("capture_id", "global_quality_rank")
 
 
 def _burst_query(name: str, rules: BurstRules) -> None:
     @query(f"WITH RECURSIVE {CAPTURES}, {_bursts(rules)} SELECT capture_id, burst_id FROM grouped", name=name)
     def run(spark, sf_dir):
-        return bursts.group_bursts(_captures(spark, sf_dir), rules).select("capture_id", "burst_id")
+        looks = _captures(spark, sf_dir).select("capture_id", "ts_us", "sequence_number", "path_key", "camera_serial", "camera_model", "phash", "embedding")
+        return bursts.group_bursts(looks, rules, without=("embedding",)).select("capture_id", "burst_id")
 
 
 _burst_query("burst_groups", RULES)
@@ -154,7 +160,7 @@ _burst_query("burst_groups_tighter", RULES.tighter())
 
 @query(f"WITH RECURSIVE {_scored(BALANCED, RULES)} SELECT capture_id, burst_size, round(relative_focus_factor, 6) AS relative_focus_factor FROM scored")
 def burst_stats(spark, sf_dir):
-    out = bursts.burst_stats(bursts.group_bursts(_captures(spark, sf_dir), RULES))
+    out = bursts.burst_stats(bursts.group_bursts(_captures(spark, sf_dir).drop(*_TOLD), RULES, without=("embedding",)))
     return rounded(out.select("capture_id", "burst_size", "relative_focus_factor"), "relative_focus_factor")
 
 
@@ -170,7 +176,7 @@ def burst_ranks(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_ranked(BALANCED, RULES)} SELECT capture_id, global_quality_rank, selection_rank FROM ranked")
 def selection_ranks(spark, sf_dir):
-    return ranking.evaluated(_captures(spark, sf_dir), BALANCED, RULES).select("capture_id", "global_quality_rank", "selection_rank")
+    return ranking.evaluated(_captures(spark, sf_dir).drop(*_TOLD), BALANCED, RULES).select("capture_id", "global_quality_rank", "selection_rank")
 
 
 # --- expressions -------------------------------------------------------------
@@ -251,7 +257,7 @@ def tile_bounds(spark, sf_dir):
 
 @query(f"""WITH {_ranked(BALANCED, None)} SELECT capture_id, CASE WHEN (global_quality_rank - 1) / n < 1e-1 THEN 5 WHEN (global_quality_rank - 1) / n < 4e-1 THEN 4 ELSE 3 END AS rating FROM (SELECT *, count(*) OVER ()::DOUBLE AS n FROM ranked)""")
 def xmp_rating_band(spark, sf_dir):
-    rows = ranking.global_rank(_scores(spark, sf_dir, grouped=False))
+    rows = ranking.global_rank(_scores(spark, sf_dir, grouped=False).select("capture_id", "path_key", "composite_score"))
     total = rows.agg(F.count("*").alias("n"))
     return rows.crossJoin(F.broadcast(total)).select("capture_id", scoring.rating(F.col("global_quality_rank"), F.col("n")).alias("rating"))
 
@@ -309,7 +315,7 @@ def standing_percent(spark, sf_dir):
 def _reason_query(name: str, p: scoring.Profile) -> None:
     @query(f"WITH RECURSIVE {_reasons(p)} SELECT capture_id, score_reason FROM reasons", name=name)
     def run(spark, sf_dir):
-        ranked = ranking.burst_ranks(_scores(spark, sf_dir, p))
+        ranked = ranking.burst_ranks(_scores(spark, sf_dir, p, told=_TOLD))
         return explain.score_reasons(ranked, p.aesthetic_weight).select("capture_id", "score_reason")
 
 
@@ -412,7 +418,7 @@ def cut_boundary(spark, sf_dir):
 sizes AS (SELECT f.burst_id, place, n, sum(n) OVER (ORDER BY place) AS upto, row_number() OVER (ORDER BY place) AS grp FROM firsts f JOIN (SELECT burst_id, count(*) AS n FROM ranked GROUP BY burst_id) USING (burst_id))
 SELECT capture_id, grp AS "group" FROM ranked JOIN sizes USING (burst_id) WHERE (upto <= 100 OR grp = 1) AND burst_rank <= 100""")
 def review_groups(spark, sf_dir):
-    ranked = ranking.global_rank(ranking.burst_ranks(_scores(spark, sf_dir)))
+    ranked = ranking.global_rank(ranking.burst_ranks(_scores(spark, sf_dir)).select("capture_id", "path_key", "composite_score", "burst_id", "burst_rank", "burst_winner"))
     chosen = ranked.where("burst_winner").select("burst_id", F.col("global_quality_rank").alias("place"))
     return selection.review_groups(chosen, ranked, 100).select("capture_id", "group")
 
@@ -422,7 +428,7 @@ k AS (SELECT count(*) FILTER (d = 'keep') AS keeps, count(*) FILTER (d = 'reject
 SELECT total AS total_images, labeled AS labeled_images, keeps, rejects, round((SELECT count(*) FROM f, k WHERE d = 'keep' AND global_quality_rank <= keeps) / keeps, 6) AS precision_at_keep_count,
   round((SELECT count(*) FROM f a JOIN f b ON a.composite_score > b.composite_score WHERE a.d = 'keep' AND b.d = 'reject') / (keeps * rejects), 6) AS pairwise_accuracy, round(mk, 6) AS mean_keep_global_rank, round(mr, 6) AS mean_reject_global_rank FROM k""")
 def validate_agreement(spark, sf_dir):
-    ranked = ranking.global_rank(_scores(spark, sf_dir, grouped=False)).select("capture_id", "composite_score", "path_key", "global_quality_rank")
+    ranked = ranking.global_rank(_scores(spark, sf_dir, grouped=False).select("capture_id", "composite_score", "path_key"))
     out = feedback.agreement(_with_feedback(spark, sf_dir, ranked))
     return rounded(out, "precision_at_keep_count", "pairwise_accuracy", "mean_keep_global_rank", "mean_reject_global_rank")
 
@@ -773,7 +779,7 @@ def evaluation_report(spark, sf_dir):
 
 @query(f"WITH {_ranked(BALANCED, None)} SELECT file_path, CASE WHEN global_quality_rank <= 50 THEN 'keep' ELSE '' END AS decision, global_quality_rank FROM ranked")
 def feedback_template(spark, sf_dir):
-    rows = ranking.global_rank(_scores(spark, sf_dir, grouped=False)).withColumns({"portfolio_selected": F.col("global_quality_rank") <= 50, "selection_rank": F.col("global_quality_rank")})
+    rows = ranking.global_rank(_scores(spark, sf_dir, grouped=False, told=("file_path",)).select("file_path", "path_key", "composite_score")).withColumns({"portfolio_selected": F.col("global_quality_rank") <= 50, "selection_rank": F.col("global_quality_rank")})
     return reports.feedback_template(rows).select("file_path", "decision", "global_quality_rank")
 
 

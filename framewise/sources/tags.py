@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.metadata import CaptureTime, capture_time, first_time
+from framewise.storage import let_workers_import
 
 # Numbers and names of tags.
 TAGS = {
@@ -166,6 +167,7 @@ def read_tags(files: DataFrame) -> DataFrame:
                     errors.append(f"{type(error).__name__}: {error}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t if t is None else list(t.items()) for t in tags], schema.field(1).type), pa.array(errors, pa.string())], schema=schema)
 
+    let_workers_import(files.sparkSession)
     return files.select("file_path").mapInArrow(read, "file_path string, tags map<string, string>, error string")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import tempfile
 import uuid
@@ -31,6 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it (else give it with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def write_table(df: DataFrame, name: str) -> str:
     """Write ``df`` once to the shared folder; gives the path.
 
