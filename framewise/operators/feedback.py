@@ -54,11 +54,11 @@ def agreement(ranked: DataFrame) -> DataFrame:
     )
 
 
-def common_root(paths: DataFrame, path: str = "file_path") -> DataFrame:
-    """The deepest directory above all paths: what the least and the greatest list of directories share."""
+def common_root(paths: DataFrame, path: str = "file_path", by: tuple[str, ...] = ()) -> DataFrame:
+    """The deepest directory above all paths, or those of each group: what the least and the greatest list of directories share."""
     parts = F.split(F.regexp_replace(path, "/[^/]*$", ""), "/")
-    ends = paths.agg(F.min(parts).alias("a"), F.max(parts).alias("b"))
+    ends = paths.groupBy(*by).agg(F.min(parts).alias("a"), F.max(parts).alias("b"))
     same: Column = F.transform(F.arrays_zip("a", "b"), lambda x: x["a"] == x["b"])
     n = F.coalesce(F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False)).cast("int")), 0), F.lit(0))
     length = F.when(n == 0, F.size("a")).otherwise(n - 1)
-    return ends.select(F.array_join(F.slice("a", F.lit(1), length.cast("int")), "/").alias("root"))
+    return ends.select(*by, F.array_join(F.slice("a", F.lit(1), length.cast("int")), "/").alias("root"))

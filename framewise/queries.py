@@ -433,9 +433,14 @@ def validate_agreement(spark, sf_dir):
     return rounded(out, "precision_at_keep_count", "pairwise_accuracy", "mean_keep_global_rank", "mean_reject_global_rank")
 
 
-@query("SELECT '/c' AS root")
+@query(f"""WITH {FILES}, paths AS (SELECT least((file_id - file_id % 3) % 5, 3) AS k, parent AS p FROM files), sizes AS (SELECT k, count(*) AS n FROM paths GROUP BY k),
+above AS (SELECT k, array_to_string(string_split(p, '/')[1:d], '/') AS root FROM (SELECT k, p, unnest(range(1, len(string_split(p, '/')) + 1)) AS d FROM paths))
+SELECT k, arg_max(root, length(root)) AS root FROM (SELECT k, root, count(*) AS n FROM above GROUP BY k, root) JOIN sizes USING (k, n) GROUP BY k""")
 def common_root(spark, sf_dir):
-    return feedback.common_root(views.captures(spark, sf_dir))
+    """Of each group of files: the longest folder that is above as many of them as there are."""
+    rows = views.files(spark, sf_dir).withColumn("file_path", F.concat_ws("/", "parent", "name"))
+    k = F.least((F.col("file_id") - F.col("file_id") % 3) % 5, F.lit(3))
+    return feedback.common_root(rows.withColumn("k", k), by=("k",))
 
 
 # --- files ----------------------------------------------------------------------
@@ -488,7 +493,7 @@ def export_collisions(spark, sf_dir):
     rows = views.files(spark, sf_dir)
     odd = rows.select(F.concat_ws("/", "parent", F.when(F.col("file_id") % 10 == 0, F.lower("name")).otherwise(F.col("name"))).alias("source"))
     every = odd.union(rows.select(F.concat_ws("/", "parent", "name")))
-    return families.collisions(every.withColumn("destination_key", F.lower("source")))
+    return families.collisions(every.withColumn("destination_key", ff.casefold("source")))
 
 
 @query(f"WITH {_PLAN}, rated AS (SELECT destination || CASE WHEN size_bytes % 2 = 0 THEN '' ELSE '.new' END AS destination FROM plan WHERE destination LIKE '%.xmp') SELECT coalesce(p.destination, r.destination) AS destination, coalesce(size_bytes, 0) AS source_size_bytes, CASE WHEN p.source IS NULL THEN 'generated_xmp' WHEN r.destination IS NOT NULL THEN 'copied_and_rated' ELSE 'copied' END AS kind FROM plan p FULL JOIN rated r ON p.destination = r.destination")
