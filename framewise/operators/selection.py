@@ -78,22 +78,36 @@ def select_top(pool: DataFrame, count: int, pinned: Column | None = None) -> Dat
     return chosen.withColumn("portfolio_selection_order", order).drop("_pin", "_pins", "_others", PART, AT)
 
 
-#: Candidates that come to the driver at once in :func:`select_diverse`.
-BUFFER = 1024
+#: Candidates that come to the driver at once in :func:`select_diverse`, and how many times as many candidates each further layer has.
+BUFFER, GROWTH = 1024, 8
 
 
-def select_diverse(pool: DataFrame, count: int, diversity: float, pinned: Column | None = None, buffer: int = BUFFER) -> DataFrame:
+def _layers(rest: DataFrame, n: int, first: int) -> list[float]:
+    """Falling qualities that cut candidates into layers, the first of about ``first`` rows, each next one ``GROWTH`` times as large; the last is below all."""
+    shares, size = [], first
+    while size < n:
+        shares.append(1 - size / n)
+        size *= GROWTH
+    found = rest.approxQuantile("q", shares, 0.001) if shares else []
+    return [*sorted(set(found), reverse=True), -math.inf]
+
+
+def select_diverse(pool: DataFrame, count: int, diversity: float, pinned: Column | None = None, buffer: int = BUFFER, seen: dict[str, int] | None = None) -> DataFrame:
     """``path_key, pick``: captures in the order of maximal marginal relevance; pins come first, unordered among themselves.
 
     Each pick has the largest ``(1 - d) quality - d similarity``; the quality
     is scaled to 0..1, the similarity is the largest ``(cos + 1) / 2`` to a
     pick; ties go to the quality, then the path.  A capture without an embedding
-    is at right angles to all.  Values only fall as picks are made, so the best
-    ``buffer`` candidates of a pass over all are enough until the last of them
-    could be beaten by one that did not come.  Candidates so poor that even a
-    perfect distance can't lift them are left out first.  Each pass folds the
-    picks of the one before into a stored similarity, so the driver holds
-    ``buffer`` vectors at a time, whatever number is pinned or picked.
+    is at right angles to all, as are two embeddings of different lengths.
+
+    Values only fall as picks are made.  So candidates lie in layers of falling
+    quality, and a layer is read when what its best could still be worth is in
+    reach of the best of the layers above; its similarity to all picks so far is
+    made then.  Within the layers in reach the best ``buffer`` candidates of a pass are enough until the
+    last of them could be beaten by one that did not come; each pass folds its picks
+    into the stored similarity.  The driver holds ``buffer`` vectors at a time,
+    whatever number is pinned or picked.  ``seen`` gets the number of candidates, and of rows
+    that the passes have read.
     """
     if not 0 <= diversity <= 1:
         raise ValueError("diversity is from 0 to 1")
@@ -103,64 +117,100 @@ def select_diverse(pool: DataFrame, count: int, diversity: float, pinned: Column
     span = 0.0 if low is None else high - low
     quality = (F.col("composite_score") - F.lit(low)) / F.lit(span) if span else F.lit(1.0)
     rows = pool.select("path_key", quality.alias("q"), F.col("embedding").cast("array<double>").alias("v"), pin.alias("pin"))
-    rest = rows.where("not pin").select("path_key", "q", "v", F.lit(0.0).alias("near"))
+    candidates = rows.where("not pin").select("path_key", "q", "v")
     if d < 1 and count and d > 0:  # at every pick one of the first ``count`` by quality is still there
-        cut = rest.orderBy(F.desc("q")).limit(count).agg(F.min("q")).first()[0]
-        rest = rest.where(F.col("q") >= (cut or 0.0) - d / (1 - d) - 1e-9)
+        cut = candidates.orderBy(F.desc("q")).limit(count).agg(F.min("q")).first()[0]
+        candidates = candidates.where(F.col("q") >= (cut or 0.0) - d / (1 - d) - 1e-9)
+    candidates = scratch.put(candidates, "candidates")
+    n_candidates = candidates.count()
     schema = "path_key string, q double, v array<double>, near double"
 
-    def matrix(vectors: list[list[float] | None]) -> np.ndarray:
-        width = max((len(v) for v in vectors if v is not None), default=0)
-        m = np.array([v if v is not None else [0.0] * width for v in vectors], float).reshape(len(vectors), width)
-        return m / np.where((size := np.linalg.norm(m, axis=1)) > 0, size, 1.0)[:, None]
+    def matrices(vectors: list[list[float] | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length: positions and unit rows; a null vector is one of length 0."""
+        sizes = np.array([0 if v is None else len(v) for v in vectors], int)
+        out = []
+        for width in np.unique(sizes):
+            at = np.flatnonzero(sizes == width)
+            m = np.array([vectors[i] or [] for i in at], float).reshape(len(at), width)
+            out.append((at, m / np.where((size := np.linalg.norm(m, axis=1)) > 0, size, 1.0)[:, None]))
+        return out
 
-    def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(a), len(b)))  # one side has no embedding at all
+    def nearest(vectors: list[list[float] | None], picked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The largest similarity of each vector to those ``picked``."""
+        out = np.full(len(vectors), 0.5)
+        for at, m in matrices(vectors):
+            same = next((p for _, p in picked if p.shape[1] == m.shape[1]), None)
+            n_same = 0 if same is None else len(same)
+            best = np.full(len(at), 0.5 if sum(len(p) for _, p in picked) > n_same else -np.inf)
+            if n_same:
+                best = np.maximum(best, ((m @ same.T + 1) / 2).max(1))
+            out[at] = best
+        return out
 
-    def folded(rest: DataFrame, keys: list[str], vectors: np.ndarray) -> DataFrame:
-        """The candidates without ``keys``, with their largest similarity to these too."""
-        told = spark.sparkContext.broadcast((set(keys), vectors))
+    def folded(rest: DataFrame, keys: list[str], vectors: list[list[float] | None]) -> DataFrame:
+        """The candidates without ``keys``, with their largest similarity to these vectors too."""
+        shared = spark.sparkContext.broadcast((set(keys), matrices(vectors)))
 
         def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            taken, picked = told.value
+            taken, picked = shared.value
             for batch in batches:
                 batch = batch.filter(pa.array([p not in taken for p in batch.column(0).to_pylist()], pa.bool_()))
                 if batch.num_rows:
-                    near = ((cosines(matrix(batch.column(2).to_pylist()), picked) + 1) / 2).max(1)
+                    near = nearest(batch.column(2).to_pylist(), picked)
                     yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.maximum(batch.column(3).to_numpy(), near))], names=batch.schema.names)
 
         return rest.mapInArrow(fold, schema)
 
-    def advanced(rest: DataFrame, keys: list[str], vectors: np.ndarray) -> DataFrame:
-        out = scratch.put(folded(rest, keys, vectors), "next")
-        if "rest" in scratch.paths:
-            scratch.drop("rest")
-        scratch.paths["rest"] = scratch.paths.pop("next")
+    def kept(rest: DataFrame, name: str) -> DataFrame:
+        out = scratch.put(rest, "next")
+        if name in scratch.paths:
+            scratch.drop(name)
+        scratch.paths[name] = scratch.paths.pop("next")
         return out
 
-    shape, done, n = "path_key string, pick long", [], 0
+    shape, done, n = "path_key string, pick long, v array<double>", [], 0
 
-    def told(keys: list[str]) -> None:
+    def told(keys: list[str], vectors: list[list[float] | None]) -> None:
         nonlocal n
-        done.append(write_table(spark.createDataFrame([(k, n + i) for i, k in enumerate(keys, 1)], shape), "picks"))
+        done.append(write_table(spark.createDataFrame([(k, n + i, v) for i, (k, v) in enumerate(zip(keys, vectors), 1)], shape), "picks"))
         n += len(keys)
 
-    rest = scratch.put(rest, "rest")
     if pinned is not None:
         pins = scratch.put(rows.where("pin").select("path_key", "v").orderBy("path_key"), "pins").orderBy("path_key").toLocalIterator()
         while block := list(islice(pins, buffer)):
-            told([r["path_key"] for r in block])
-            rest = advanced(rest, [], matrix([r["v"] for r in block]))
+            told([r["path_key"] for r in block], [r["v"] for r in block])
+    read = 0
+    edges = _layers(candidates, n_candidates, 4 * buffer)
+    reach, edge = None, math.inf
+
+    def layer_below() -> None:
+        """Takes the next layer into reach, with its similarity to all picks so far."""
+        nonlocal reach, edge, read
+        upper, edge = edge, edges.pop(0)
+        layer = candidates.where((F.col("q") < upper) & (F.col("q") >= edge) if upper < math.inf else F.col("q") >= edge)
+        layer = kept(layer.withColumn("near", F.lit(0.0)), "layer")
+        for path in done:
+            block = spark.read.schema(shape).parquet(path).select("v").collect()  # ``buffer`` at most
+            layer = kept(folded(layer, [], [r["v"] for r in block]), "layer")
+        read += layer.count() * (1 + len(done))
+        reach = kept(layer if reach is None else reach.union(layer), "reach")
+
     objective = F.lit(1 - d) * F.col("q") - F.lit(d) * F.col("near")
     while n < count:
-        best = rest.withColumn("objective", objective).orderBy(F.desc("objective"), F.desc("q"), "path_key").limit(buffer).collect()
+        if reach is None:
+            layer_below()
+        best = reach.withColumn("objective", objective).orderBy(F.desc("objective"), F.desc("q"), "path_key").limit(buffer).collect()
+        below = ((1 - d) * edge, edge) if edges else (-np.inf, -np.inf)  # what the best of the layers below could be worth
+        if edges and (not best or (best[0]["objective"], best[0]["q"]) <= below):
+            layer_below()
+            continue
         if not best:
             break
-        keys = [r["path_key"] for r in best]
-        q, m, value = np.array([r["q"] for r in best]), matrix([r["v"] for r in best]), np.array([r["objective"] for r in best])
+        keys, vectors = [r["path_key"] for r in best], [r["v"] for r in best]
+        q, value = np.array([r["q"] for r in best]), np.array([r["objective"] for r in best])
         near = np.array([d * r["near"] for r in best])
         open_ = np.ones(len(best), bool)
-        bound = (value[-1], q[-1]) if len(best) == buffer else (-np.inf, -np.inf)
+        bound = max(below, (value[-1], q[-1]) if len(best) == buffer else (-np.inf, -np.inf))
         picks: list[int] = []
         while n + len(picks) < count and open_.any():
             at = min(np.flatnonzero(open_), key=lambda i: (-value[i], -q[i], keys[i]))
@@ -168,12 +218,17 @@ def select_diverse(pool: DataFrame, count: int, diversity: float, pinned: Column
                 break
             open_[at] = False
             picks.append(at)
-            near = np.maximum(near, d * ((m @ m[at] + 1) / 2))
+            near = np.maximum(near, d * nearest(vectors, matrices([vectors[at]])))
             value = (1 - d) * q - near
-        told([keys[i] for i in picks])
+        told([keys[i] for i in picks], [vectors[i] for i in picks])
         if n < count:
-            rest = advanced(rest, [keys[i] for i in picks], m[picks])
-    return spark.read.schema(shape).parquet(*done) if done else spark.createDataFrame([], shape)
+            reach = kept(folded(reach, [keys[i] for i in picks], [vectors[i] for i in picks]), "reach")
+            read += reach.count()
+    if seen is not None:
+        seen |= {"candidates": n_candidates, "read": read}
+    if "candidates" in scratch.paths:
+        scratch.drop(*[name for name in ("candidates", "layer", "reach", "pins") if name in scratch.paths])
+    return (spark.read.schema(shape).parquet(*done) if done else spark.createDataFrame([], shape)).drop("v")
 
 
 def selection_changes(before: DataFrame, after: DataFrame, limit: int = 20) -> DataFrame:

@@ -159,6 +159,20 @@ def test_diverse_selection_matches_a_plain_loop(spark, d, pins):
     assert [r["path_key"] for r in got] == slow_mmr(rows, 7, d, pins)
 
 
+@pytest.mark.parametrize("d", [0.0, 0.2, 0.6, 1.0])
+def test_layers_out_of_reach_are_not_read(spark, d):
+    """Picks equal the plain loop's, from embeddings of two lengths and none, while poor candidates are left alone where the diversity allows it."""
+    rng = np.random.default_rng(7)
+    n = 400
+    rows = [(f"p{i:03d}", float(rng.exponential(2.0)), (rng.normal(size=6) + (2 if i % 3 else 0)).tolist()) for i in range(n)]
+    seen = {}
+    got = selection.select_diverse(pool(spark, [(*r, "") for r in rows]), 12, d, buffer=5, seen=seen).orderBy("pick").collect()
+    assert [r["path_key"] for r in got] == slow_mmr(rows, 12, d, ())
+    assert seen["candidates"] <= n and (d > 0.2 or seen["read"] < 3 * n)
+    odd = [("a", 3.0, [1.0, 0.0], ""), ("b", 2.9, [1.0, 0.0, 0.0], ""), ("c", 2.8, None, ""), ("d", 2.7, [1.0, 0.0], ""), ("e", 0.0, [0.0, 0.0], "")]
+    assert selection.select_diverse(pool(spark, odd), 5, d, buffer=2).count() == 5
+
+
 def test_top_with_pins_and_rejects(spark):
     df = pool(spark, [(n, float(s), [1.0], m) for n, s, m in (("a", 10, ""), ("b", 9, ""), ("c", 8, ""), ("d", 7, "reject"), ("e", 6, "keep"))]).withColumn("burst_winner", F.lit(True))
     chosen = selection.select_top(selection.pool_of(df), 3, F.col("feedback_decision") == "keep")
