@@ -188,12 +188,14 @@ def select_diverse(pool: DataFrame, count: int, diversity: float, pinned: Column
         nonlocal reach, edge, read
         upper, edge = edge, edges.pop(0)
         layer = candidates.where((F.col("q") < upper) & (F.col("q") >= edge) if upper < math.inf else F.col("q") >= edge)
-        layer = kept(layer.withColumn("near", F.lit(0.0)), "layer")
+        layer = layer.withColumn("near", F.lit(0.0))
         for path in done:
             block = spark.read.schema(shape).parquet(path).select("v").collect()  # ``buffer`` at most
             layer = kept(folded(layer, [], [r["v"] for r in block]), "layer")
         read += layer.count() * (1 + len(done))
-        reach = kept(layer if reach is None else reach.union(layer), "reach")
+        reach = layer if reach is None else kept(reach.union(layer), "reach")
+        if "reach" not in scratch.paths and "layer" in scratch.paths:
+            scratch.paths["reach"] = scratch.paths.pop("layer")
 
     objective = F.lit(1 - d) * F.col("q") - F.lit(d) * F.col("near")
     while n < count:
