@@ -280,5 +280,6 @@ def nearest(
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th id among all ``embeddings``; nulls and odd rows as in :func:`nearest`."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))

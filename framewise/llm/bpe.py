@@ -156,7 +156,9 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     """Token ids (an array of int) and the text decoded from them, for each row of ``docs``.
 
     A null text is an empty one: no tokens, empty decoded text.  Repeated rows
-    are encoded row by row; other columns are not read.  The vocabulary is read
+    are encoded row by row, a null id stays null, and an empty table gives no rows;
+    other columns are not read.  A task holds the ids of about a megabyte of texts, or of one
+    longer text.  The vocabulary is read
     from ``path`` on the executors, where the same package is installed.
     """
     return _mapped(docs, path, id_col, text_col, digest=False)
@@ -187,4 +189,5 @@ def _mapped(docs: DataFrame, path: str | None, id_col: str, text_col: str, diges
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and decoded texts of all ``documents``; nulls and odd rows as in :func:`bpe_round_trip`."""
     return bpe_digests(table(spark, sf_dir, "documents"))

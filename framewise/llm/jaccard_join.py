@@ -548,6 +548,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rule: Similarity) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of all ``documents``; nulls and odd rows as in :func:`similar_components`."""
     return similar_components(table(spark, sf_dir, "documents"))
 
 

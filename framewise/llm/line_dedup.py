@@ -125,6 +125,7 @@ def _with_lost(docs: DataFrame, gone: DataFrame, doc: str, lost: str) -> DataFra
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts and digests of what is kept of all ``documents``; nulls and odd rows as in :func:`line_dedup`."""
     docs = line_dedup(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

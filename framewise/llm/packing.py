@@ -268,4 +268,5 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | Non
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the pieces of all ``documents``; nulls and odd rows as in :func:`pack`."""
     return pack(table(spark, sf_dir, "documents"))

@@ -86,7 +86,8 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules | None = None, id
     Null and empty texts have no words, so they fail the least number of words.
     Repeated rows and ids are judged row by row; a null id stays null; other
     columns are not read.  Texts are read whole, in slices of about a megabyte
-    of many texts, so a task's memory follows its longest text only.
+    of many texts, so a task's memory follows its longest text only.  An empty
+    table gives no rows.
     """
     rules = rules or RepetitionRules()
     names = _columns(rules)
@@ -101,11 +102,16 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules | None = None, id
 
 
 def op3_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of all ``documents`` under the standard rules; nulls and odd rows as in :func:`repetition_quality`."""
     return repetition_quality(table(spark, sf_dir, "documents"))
 
 
 def keep_quality(docs: DataFrame, rules: RepetitionRules | None = None) -> DataFrame:
-    """``docs`` without the rows that the rules reject; columns and row content stay as they are."""
+    """``docs`` without the rows that the rules reject; columns and row content stay as they are.
+
+    Null and empty texts have no words and go.  Rows that repeat stay or go
+    together, null ids count like others, and an empty table stays empty.
+    """
     rules = rules or RepetitionRules()
     kept = len(_columns(rules).split(", ")[: 8]) - 1
 
