@@ -214,13 +214,18 @@ def select_diverse(pool: DataFrame, count: int, diversity: float, pinned: Column
         open_ = np.ones(len(best), bool)
         bound = max(below, (value[-1], q[-1]) if len(best) == buffer else (-np.inf, -np.inf))
         picks: list[int] = []
+        units = matrices(vectors)
+        row_of = {int(i): (at, m, k) for at, m in units for k, i in enumerate(at)}
         while n + len(picks) < count and open_.any():
             at = min(np.flatnonzero(open_), key=lambda i: (-value[i], -q[i], keys[i]))
             if picks and (value[at], q[at]) <= bound:
                 break
             open_[at] = False
             picks.append(at)
-            near = np.maximum(near, d * nearest(vectors, matrices([vectors[at]])))
+            alike, m, k = row_of[int(at)]
+            similar = np.full(len(best), 0.5)
+            similar[alike] = (m @ m[k] + 1) / 2
+            near = np.maximum(near, d * similar)
             value = (1 - d) * q - near
         told([keys[i] for i in picks], [vectors[i] for i in picks])
         if n < count:
