@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewise.functions.files import casefold
 from framewise.operators.feedback import decisions
 
 
@@ -25,4 +26,4 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("header", True).csv(path)
     if not rows.columns or rows.isEmpty():
         raise ValueError(f"{path} has no rows")
-    return rows.select("file_path", F.lower("file_path").alias("path_key"), F.col("composite_score").cast("double"), F.col("global_quality_rank").cast("long"))
+    return rows.select("file_path", casefold("file_path").alias("path_key"), F.col("composite_score").cast("double"), F.col("global_quality_rank").cast("long"))
