@@ -65,6 +65,24 @@ def relative_key(path: Column, root: str) -> Column:
     return F.when(path.startswith(top), F.substring(path, len(top) + 1, 1_000_000)).otherwise(outside)
 
 
+def normal_path(path: Column) -> Column:
+    """A path without empty parts, ``.`` and ``..``, which take the part before them; what a scheme says stays, links are not followed."""
+    scheme = F.regexp_extract(path, r"^(?:[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]*)?)?(?=/)", 0)
+
+    def step(out: Column, part: Column) -> Column:
+        above = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.when(part.isin("", "."), out).when(part == "..", above).otherwise(F.concat(out, F.array(part)))
+
+    parts = F.aggregate(F.split(F.substring(path, F.length(scheme) + 1, F.length(path)), "/"), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"/\.{0,2}(/|$)"), F.concat(scheme, F.lit("/"), F.array_join(parts, "/"))).otherwise(path)
+
+
+def resolved(path: Column, root: str) -> Column:
+    """The normal form of a path, which is below ``root`` unless it is absolute or has a scheme."""
+    absolute = path.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]+:/)")
+    return normal_path(F.when(absolute, path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)))
+
+
 def signature(parts: Iterable[tuple[str, str]]) -> str:
     return ";".join(f"{k}={v}" for k, v in parts)
 

@@ -21,7 +21,7 @@ def primaries(files: DataFrame, preference: str = "raw") -> DataFrame:
         raise ValueError(f"unknown preference {preference!r}; choose raw, jpeg or all")
     liked = extension(F.col("name")).isin(*RAW_EXTENSIONS) == F.lit(preference == "raw")
     of = with_family(files)
-    best = of.groupBy("parent", "stem").agg(F.min_by(F.struct(*files.columns), F.struct((~liked).alias("other"), F.lower("name"), F.col("name"))).alias("best"))
+    best = of.groupBy("parent", "stem").agg(F.min_by(F.struct(*files.columns), F.struct((~liked).alias("other"), casefold("name"), F.col("name"))).alias("best"))
     return best.select("best.*")
 
 
@@ -65,7 +65,7 @@ def family_totals(plan: DataFrame) -> DataFrame:
 def sidecars(files: DataFrame) -> DataFrame:
     """The rating sidecar of each family: the shortest name, then by name."""
     one = with_family(files.where(extension(F.col("name")) == "xmp"))
-    return one.groupBy("parent", "stem").agg(F.min_by("name", F.struct(F.length("name"), F.lower("name"), F.col("name"))).alias("sidecar"))
+    return one.groupBy("parent", "stem").agg(F.min_by("name", F.struct(F.length("name"), casefold("name"), F.col("name"))).alias("sidecar"))
 
 
 def manifest(plan: DataFrame, rated: DataFrame) -> DataFrame:

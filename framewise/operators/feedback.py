@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.files import casefold
+from framewise.functions.files import casefold, resolved
 from framewise.operators.ordering import Ordered
 
 DECISIONS = ("keep", "reject")
 
 
 def decisions(rows: DataFrame, root: str | None = None, fold: bool = False) -> DataFrame:
-    """``file_path, decision`` from ``rows(row_id, file_path, decision)``: the last decision of a path counts, blank ones don't; others are an error."""
-    word = F.trim(F.coalesce("decision", F.lit("")))
+    """``file_path, decision`` from ``rows(row_id, file_path, decision)``: the last decision of a path counts, blank ones don't.
+
+    Another decision, or one without a path, is an error that names the row: by
+    its ``row_text`` where ``rows`` has that, else by ``row_id``.  With ``root``, paths are normal
+    ones below it or absolute, so that two spellings of a path are one.
+    """
+    word = F.regexp_replace(F.coalesce("decision", F.lit("")), r"(?U)^\s+|\s+$", "")
     word = casefold(word) if fold else F.lower(word)
-    bad = F.raise_error(F.concat(F.lit("invalid decision in row "), F.col("row_id").cast("string"))).cast("string")
-    path = F.col("file_path") if root is None else F.when(F.col("file_path").startswith("/"), F.col("file_path")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col("file_path")))
-    known = rows.select("row_id", path.alias("file_path"), word.alias("word")).where("word <> ''")
-    checked = known.withColumn("word", F.when(F.col("word").isin(*DECISIONS), F.col("word")).otherwise(bad))
+    row = F.col("row_text" if "row_text" in rows.columns else "row_id").cast("string")
+    told = lambda what: F.raise_error(F.concat(F.lit(f"{what} in row "), F.col("row_text"))).cast("string")
+    path = F.col("file_path") if root is None else resolved(F.col("file_path"), root)
+    known = rows.select("row_id", row.alias("row_text"), path.alias("file_path"), word.alias("word")).where("word <> ''")
+    checked = known.withColumns({"word": F.when(F.col("word").isin(*DECISIONS), F.col("word")).otherwise(told("invalid decision")), "file_path": F.coalesce("file_path", told("no path"))})
     return checked.groupBy("file_path").agg(F.max_by("word", "row_id").alias("decision"))
 
 

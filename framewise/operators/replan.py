@@ -172,6 +172,20 @@ class Session:
         """The chosen captures of the present settings, with ``portfolio_selection_order``."""
         return self.table("cut")
 
+    def summary(self) -> DataFrame:
+        """One row of the present selection: ``photos`` and ``base`` to choose from, ``requested``, ``capped`` where there are fewer than the target says, ``selected``, ``keeps`` that people pinned, ``lowest_score`` of those chosen by score (null without any), and ``notes``."""
+        count, capped = self.requested()
+        sizes = self.table("sizes").select(F.col("photos").alias("photos"), F.col(self.settings.mode).alias("base"))
+        keep = F.col("feedback_decision") == "keep"
+        sums = self.selection().agg(F.count("*").alias("selected"), F.count_if(keep).alias("keeps"), F.min(F.when(~keep, F.col("composite_score"))).alias("lowest_score"))
+        one = sizes.crossJoin(sums).withColumns({"requested": F.lit(count).cast("long"), "capped": F.lit(capped)})  # of one row each
+        notes = F.array_compact(F.array(
+            F.when(F.col("capped"), F.concat(F.lit("the target is more than there are: "), F.col("base"))),
+            F.when(F.col("keeps") > F.col("requested"), F.concat(F.col("keeps"), F.lit(" pinned, more than the target; all are chosen"))),
+            F.when(F.col("selected") < F.col("requested"), F.concat(F.col("selected"), F.lit(" are left after rejections"))),
+        ))
+        return one.select("photos", "base", "requested", "capped", "selected", "keeps", "lowest_score", notes.alias("notes"))
+
     def change(self, line: str) -> tuple[str, DataFrame | None]:
         """Does what a line says; after a change, who entered and left the selection.  A line that is none raises ValueError and changes nothing."""
         asked, settings = command(line, self.settings)

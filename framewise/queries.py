@@ -669,6 +669,19 @@ def replan_changes(spark, sf_dir):
     return rounded(changes, "composite_score")
 
 
+@query(f"""WITH RECURSIVE {_POOL}, n AS (SELECT count(*) AS base, CAST(floor(count(*) * 125e-3 + 5e-1) AS BIGINT) AS requested FROM marked),
+pinned_first AS (SELECT *, row_number() OVER (ORDER BY feedback_decision = 'keep' DESC, composite_score DESC, path_key) AS k FROM marked WHERE feedback_decision <> 'reject'),
+chosen AS (SELECT * FROM pinned_first, n WHERE k <= requested OR feedback_decision = 'keep')
+SELECT base AS photos, base, requested, false AS capped, count(*) AS selected, count(*) FILTER (feedback_decision = 'keep') AS keeps, round(min(composite_score) FILTER (feedback_decision <> 'keep'), 6) AS lowest_score,
+  concat_ws('; ', CASE WHEN count(*) FILTER (feedback_decision = 'keep') > requested THEN count(*) FILTER (feedback_decision = 'keep') || ' pinned, more than the target; all are chosen' END, CASE WHEN count(*) < requested THEN count(*) || ' are left after rejections' END) AS notes
+FROM chosen GROUP BY base, requested""")
+def selection_summary(spark, sf_dir):
+    """What a session tells of its selection, with the lowest score that was chosen."""
+    captures = _with_feedback(spark, sf_dir, _captures(spark, sf_dir))
+    session = replan.Session(captures, replan.Settings(BALANCED, mode="photos", target="12.5%"), RULES)
+    return rounded(session.summary(), "lowest_score").withColumn("notes", F.array_join("notes", "; "))
+
+
 # --- the store of kept rows -----------------------------------------------------------
 
 _STORE = ("relative_path string, pipeline_signature string, size_bytes long, modified_ns long, focus_score double", "relative_path string, pipeline_signature string, preset string, subject_integrity double")

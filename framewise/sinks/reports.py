@@ -7,13 +7,17 @@ import json
 import os
 import tempfile
 import uuid
+from importlib import resources
+from itertools import groupby
+from string import Template
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.files import csv_safe
 from framewise.functions.scoring import MULTIPLIERS
-from framewise.storage import hadoop, take_name
+from framewise.storage import hadoop, take_name, write_text
 
 # Fixed values.
 REPORT_COLUMNS = (
@@ -59,7 +63,7 @@ def write_csv(rows: DataFrame, path: str, *order: str) -> None:
     aside, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{word}" for word in ("part", "old"))
     files, new = hadoop(rows.sparkSession, aside)
     try:
-        (rows.orderBy(*order) if order else rows).write.option("header", True).csv(aside)
+        (rows.orderBy(*order) if order else rows).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(aside)
         take_name(files, new, hadoop(rows.sparkSession, path)[1], hadoop(rows.sparkSession, old)[1])
     finally:
         files.delete(new, True)
@@ -93,10 +97,68 @@ def write_json(rows: DataFrame, path: str) -> None:
     os.replace(f.name, path)
 
 
-def review_page(groups: DataFrame, limit: int = 100) -> str:
-    """An HTML page of at most ``limit`` frames; names and reasons are escaped."""
-    cards = []
-    for r in groups.orderBy("group", "burst_rank").limit(limit).collect():
-        name, why = html.escape(r["file_path"], quote=True), html.escape(r["score_reason"] or "")
-        cards.append(f'<figure data-burst="{r["burst_id"]}"><img src="{name}" loading="lazy" alt=""><figcaption>{name}<br>{r["composite_score"]:.3f} {why}</figcaption></figure>')
-    return "<!doctype html><meta charset=utf-8><title>Review</title><main>" + "".join(cards) + "</main>"
+def review_page(groups: DataFrame, limit: int = 100, title: str = "Review") -> str:
+    """An HTML page of at most ``limit`` frames, on which a person decides frame by frame and saves the decisions as a CSV for :func:`framewise.sources.reports.read_feedback`.
+
+    ``groups`` has ``group, burst_rank, burst_id, file_path, composite_score,
+    score_reason``, and may have ``aesthetic_score``, ``musiq_score``,
+    ``selection_rank``, ``burst_winner`` (else the first of a burst won),
+    ``portfolio_selected`` and ``thumbnail``, the picture to show.  A burst of
+    several frames is a section of its own, so that its winner can be turned down for
+    another; frames that stand alone follow each other in one.  All texts are escaped.  The
+    browser keeps decisions by ``title``, so each run should have its own.
+    """
+    rows = [r.asDict() for r in groups.orderBy("group", "burst_rank", "file_path").limit(limit).collect()]
+    sections: list[str] = []
+    n_bursts = 0
+    for alone, same in groupby([list(g) for _, g in groupby(rows, key=lambda r: r["group"])], key=lambda g: len(g) == 1):
+        if alone:
+            sections.append(_section("", [_card(r, False) for g in same for r in g]))
+            continue
+        for frames in same:
+            n_bursts += 1
+            head = f"<h2>Burst {_escaped(frames[0]['burst_id'])}, {len(frames)} frames</h2>"
+            sections.append(_section(head, [_card(r, True) for r in frames]))
+    chosen = sum(bool(r.get("portfolio_selected")) for r in rows)
+    told = f"{len(rows)} photos, {n_bursts} bursts, {chosen} exported."
+    parts = {"title": _escaped(title), "told": _escaped(told), "sections": "".join(sections), "name": json.dumps(title).replace("<", "\\u003c")}
+    return Template(resources.files("framewise.sinks").joinpath("review.html").read_text()).substitute(parts)
+
+
+def write_review(groups: DataFrame, path: str, limit: int = 100, title: str | None = None) -> None:
+    """The page as a file that appears whole; its folder's name is the title where none is given."""
+    page = review_page(groups, limit, title or os.path.basename(os.path.dirname(path.rstrip("/"))) or "Review")
+    write_text(groups.sparkSession, path, page)
+
+
+def _escaped(value: object) -> str:
+    return "" if value is None else html.escape(str(value), quote=True)
+
+
+def _section(head: str, cards: list[str]) -> str:
+    return f'<section class="{"burst" if head else "alone"}">{head}<div>{"".join(cards)}</div></section>'
+
+
+def _card(r: dict[str, object], burst: bool) -> str:
+    """One frame: its picture, what it is in its burst and in the selection, scores and reason."""
+    path, rank = str(r["file_path"]), r.get("selection_rank")
+    won = r.get("burst_winner")
+    won = r["burst_rank"] == 1 if won is None else bool(won)
+    marks = []
+    if burst:
+        marks.append("<mark>Pick</mark>" if won else "<mark class=lost>Lost</mark>")
+    if rank is not None and (won or not burst):
+        marks.append(f"#{_escaped(rank)}")
+    elif not burst and not won:
+        marks.append("Feedback keep")
+    if r.get("portfolio_selected"):
+        marks.append("<mark>Exported</mark>")
+    scores = [f"{name} {r[c]:.{digits}f}" for name, c, digits in (("Score", "composite_score", 2), ("Aesthetic", "aesthetic_score", 2), ("MUSIQ", "musiq_score", 1)) if r.get(c) is not None]
+    if burst:
+        scores.append(f"Burst rank {_escaped(r['burst_rank'])}")
+    picture = quote(str(r["thumbnail"] if r.get("thumbnail") else path), safe="/:")
+    name = _escaped(os.path.basename(path))
+    return (
+        f'<figure data-path="{_escaped(path)}" data-burst="{_escaped(r["burst_id"])}"><img src="{_escaped(picture)}" loading="lazy" alt="{name}">'
+        f'<figcaption><strong>{" ".join([*marks, name])}</strong><span>{" · ".join(scores)}</span><em>{_escaped(r["score_reason"])}</em></figcaption></figure>'
+    )
