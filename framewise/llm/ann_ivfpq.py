@@ -34,8 +34,10 @@ class IvfPq:
     ``recall``: the share of the sample's own nearest vectors that lie in the
     cells visited; so many cells are visited as that takes (at least
     ``min_probe``).  ``short_list``: vectors of a query whose exact product is
-    computed, about, of all cells together.  ``cell_rows`` and ``query_rows``:
-    rows of a cell, and queries, in one task's block.
+    computed, about, of all cells together.  ``cell_rows``: rows of a cell in
+    one block, which a task holds while queries stream past it.  ``query_rows``: queries
+    that stream past one copy of a block; a further copy is made for so
+    many more, so that no task is endless, and it is small beside the queries themselves.
     """
 
     sample: int = 20_000
@@ -46,7 +48,7 @@ class IvfPq:
     subspaces: int = 16
     short_list: int = 500
     cell_rows: int = 50_000
-    query_rows: int = 20_000
+    query_rows: int = 1_000_000
     rounds: int = 10
 
 
@@ -222,45 +224,65 @@ def nearest(
 
     near_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("about", pa.float32()), ("score", pa.float64())])
 
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return near_schema.empty_table()
-        left = left.sort_by("vec_id").combine_chunks()
-        values = lambda column: np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
-        ids, m, asking, qs, cuts = left.column("vec_id").to_numpy(), values(left.column("v")), right.column("query_id").to_numpy(), values(right.column("v")), right.column("cut").to_numpy()
-        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        cell, out = left.column("cell")[0].as_py(), []
+    def values(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block: first its vectors, then the queries that visit it, however many."""
+        now, held, ready = None, [], None
+        for batch in batches:
+            places = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            turns = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                *block, side = places[:, a].tolist()
+                if block != now:
+                    now, held, ready = block, [], None
+                if side == 0:
+                    held.append(batch.slice(a, b - a))
+                elif ready or held:  # else none of the cell's rows lie in this block
+                    if ready is None:
+                        rows = pa.Table.from_batches(held).sort_by("id").combine_chunks()
+                        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+                        ready, held = (rows.column("id").to_numpy(), values(rows.column("v")), codes), []
+                    for c in range(a, b, AT_ONCE):
+                        yield from found_in(block[0], *ready, batch.slice(c, min(AT_ONCE, b - c)))
+
+    def found_in(cell: int, ids: np.ndarray, m: np.ndarray, codes: np.ndarray, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asking, cuts, qs = asked.column("id").to_numpy(), asked.column("cut").to_numpy(), values(asked.column("v"))
+        out = []
 
         def exact(i: int, at: np.ndarray) -> np.ndarray:
             return (m[at].astype(np.float64) * qs[i].astype(np.float64)).sum(1)  # row by row, so that equal vectors have equal scores
 
-        for a in range(0, len(asking), AT_ONCE):
-            some = np.arange(a, min(a + AT_ONCE, len(asking)))
-            all_of = some[np.isneginf(cuts[some])]
-            for i in all_of:
-                score = exact(i, np.arange(len(ids)))
-                order = np.lexsort((ids, -score))
-                order = order[ids[order] != asking[i]]
-                order = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # each id once, by its best row
-                out.append((np.full(len(order), asking[i]), ids[order], score[order].astype(np.float32), score[order]))
-            some = some[~np.isneginf(cuts[some])]
-            about = np.ascontiguousarray(shared.value.about(qs[some].astype(np.float64), cell, codes).T) if len(some) else ()
-            for i, row in zip(some, about):
-                at = np.flatnonzero(row >= cuts[i])
-                at = at[ids[at] != asking[i]]
-                at = at[_best(row[at], options.short_list)]
-                out.append((np.full(len(at), asking[i]), ids[at], row[at], exact(i, at)))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=near_schema)
+        for i in np.flatnonzero(np.isneginf(cuts)):
+            score = exact(i, np.arange(len(ids)))
+            order = np.lexsort((ids, -score))
+            order = order[ids[order] != asking[i]]
+            order = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # each id once, by its best row
+            out.append((np.full(len(order), asking[i]), ids[order], score[order].astype(np.float32), score[order]))
+        some = np.flatnonzero(~np.isneginf(cuts))
+        about = np.ascontiguousarray(shared.value.about(qs[some].astype(np.float64), cell, codes).T) if len(some) else ()
+        for i, row in zip(some, about):
+            at = np.flatnonzero(row >= cuts[i])
+            at = at[ids[at] != asking[i]]
+            at = at[_best(row[at], options.short_list)]
+            out.append((np.full(len(at), asking[i]), ids[at], row[at], exact(i, at)))
+        yield record_batch(near_schema, *(np.concatenate(c) for c in zip(*out)))
+
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def searched(q: DataFrame, every: bool) -> DataFrame:
-        share = 1.0 if every else model.probes / n_cells
-        parts = max(1, math.ceil(q.count() * share / options.query_rows))
+        parts = math.ceil(q.count() / options.query_rows) or 1
         number = F.array(*(F.lit(int(b)) for b in blocks))
+        by, side = ("cell", "block", "part"), ("cell", "block", "part", "side", "id", "cut", "code", "v")
         placed = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(number, F.col("cell") + 1)).cast("int"))
-        placed = placed.withColumn("part", F.explode(F.array(*map(F.lit, range(parts)))))
-        probes = probed(q, every).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-        by = ("cell", "block", "part")
-        found = placed.groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, about float, score double")
+        placed = placed.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "side": F.lit(0), "id": F.col("vec_id"), "cut": F.lit(None).cast("double")})
+        probes = probed(q, every).withColumns({"part": F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"), "side": F.lit(1), "id": F.col("query_id"), "code": F.lit(None).cast("binary")})
+        tasks = max(at_least, min(int(blocks.sum()) * parts // 4, 10_000))
+        both = placed.select(*side).union(probes.select(*side)).repartition(tasks, *by).sortWithinPartitions(*by, "side")
+        found = both.mapInArrow(search, "query_id long, vec_id long, about float, score double")
         # one short list over all cells, then the exact order
         found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("about").alias("about"), F.max("score").alias("score"))
         listed = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
