@@ -573,6 +573,19 @@ def test_nearest_with_codes_that_prune(spark):
     assert hits / (100 * 20) >= 0.9
 
 
+def test_nearest_does_not_hang_on_blocks(spark):
+    """However cells and queries are cut into blocks, and with a third of all rows alike, the result is one."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(900, 8)).astype(np.float32)
+    m[::3] = m[0]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<float>")
+    made = [
+        {tuple(r) for r in ann_ivfpq.nearest(v, v.where("vec_id % 10 = 0"), options=ann_ivfpq.IvfPq(short_list=900, cell_rows=c, query_rows=q)).collect()}
+        for c, q in ((50_000, 1_000_000), (7, 1_000_000), (50_000, 4), (40, 11))
+    ]
+    assert len(made[0]) == 90 * 20 and all(one == made[0] for one in made)
+
+
 def test_nearest_is_complete_and_breaks_ties(spark):
     rows = [(i, [1.0 + (i % 7) / 100, 0.5, float(i % 3)]) for i in range(1, 99)] + [(20 * i, [0.1, 0.2, 0.3]) for i in range(5, 8)]
     rows += [(i + 1000, [0.5, 0.5, 0.5]) for i in range(60)]  # a tie at the last place
@@ -594,8 +607,9 @@ def test_nearest_is_complete_and_breaks_ties(spark):
 
 def test_nearest_leaves_out_what_takes_no_part(spark):
     rows = [(i, [float(i), 1.0]) for i in range(1, 6)] + [(20, [1.0, 0.0]), (40, [0.0, 0.0]), (60, None), (80, [float("nan"), 1.0]), (7, [None, 1.0]), (5, [5.0, 1.0])]
+    rows += [(None, [9.0, 9.0]), (100, [9.0]), (8, [9.0, 9.0, 9.0]), (120, []), (9, [float("inf"), 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann_ivfpq.nearest(v, v.where("vec_id % 20 = 0")).orderBy("rank").collect()
+    got = ann_ivfpq.nearest(v, v.where("vec_id % 20 = 0 or vec_id is null")).orderBy("rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(20, i, float(i)) for i in (5, 4, 3, 2, 1)]
     assert ann_ivfpq.nearest(v.limit(0), v).count() == 0
 
