@@ -1,12 +1,14 @@
-"""Approximate nearest neighbours by inner product (operator 9).
+"""Nearest neighbours by inner product (operator 9).
 
 An inverted file: coarse centroids, and product-quantised residuals below each.
 Centroids and codebooks are fitted on a bounded sample; every vector is
-indexed.  A query visits the cells of the largest inner products, ranks their
-vectors by asymmetric distance tables into one short list over all its cells,
-and reranks that list by the exact product of the original vectors in double
-precision.  A query that finds fewer than it asked for is searched again in
-all cells, exactly.
+indexed, with the length of what its code leaves out.  Of each query the k-th
+best product with a bounded sample is a floor: no nearest vector lies below it.  A query
+visits the cells whose centroid and farthest vector can reach the floor, leaves
+out vectors whose asymmetric distance and code error cannot, and ranks all others by the
+exact product of the original vectors in double precision.  A code error counts by the largest share
+of it that products of the sample show; for vectors coded worse than any of the sample, in full.  A
+query that finds fewer than it asked for is searched again in all cells, exactly.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,8 @@ from .common import record_batch, table
 class IvfPq:
     """``sample``: vectors to fit on, at most.  ``cell_size``: rows for each cell, up to ``max_cells`` cells.
 
-    ``recall``: the share of the sample's own nearest vectors that lie in the
-    cells visited; so many cells are visited as that takes (at least
-    ``min_probe``).  ``short_list``: vectors of a query whose exact product is
-    computed, about, of all cells together.  ``cell_rows``: rows of a cell in
+    ``short_list``: vectors of a query and block, the best by their codes, whose exact
+    products raise the floor where more than these could reach it.  ``cell_rows``: rows of a cell in
     one block, which a task holds while queries stream past it.  ``query_rows``: queries
     that stream past one copy of a block; a further copy is made for so
     many more, so that no task is endless, and it is small beside the queries themselves.
@@ -43,8 +42,6 @@ class IvfPq:
     sample: int = 20_000
     cell_size: int = 1024
     max_cells: int = 1024
-    recall: float = 0.975
-    min_probe: int = 4
     subspaces: int = 16
     short_list: int = 500
     cell_rows: int = 50_000
@@ -52,10 +49,12 @@ class IvfPq:
     rounds: int = 10
 
 
-#: Trial queries on the sample, and vectors of it by which a query's cut is set.
+#: Trial queries, and vectors beside the sample by which floors are set and codes judged.
 TRIALS, REFERENCE = 256, 4096
-#: Queries whose tables are read at once.
-AT_ONCE = 128
+#: Queries whose tables are read at once, and pairs whose products are taken at once.
+AT_ONCE, PAIRS = 128, 1 << 16
+#: Of the product of two lengths: more than sums of single precision are off.
+ROUNDING = 1e-5
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -75,34 +74,37 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Model:
-    """Cells, codebooks, how many cells a query visits, and reference vectors; ``rows`` is the size of the whole table."""
+    """Cells, codebooks, and reference vectors ``held`` with their ids; ``rows`` is the size of the whole table, ``asked`` some of the queries."""
 
-    def __init__(self, x: np.ndarray, rows: int, k: int, options: IvfPq) -> None:
+    def __init__(self, x: np.ndarray, held: np.ndarray, ids: np.ndarray, asked: np.ndarray, rows: int, options: IvfPq) -> None:
         x = x.astype(np.float64)
         n_cells = min(options.max_cells, max(16, round(rows / options.cell_size)))
         self.cells = k_means(x, n_cells, options.rounds, 1)
-        cell = self.cell_of(x)
-        rest = x - self.cells[cell]
+        rest = x - self.cells[self.cell_of(x)]
         self.cuts = np.linspace(0, x.shape[1], min(options.subspaces, x.shape[1]) + 1).astype(int)
         self.books = [k_means(rest[:, a:b], 256, options.rounds, 2) for a, b in zip(self.cuts, self.cuts[1:])]
-        self.probes = max(min(options.min_probe, len(self.cells)), self._probes(x, cell, k, options.recall))
-        self.reference = x[:REFERENCE]
-        self.share = min(1.0, options.short_list / max(rows, 1))
-
-    def _probes(self, x: np.ndarray, cell: np.ndarray, k: int, recall: float) -> int:
-        """The cells that hold the share ``recall`` of the nearest ``k`` of trial queries within the sample, by the order in which a query visits them."""
-        trials = np.arange(min(TRIALS, len(x)))
-        score = x[trials] @ x.T
-        score[trials, trials] = -np.inf
-        k = min(k, len(x) - 1)
-        if k < 1:
-            return len(self.cells)
-        best = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        visits = np.argsort(-(x[trials] @ self.cells.T), axis=1, kind="stable")
-        turn = np.empty_like(visits)
-        np.put_along_axis(turn, visits, np.arange(len(self.cells))[None], 1)
-        turns = np.sort(np.take_along_axis(turn, cell[best], 1).ravel())
-        return int(turns[min(len(turns) - 1, math.ceil(recall * len(turns)) - 1)]) + 1
+        self.ids, first = np.unique(ids, return_index=True)
+        self.reference = held[first].astype(np.float64)
+        lost = self._lost(held.astype(np.float64))
+        size = np.linalg.norm(lost, axis=1)
+        q = asked.astype(np.float64)
+        with np.errstate(all="ignore"):
+            share = np.abs(q @ lost.T) / (np.linalg.norm(q, axis=1)[:, None] * size[None])
+        self.worst, self.share = size.max(initial=0.0), min(1.0, np.nan_to_num(share, nan=0.0).max(initial=0.0))
+
+    def _lost(self, x: np.ndarray) -> np.ndarray:
+        cell = self.cell_of(x)
+        return x - self.cells[cell] - self.decoded(self.codes(x, cell))
+
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], 1)
+
+    def indexed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, code, distance from the centroid, and by how much a product with a query of length 1 can exceed that of the code."""
+        cell = self.cell_of(x)
+        rest, codes = x - self.cells[cell], self.codes(x, cell)
+        lost = np.linalg.norm(rest - self.decoded(codes), axis=1)
+        return cell, codes, np.linalg.norm(rest, axis=1), np.where(lost <= self.worst, lost * self.share, lost)
 
     def cell_of(self, x: np.ndarray) -> np.ndarray:
         return ((self.cells**2).sum(1)[None] - 2 * x @ self.cells.T).argmin(1)
@@ -112,17 +114,13 @@ class Model:
         near = [((b**2).sum(1)[None] - 2 * rest[:, i:j] @ b.T).argmin(1) for b, i, j in zip(self.books, self.cuts, self.cuts[1:])]
         return np.stack(near, 1).astype(np.uint8)
 
-    def cut(self, q: np.ndarray) -> np.ndarray:
-        """For each query the product that about a short list of all vectors reaches, as told by the reference vectors.
-
-        Where the list is a smaller share than eight of these, the tail of a
-        normal distribution goes on from there.
-        """
-        score = np.sort(q @ self.reference.T, axis=1)
-        place = math.ceil(self.share * score.shape[1])
-        if place >= min(8, score.shape[1]):
-            return score[:, score.shape[1] - place]
-        return np.maximum(score[:, -8], score.mean(1) + score.std(1) * NormalDist().inv_cdf(1 - self.share))
+    def cut(self, q: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+        """For each query the ``k``-th best product with other reference vectors; no limit where there are fewer."""
+        if len(self.ids) <= k:
+            return np.full(len(q), -np.inf)
+        score = np.where(self.ids[None] == ids[:, None], -np.inf, q @ self.reference.T)
+        best = np.partition(score, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
+        return best - ROUNDING * np.linalg.norm(q, axis=1) * np.linalg.norm(self.reference, axis=1).max()
 
     def about(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """A row for each vector of the cell, a column for each query: the products by distance tables."""
@@ -132,15 +130,6 @@ class Model:
         return out
 
 
-def _best(score: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the ``n`` largest; of equal ones the first, as rows are in order of id."""
-    if len(score) <= n:
-        return np.arange(len(score))
-    limit = np.partition(score, len(score) - n)[len(score) - n]
-    above = np.flatnonzero(score > limit)
-    return np.concatenate([above, np.flatnonzero(score == limit)[: n - len(above)]])
-
-
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, v`` of the vectors that take part: not null or zero, all components finite."""
     chosen = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].alias("v"))
@@ -172,13 +161,17 @@ def nearest(
     dim, rows = sizes[0]["d"], sizes[0]["count"]
     x, q = x.where(F.size("v") == dim), q.where(F.size("v") == dim)
     q = q.groupBy("vec_id").agg(F.min("v").alias("v"))
-    some = x if rows <= options.sample else x.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * 1.2 * options.sample / rows)))
-    drawn = some.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(options.sample).select("v").toArrow()
-    sample = drawn.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-    shared = spark.sparkContext.broadcast(model := Model(sample, rows, k, options))  # at most max_cells + 256 + REFERENCE rows of dim
+    some = x if rows <= options.sample + REFERENCE else x.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * 1.2 * (options.sample + REFERENCE) / rows)))
+    drawn = some.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(options.sample + REFERENCE).toArrow()
+    trials = q.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).toArrow()
+    flat = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    apart = drawn.num_rows >= options.sample + REFERENCE // 4  # vectors that nothing was fitted on, where the table has some to spare
+    held = drawn.slice(options.sample if apart else 0, REFERENCE)
+    model = Model(flat(drawn.slice(0, options.sample)), flat(held), held.column("vec_id").to_numpy(), flat(trials), rows, options)
+    shared = spark.sparkContext.broadcast(model)  # at most max_cells + 256 + REFERENCE rows of dim
     n_cells = len(model.cells)
 
-    coded_schema = pa.schema([("cell", pa.int32()), ("vec_id", pa.int64()), ("code", pa.binary()), ("v", pa.binary())])
+    coded_schema = pa.schema([("cell", pa.int32()), ("vec_id", pa.int64()), ("code", pa.binary()), ("far", pa.float64()), ("reach", pa.float64()), ("v", pa.binary())])
 
     def packed(m: np.ndarray) -> pa.Array:
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(m.shape[1] * m.itemsize), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
@@ -189,13 +182,13 @@ def nearest(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = matrix(batch)
-            cell = shared.value.cell_of(m)
-            yield record_batch(coded_schema, cell.astype(np.int32), batch.column(0), packed(shared.value.codes(m, cell)), packed(m.astype(kind)))
+            cell, codes, far, reach = shared.value.indexed(m.astype(np.float64))
+            yield record_batch(coded_schema, cell.astype(np.int32), batch.column(0), packed(codes), far, reach, packed(m.astype(kind)))
 
-    coded = scratch.put(x.mapInArrow(index, "cell int, vec_id long, code binary, v binary"), "index")
-    per_cell = np.zeros(n_cells, np.int64)
-    for row in coded.groupBy("cell").count().collect():  # a row for each cell
-        per_cell[row["cell"]] = row["count"]
+    coded = scratch.put(x.mapInArrow(index, "cell int, vec_id long, code binary, far double, reach double, v binary"), "index")
+    per_cell, farthest = np.zeros(n_cells, np.int64), np.zeros(n_cells)
+    for row in coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row for each cell
+        per_cell[row["cell"]], farthest[row["cell"]] = row["n"], row["far"]
     blocks = np.maximum(1, -(-per_cell // options.cell_rows))
     probe_schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("query_id", pa.int64()), ("cut", pa.float64()), ("v", pa.binary())])
 
@@ -208,21 +201,19 @@ def nearest(
                 for a in range(0, whole.num_rows, 256):
                     batch = whole.slice(a, 256)
                     m = matrix(batch).astype(np.float64)
-                    order = np.argsort(-(m @ model.cells.T), axis=1, kind="stable")
-                    before = np.cumsum(per_cell[order], axis=1) - per_cell[order]
-                    visited = (np.arange(n_cells)[None] < model.probes) | (before <= k)  # k and itself, at least
-                    of, turn = np.nonzero((visited | every) & (per_cell[order] > 0))
-                    cell = order[of, turn]
+                    cut = np.full(len(m), -np.inf) if every else model.cut(m, batch.column(0).to_numpy(), k)
+                    length = np.linalg.norm(m, axis=1)[:, None]
+                    most = m @ model.cells.T + length * (farthest + ROUNDING * (np.linalg.norm(model.cells, axis=1) + farthest))
+                    of, cell = np.nonzero(~(most < cut[:, None]) & (per_cell > 0))
                     times = blocks[cell]
                     at = np.repeat(of, times)
                     block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                    cut = np.full(len(m), -np.inf) if every else model.cut(m)
                     take = pa.array(at)
                     yield record_batch(probe_schema, np.repeat(cell, times).astype(np.int32), block.astype(np.int32), batch.column(0).take(take), cut[at], packed(m.astype(kind)).take(take))
 
         return q.mapInArrow(probe, "cell int, block int, query_id long, cut double, v binary")
 
-    near_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("about", pa.float32()), ("score", pa.float64())])
+    near_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def values(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
@@ -245,49 +236,63 @@ def nearest(
                     if ready is None:
                         rows = pa.Table.from_batches(held).sort_by("id").combine_chunks()
                         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-                        ready, held = (rows.column("id").to_numpy(), values(rows.column("v")), codes), []
+                        ready, held = (rows.column("id").to_numpy(), values(rows.column("v")), codes, rows.column("reach").to_numpy()), []
                     for c in range(a, b, AT_ONCE):
                         yield from found_in(block[0], *ready, batch.slice(c, min(AT_ONCE, b - c)))
 
-    def found_in(cell: int, ids: np.ndarray, m: np.ndarray, codes: np.ndarray, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        asking, cuts, qs = asked.column("id").to_numpy(), asked.column("cut").to_numpy(), values(asked.column("v"))
-        out = []
-
-        def exact(i: int, at: np.ndarray) -> np.ndarray:
-            return (m[at].astype(np.float64) * qs[i].astype(np.float64)).sum(1)  # row by row, so that equal vectors have equal scores
-
-        for i in np.flatnonzero(np.isneginf(cuts)):
-            score = exact(i, np.arange(len(ids)))
-            order = np.lexsort((ids, -score))
-            order = order[ids[order] != asking[i]]
-            order = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # each id once, by its best row
-            out.append((np.full(len(order), asking[i]), ids[order], score[order].astype(np.float32), score[order]))
-        some = np.flatnonzero(~np.isneginf(cuts))
-        about = np.ascontiguousarray(shared.value.about(qs[some].astype(np.float64), cell, codes).T) if len(some) else ()
-        for i, row in zip(some, about):
-            at = np.flatnonzero(row >= cuts[i])
-            at = at[ids[at] != asking[i]]
-            at = at[_best(row[at], options.short_list)]
-            out.append((np.full(len(at), asking[i]), ids[at], row[at], exact(i, at)))
-        yield record_batch(near_schema, *(np.concatenate(c) for c in zip(*out)))
+    def found_in(cell: int, ids: np.ndarray, m: np.ndarray, codes: np.ndarray, reach: np.ndarray, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of each query the best ``k`` of a block, if they reach its floor."""
+        asking, cuts, qs = asked.column("id").to_numpy(), asked.column("cut").to_numpy().copy(), values(asked.column("v")).astype(np.float64)
+        length = np.linalg.norm(qs, axis=1)
+        about = np.ascontiguousarray(shared.value.about(qs, cell, codes).T)
+        most = about + (length[:, None] * (reach + ROUNDING * np.linalg.norm(m.astype(np.float64), axis=1).max())[None])
+        can = ~(most < cuts[:, None]) & (ids[None] != asking[:, None])
+
+        def exact(i: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return (m[at].astype(np.float64) * qs[i]).sum(1)  # row by row, so that equal vectors have equal scores
+
+        for i in np.flatnonzero(can.sum(1) > options.short_list):
+            at = np.flatnonzero(can[i])
+            at = at[np.argpartition(-about[i, at], options.short_list - 1)[: options.short_list]]
+            score = exact(np.full(len(at), i), at)
+            order = np.lexsort((ids[at], -score))
+            best = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]  # each id once, by its best row
+            if len(best) >= k:
+                cuts[i] = max(cuts[i], score[best[k - 1]])
+                can[i] &= ~(most[i] < cuts[i])
+        upto = np.cumsum(can.sum(1))
+        part = upto // PAIRS
+        for p in np.unique(part):
+            some = np.flatnonzero(part == p)
+            of, at = np.nonzero(can[some])
+            of = some[of]
+            score = exact(of, at)
+            good = np.flatnonzero(score >= cuts[of])
+            of, score, found = of[good], score[good], ids[at[good]]
+            order = np.lexsort((found, -score, of))
+            of, score, found = of[order], score[order], found[order]
+            once = np.lexsort((np.arange(len(of)), found, of))  # each id once, by its best row
+            keep = np.ones(len(of), bool)
+            keep[once[1:]] = (of[once][1:] != of[once][:-1]) | (found[once][1:] != found[once][:-1])
+            of, score, found = of[keep], score[keep], found[keep]
+            first = np.searchsorted(of, of)
+            few = np.arange(len(of)) - first < k
+            yield record_batch(near_schema, asking[of[few]], found[few], score[few])
 
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def searched(q: DataFrame, every: bool) -> DataFrame:
         parts = math.ceil(q.count() / options.query_rows) or 1
         number = F.array(*(F.lit(int(b)) for b in blocks))
-        by, side = ("cell", "block", "part"), ("cell", "block", "part", "side", "id", "cut", "code", "v")
+        by, side = ("cell", "block", "part"), ("cell", "block", "part", "side", "id", "cut", "code", "reach", "v")
         placed = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(number, F.col("cell") + 1)).cast("int"))
         placed = placed.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "side": F.lit(0), "id": F.col("vec_id"), "cut": F.lit(None).cast("double")})
-        probes = probed(q, every).withColumns({"part": F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"), "side": F.lit(1), "id": F.col("query_id"), "code": F.lit(None).cast("binary")})
+        probes = probed(q, every).withColumns({"part": F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"), "side": F.lit(1), "id": F.col("query_id"), "code": F.lit(None).cast("binary"), "reach": F.lit(None).cast("double")})
         tasks = max(at_least, min(int(blocks.sum()) * parts // 4, 10_000))
         both = placed.select(*side).union(probes.select(*side)).repartition(tasks, *by).sortWithinPartitions(*by, "side")
-        found = both.mapInArrow(search, "query_id long, vec_id long, about float, score double")
-        # one short list over all cells, then the exact order
-        found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("about").alias("about"), F.max("score").alias("score"))
-        listed = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
+        found = both.mapInArrow(search, "query_id long, vec_id long, score double")
+        found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found = found.withColumn("place", F.row_number().over(listed)).where(F.col("place") <= max(k, options.short_list))
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     q = scratch.put(q, "queries")

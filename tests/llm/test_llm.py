@@ -573,6 +573,30 @@ def test_nearest_with_codes_that_prune(spark):
     assert hits / (100 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ("long", "dense", "flat", "copies"))
+def test_nearest_of_odd_tables(spark, kind):
+    """Few vectors far longer than others, cells of near copies that codes cannot tell apart, lengths of all sizes, and copies in large groups."""
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(6000, 16))
+    if kind == "long":
+        m[rng.choice(6000, 60, replace=False)] *= 50
+    if kind == "dense":
+        m = rng.normal(size=(4, 16))[rng.integers(4, size=6000)] * 10 + m / 100
+    if kind == "flat":
+        m *= np.exp(2 * rng.normal(size=(6000, 1)))
+    if kind == "copies":
+        m = m[rng.integers(12, size=6000)] + m / 1000
+    m = m.astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<float>")
+    found = ann_ivfpq.nearest(v, v.where("vec_id % 60 = 0"), options=ann_ivfpq.IvfPq(sample=1500, short_list=100)).toPandas()
+    hits = 0
+    for q in range(0, 6000, 60):
+        score = (m.astype(float) * m[q].astype(float)).sum(1)
+        score[q] = -np.inf
+        hits += len(set(found[found.query_id == q].vec_id) & set(np.lexsort((np.arange(6000), -score))[:20]))
+    assert len(found) == 100 * 20 and hits / (100 * 20) >= 0.99
+
+
 def test_nearest_does_not_hang_on_blocks(spark):
     """However cells and queries are cut into blocks, and with a third of all rows alike, the result is one."""
     rng = np.random.default_rng(9)
