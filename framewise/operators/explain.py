@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions.files import one_digit
-from framewise.functions.scoring import positive
+from framewise.functions.scoring import positive, power
 from framewise.operators.ordering import value_ranks
 from framewise.storage import stored
 
@@ -37,7 +37,7 @@ def amount(high: Column, low: Column) -> Column:
 
 def factors(aesthetic_weight: float) -> Column:
     values = (
-        F.pow(positive(F.col("aesthetic_score")), F.lit(float(aesthetic_weight))), F.col("absolute_focus_multiplier") * F.col("relative_focus_multiplier"),
+        power(positive(F.col("aesthetic_score")), float(aesthetic_weight)), F.col("absolute_focus_multiplier") * F.col("relative_focus_multiplier"),
         F.col("musiq_multiplier"), F.col("exposure_multiplier"), F.col("eye_multiplier"), F.col("subject_multiplier"),
     )
     return F.array(*values)

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from framewise import storage
 from framewise.functions import files as ff
 from framewise.functions import metadata, vectors
-from framewise.functions.scoring import PROFILES
+from framewise.functions.scoring import PROFILES, power
 from framewise.operators import cache, explain, families, features, feedback, incremental, ranking, selection
 from framewise.operators.bursts import BurstRules, group_bursts
 from framewise.operators.ordering import Ordered, value_ranks
@@ -115,6 +115,14 @@ def reasons(spark, rows):
     return {r["file_name"]: r["score_reason"] for r in explain.score_reasons(ranked).collect()}
 
 
+def test_powers_equal_the_c_library(spark):
+    """Bit by bit, as SQL has them; a last bit decides between captures of nearly equal scores."""
+    x = np.random.default_rng(4).random(3000).tolist() + [0.0, 1.0]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for weight in (0.0, 0.15, 0.5, 0.7, 1.0, 1.5, 2.0):
+        assert {r["x"]: r["y"] for r in df.select("x", power(F.col("x"), weight).alias("y")).collect()} == {v: v**weight for v in x}
+
+
 def test_reasons(spark):
     made = reasons(spark, [(f"{i}.jpg", i, {"focus_score": float(f)}) for i, f in enumerate((100, 80, 20))])
     assert made["0.jpg"].startswith("best of 3 in burst; next best 1.jpg scored 35% lower, mainly on sharpness")
