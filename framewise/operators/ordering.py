@@ -8,26 +8,55 @@ range carries what the next ones need.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framewise.storage import stored
 
 PART, AT = "_part", "_at"
+#: ``AT`` holds the place within a range in its lower bits, as monotonically_increasing_id does.
+_PLACE = (1 << 33) - 1
+
+
+def _running(value: Column) -> Column:
+    """The sum of ``value`` up to each row of a range, in the order in which its task writes them."""
+
+    def sums(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        total = 0
+        for batch in batches:
+            upto = np.cumsum(batch.fill_null(0).to_numpy(zero_copy_only=False)) + total
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.array(upto, pa.int64())
+
+    return F.arrow_udf(sums, "long").asNondeterministic()(value.cast("long"))
 
 
 class Ordered:
     """``df`` in the order of ``keys`` (columns or expressions, unique together).
 
     There are as many ranges as shuffle partitions, so what is broadcast below
-    has one row for each of them.
+    has one row for each of them.  ``sums`` are values whose running sums within a
+    range are written with its rows, for :meth:`placed`; so rows do not move again.
     """
 
-    def __init__(self, df: DataFrame, *keys: Column | str, name: str = "ordered") -> None:
+    def __init__(self, df: DataFrame, *keys: Column | str, name: str = "ordered", sums: dict[str, Column] | None = None) -> None:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         at = F.monotonically_increasing_id()
         sorted_ = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(PART, F.spark_partition_id()).withColumn(AT, at)
-        self.rows = stored(sorted_, name)
+        self.sums = tuple(sums or {})
+        self.rows = stored(sorted_.withColumns({k: _running(v) for k, v in sums.items()}) if sums else sorted_, name)
+
+    def placed(self, name: str | None = None) -> DataFrame:
+        """The rows with the ``sums`` over the whole table, up to and with each row, and with their number ``name``.  No row moves."""
+        inner = {k: F.col(k) for k in self.sums} | ({} if name is None else {name: F.col(AT).bitwiseAND(F.lit(_PLACE)) + F.lit(1)})
+        before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # of one row a range
+        ends = self.rows.groupBy(PART).agg(*(F.max_by(v, AT).alias(f"_sum_{k}") for k, v in inner.items()))
+        ends = ends.select(PART, *(F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in inner))
+        return self._joined(self.rows, ends).withColumns({k: (v + F.col(f"_before_{k}")).cast("long") for k, v in inner.items()}).drop(*(f"_before_{k}" for k in inner))
 
     @property
     def within(self) -> WindowSpec:
@@ -50,7 +79,7 @@ class Ordered:
         return self.running_sums({name: value}, rows)
 
     def row_number(self, name: str) -> DataFrame:
-        return self.running_sum(F.lit(1), name).drop(PART, AT)
+        return self.placed(name).drop(PART, AT)
 
     def lag(self, columns: dict[str, str], keep: tuple[str, ...] | None = None) -> DataFrame:
         """The rows (or their columns ``keep``) with the values of the row before: ``columns`` maps new names to old ones; null at the first row."""
@@ -71,8 +100,8 @@ def value_ranks(df: DataFrame, *values: Column) -> list[DataFrame]:
     """
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("of"), v.alias("value")) for i, v in enumerate(values))))
     counts = df.select(each.alias("_one")).groupBy("_one.of", "_one.value").agg(F.count("*").alias("n"))
-    ordered = Ordered(counts, "of", "value", name="ranks")
+    ordered = Ordered(counts, "of", "value", name="ranks", sums={"upto": F.col("n")})
     total = ordered.rows.where("of = 0").agg(F.sum("n")).first()[0] or 0
     upto = F.col("upto") - F.col("of") * F.lit(total)  # the values before this one had all rows each
-    summed = ordered.running_sum(F.col("n"), "upto").select("of", "value", "n", upto.alias("upto"))
+    summed = ordered.placed().select("of", "value", "n", upto.alias("upto"))
     return [summed.where(F.col("of") == i).select("value", (F.col("upto") - F.col("n")).alias("below"), "upto", F.lit(total).alias("total")) for i in range(len(values))]

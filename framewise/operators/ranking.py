@@ -10,13 +10,17 @@ from framewise.operators.bursts import BurstRules, burst_stats, group_bursts, un
 from framewise.operators.ordering import AT, PART, Ordered, value_ranks
 
 
-def focus_percentile(captures: DataFrame, p: Profile) -> DataFrame:
-    """``focus_percentile`` by mid-rank (equal values share the mean of their ranks) and ``absolute_focus_factor``."""
-    value = positive(F.col("focus_score"))
-    ranks = value_ranks(captures, value)[0].withColumnRenamed("value", "_focus")
+def with_percentile(captures: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``focus_percentile`` by mid-rank (equal values share the mean of their ranks), from the :func:`value_ranks` of the focus."""
     middle = (F.col("below") + F.lit(1) + F.col("upto")) / F.lit(2.0) / F.col("total")
-    joined = captures.withColumn("_focus", value).join(ranks, "_focus").withColumn("focus_percentile", middle)
-    return joined.withColumn("absolute_focus_factor", absolute_focus(F.col("focus_percentile"), p)).drop("_focus", "below", "upto", "total")
+    joined = captures.withColumn("_focus", positive(F.col("focus_score"))).join(ranks.withColumnRenamed("value", "_focus"), "_focus")
+    return joined.withColumn("focus_percentile", middle).drop("_focus", "below", "upto", "total")
+
+
+def focus_percentile(captures: DataFrame, p: Profile) -> DataFrame:
+    """``focus_percentile`` and ``absolute_focus_factor``."""
+    joined = with_percentile(captures, value_ranks(captures, positive(F.col("focus_score")))[0])
+    return joined.withColumn("absolute_focus_factor", absolute_focus(F.col("focus_percentile"), p))
 
 
 def scored(captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True, numbered: bool = True) -> DataFrame:
@@ -49,6 +53,6 @@ def evaluated(captures: DataFrame, p: Profile, rules: BurstRules | None = None,
     Both ranks are sums along one order.
     """
     scores = burst_ranks(scored(captures, p, rules, grouped))
-    ordered = Ordered(scores, F.desc("composite_score"), "path_key", name="evaluated")
-    ranked = ordered.running_sums({"global_quality_rank": F.lit(1), "selection_rank": F.col("burst_winner").cast("int")})
+    ordered = Ordered(scores, F.desc("composite_score"), "path_key", name="evaluated", sums={"selection_rank": F.col("burst_winner").cast("int")})
+    ranked = ordered.placed("global_quality_rank")
     return ranked.withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("selection_rank"))).drop(PART, AT)

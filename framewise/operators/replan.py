@@ -13,15 +13,18 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.scoring import SLIDERS, Profile, absolute_focus, composite, multipliers, profile
+from framewise.functions.scoring import SLIDERS, Profile, absolute_focus, composite, multipliers, positive, profile
 from framewise.operators.bursts import BurstRules, burst_stats, group_bursts
-from framewise.operators.ordering import AT, PART, Ordered
-from framewise.operators.ranking import burst_ranks, focus_percentile
+from framewise.operators.ordering import AT, PART, Ordered, value_ranks
+from framewise.operators.ranking import burst_ranks, with_percentile
 from framewise.operators.selection import Target, pool_of, select_diverse, select_top, selection_changes
 from framewise.storage import drop_tables, write_table
 
 LEVELS: dict[str, Callable[[BurstRules], BurstRules]] = {"tighter": BurstRules.tighter, "normal": lambda rules: rules, "looser": BurstRules.looser}
 MODES = ("bursts", "photos")
+#: What captures are put into bursts by, and what their scores are made of.
+_LOOKS = ("path_key", "ts_us", "sequence_number", "camera_serial", "camera_model", "phash", "embedding")
+_MEASURES = ("file_path", "feedback_decision", "focus_score", "aesthetic_score", "musiq_score", "exposure_penalty", "eye_factor", "subject_integrity")
 #: Settings whose tables of a stage stay at once.
 KEPT = 3
 
@@ -112,8 +115,8 @@ class Session:
         self.stages = {
             "measures": Stage((), (), self._measures),
             "vectors": Stage((), (), lambda s: self.captures.select("path_key", "embedding")),
-            "bursts": Stage((), ("level",), self._bursts),
-            "scores": Stage(("measures", "bursts"), ("profile",), self._scores),
+            "bursts": Stage(("measures",), ("level",), self._bursts),
+            "scores": Stage(("bursts",), ("profile",), self._scores),
             "sizes": Stage(("scores",), (), lambda s, scores: scores.agg(F.count("*").alias("photos"), F.count_if("burst_winner").alias("bursts"))),
             "cut": Stage(("scores",), ("mode", "target", "diversity"), self._cut),
         }
@@ -138,21 +141,23 @@ class Session:
         return kept[key][1]
 
     def _measures(self, settings: Settings) -> DataFrame:
-        return focus_percentile(self.captures.drop("embedding", "phash"), settings.profile).drop("absolute_focus_factor")
+        """A row for each value of the focus, with its place among all."""
+        return value_ranks(self.captures, positive(F.col("focus_score")))[0]
 
-    def _bursts(self, settings: Settings) -> DataFrame:
-        columns = ("path_key", "ts_us", "sequence_number", "camera_serial", "camera_model", "phash", "embedding", "focus_score")
-        grouped = group_bursts(self.captures.select(*columns), LEVELS[settings.level](self.rules))
-        return burst_stats(grouped).select("path_key", "burst_id", "burst_size", "relative_focus_factor")
+    def _bursts(self, settings: Settings, measures: DataFrame) -> DataFrame:
+        """All that scores are made of, so that they need no join of captures."""
+        captures = self.captures.withColumn("feedback_decision", F.coalesce("feedback_decision", F.lit(""))).select(*_LOOKS, *_MEASURES)
+        grouped = group_bursts(with_percentile(captures, measures), LEVELS[settings.level](self.rules), without=("embedding", "phash", "camera_serial", "camera_model"))
+        return burst_stats(grouped).select("path_key", "burst_id", "burst_size", "relative_focus_factor", "focus_percentile", *(c for c in _MEASURES if c != "focus_score"))
 
-    def _scores(self, settings: Settings, measures: DataFrame, bursts: DataFrame) -> DataFrame:
+    def _scores(self, settings: Settings, bursts: DataFrame) -> DataFrame:
         p = settings.profile
-        joined = measures.join(bursts, "path_key").withColumn("absolute_focus_factor", absolute_focus(F.col("focus_percentile"), p))
-        scored = burst_ranks(joined.withColumns(multipliers(p)).withColumn("composite_score", composite(p)))
-        narrow = scored.select("path_key", "file_path", "composite_score", "burst_id", "burst_size", "burst_rank", "burst_winner", F.coalesce("feedback_decision", F.lit("")).alias("feedback_decision"))
-        ordered = Ordered(narrow, F.desc("composite_score"), "path_key", name="scores")
-        ranked = ordered.running_sums({"global_quality_rank": F.lit(1), "selection_rank": F.col("burst_winner").cast("int")})
-        return ranked.withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("selection_rank"))).drop(PART, AT)
+        told = bursts.withColumn("absolute_focus_factor", absolute_focus(F.col("focus_percentile"), p)).withColumns(multipliers(p)).withColumn("composite_score", composite(p))
+        narrow = burst_ranks(told.select("path_key", "file_path", "composite_score", "burst_id", "burst_size", "feedback_decision"))
+        free = ~F.col("feedback_decision").isin("keep", "reject")
+        sums = {"selection_rank": F.col("burst_winner"), "_photos": free, "_bursts": free & F.col("burst_winner")}
+        ordered = Ordered(narrow, F.desc("composite_score"), "path_key", name="scores", sums={k: v.cast("int") for k, v in sums.items()})
+        return ordered.placed("global_quality_rank").withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("selection_rank"))).drop(PART, AT)
 
     def requested(self, settings: Settings | None = None) -> tuple[int, bool]:
         """How many captures the target asks for, of all photos or of the bursts' winners, and whether there are fewer than it says."""
@@ -163,8 +168,9 @@ class Session:
     def _cut(self, settings: Settings, scores: DataFrame) -> DataFrame:
         count, _ = self.requested(settings)
         pool, keep = pool_of(scores, settings.mode), F.col("feedback_decision") == "keep"
-        if settings.diversity == 0:
-            return select_top(pool, count, keep)
+        pool, free = pool.drop("_photos", "_bursts"), pool.where(keep | (F.col(f"_{settings.mode}") <= count))
+        if settings.diversity == 0:  # no other capture can be chosen, and few are left to sort
+            return select_top(free.drop("_photos", "_bursts"), count, keep)
         picks = select_diverse(pool.join(self.table("vectors"), "path_key"), count, settings.diversity, keep)
         return pool.join(picks.withColumnRenamed("pick", "portfolio_selection_order"), "path_key")
 

@@ -70,9 +70,9 @@ def select_top(pool: DataFrame, count: int, pinned: Column | None = None) -> Dat
     One sort of ``pool``, which should have no more columns than are wanted.
     """
     pinned = F.lit(False) if pinned is None else F.coalesce(pinned, F.lit(False))
-    ordered = Ordered(pool.withColumn("_pin", pinned.cast("int")), F.desc("composite_score"), "path_key", name="top")
+    ordered = Ordered(pool.withColumn("_pin", pinned.cast("int")), F.desc("composite_score"), "path_key", name="top", sums={"_pins": F.col("_pin")})
     left = max(0, count - (ordered.rows.agg(F.sum("_pin")).first()[0] or 0))
-    placed = ordered.running_sums({"_pins": F.col("_pin"), "_others": 1 - F.col("_pin")})
+    placed = ordered.placed("_others").withColumn("_others", F.col("_others") - F.col("_pins"))
     chosen = placed.where((F.col("_pin") == 1) | (F.col("_others") <= left))
     order = F.col("_pins") + F.least("_others", F.lit(left))
     return chosen.withColumn("portfolio_selection_order", order).drop("_pin", "_pins", "_others", PART, AT)

@@ -32,7 +32,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(id_ % 10 == 0, 0.7).otherwise(1.0).alias("eye_factor"), F.when(id_ % 10 == 0, "Possible closed/obscured eyes").otherwise("").alias("eye_warning"),
         (F.lit(0.5) + F.lit(0.5) * ((id_ * 17) % 89) / F.lit(88.0)).alias("subject_integrity"), (id_ % 500).alias("vec_id"),
     )
-    return rows.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    looks = table(spark, sf_dir, "embeddings").where("vec_id between -499 and 499")  # no other is the rest of a division by 500
+    return rows.join(F.broadcast(looks.select("vec_id", "embedding")), "vec_id").drop("vec_id")
 
 
 CAPTURES = """captures AS (

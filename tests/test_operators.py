@@ -270,6 +270,18 @@ def test_order_over_ranges_equals_a_plain_sort(spark):
     assert value_ranks(rows.limit(0), F.col("k"))[0].count() == 0
 
 
+def test_sums_of_placed_rows_move_no_row(spark):
+    rows = spark.range(300).select(((F.col("id") * 37) % 300).alias("k"), F.when(F.col("id") % 7 != 0, F.col("id") % 5 - 2).alias("v"))
+    placed = Ordered(rows, "k", sums={"upto": F.col("v")}).placed("n")
+    upto = 0
+    for i, r in enumerate(placed.orderBy("k").collect(), 1):
+        upto += r["v"] or 0
+        assert (r["n"], r["upto"]) == (i, upto)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_part") == 1  # of the counts of ranges alone
+    assert not Ordered(rows.limit(0), "k", sums={"upto": F.col("v")}).placed("n").count()
+
+
 def test_diverse_picks_without_embeddings_and_many_pins(spark):
     rows = [("a", 3.0, [1.0, 0.0], True), ("b", 2.9, None, True), ("c", 2.8, [1.0, 0.1], True), ("d", 2.7, None, False), ("e", 2.6, [0.0, 1.0], False), ("f", 2.5, [1.0, 0.0], False)]
     df = spark.createDataFrame(rows, "path_key string, composite_score double, embedding array<double>, pin boolean")
