@@ -50,14 +50,14 @@ class BurstRules:
         return replace(self, window=self.window / 2, duration=self.duration / 2, hash_bits=max(0, self.hash_bits - 2), similarity=min(1.0, round(self.similarity + 0.04, 9)))
 
 
-CAPTURE_ORDER = ("ts_us", "_seq", "_seq_text", "path_key")
+def in_capture_order(df: DataFrame) -> tuple[DataFrame, list]:
+    """The captures with what they are ordered by, and these keys: time, numbers of the sequence before texts, path.
 
-
-def capture_order(df: DataFrame) -> list:
-    """Time, numbers of the sequence before texts, path."""
-    text = F.lower(F.coalesce("sequence_number", F.lit("")))
-    n = sequence_number(F.coalesce("sequence_number", F.lit("")))
-    return [F.col("ts_us"), n.asc_nulls_last(), F.when(n.isNull(), text), F.col("path_key")]
+    The keys are columns, as a sort makes an expression anew for each two rows that it compares.
+    """
+    text = F.coalesce("sequence_number", F.lit(""))
+    rows = df.withColumn("_seq", sequence_number(text)).withColumn("_seq_text", F.when(F.col("_seq").isNull(), F.lower(text)))
+    return rows, [F.col("ts_us"), F.col("_seq").asc_nulls_last(), F.col("_seq_text"), F.col("path_key")]
 
 
 #: The time of a capture that has none; it is alone in its burst.
@@ -104,39 +104,47 @@ def _starts(times: np.ndarray, breaks: np.ndarray, began: int, limit: int) -> tu
     """Which captures begin a burst, and when the last one began; one began at ``began`` before them."""
     starts = breaks.astype(np.int64)
     edges = np.concatenate([[0], np.flatnonzero(breaks), [len(times)]])
-    for a, b in zip(edges.tolist(), edges[1:].tolist()):
-        if a < b and breaks[a]:
-            began = int(times[a])
-        at = a
-        while (at := at + int(np.searchsorted(times[at:b], began + limit, "right"))) < b:
-            began, starts[at] = int(times[at]), 1
-    return starts, began
+    edges = edges[np.append(edges[1:] > edges[:-1], True)]  # the first chain may have no row here
+    first, behind = edges[:-1], edges[1:]
+    begins = np.where(breaks[first], times[first], began)
+    for chain in np.flatnonzero(times[behind - 1] > begins + limit).tolist():  # the others are one burst each
+        at, b, now = int(first[chain]), int(behind[chain]), int(begins[chain])
+        while (at := at + int(np.searchsorted(times[at:b], now + limit, "right"))) < b:
+            now, starts[at] = int(times[at]), 1
+        begins[chain] = now
+    return starts, int(begins[-1]) if len(begins) else began
 
 
 _LOOKS = ("ts_us", "camera_serial", "camera_model", "phash", "embedding")
 
 
+def _coded(names: pa.DictionaryArray) -> tuple[np.ndarray, list[str]]:
+    """A number for each row's name, -1 for the empty one, and the names."""
+    words, codes = names.dictionary.to_pylist(), names.indices.to_numpy(zero_copy_only=False)
+    return (np.where(codes == words.index(""), -1, codes) if "" in words else codes), words
+
+
 class _Looks:
     """What neighbours are compared by, of some captures in order."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         column = lambda c: batch.column(batch.schema.get_field_index(c))
         self.times = column("ts_us").fill_null(_NEVER).to_numpy(zero_copy_only=False)
-        self.cameras = [np.array(column(c).fill_null("").to_pylist(), object) for c in ("camera_serial", "camera_model")]
+        self.cameras = [_coded(column(c).fill_null("").dictionary_encode()) for c in ("camera_serial", "camera_model")]
         self.hashed = column("phash").is_valid().to_numpy(zero_copy_only=False)
         self.hash = column("phash").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
         self.vectors = column("embedding")
 
     def end(self, i: int) -> tuple:
-        return int(self.times[i]), [c[i] for c in self.cameras], bool(self.hashed[i]), int(self.hash[i]), self.vectors[i].as_py()
+        return int(self.times[i]), [words[codes[i]] if codes[i] >= 0 else "" for codes, words in self.cameras], bool(self.hashed[i]), int(self.hash[i]), self.vectors[i].as_py()
 
     def breaks(self, rules: BurstRules) -> np.ndarray:
         """Whether each capture but the first can't be in the burst of the one before it."""
-        serial, model = self.cameras
+        serial, model = (codes for codes, _ in self.cameras)
         near = (self.times[:-1] != _NEVER) & (np.diff(self.times) <= round(rules.window * 1e6))
-        decided = (serial[1:] != "") & (serial[:-1] != "")
-        models = (model[1:] != "") & (model[:-1] != "")
-        near &= np.where(decided, serial[1:] == serial[:-1], ~models | (model[1:] == model[:-1])).astype(bool)
+        decided = (serial[1:] >= 0) & (serial[:-1] >= 0)
+        models = (model[1:] >= 0) & (model[:-1] >= 0)
+        near &= np.where(decided, serial[1:] == serial[:-1], ~models | (model[1:] == model[:-1]))
         alike = near & self.hashed[1:] & self.hashed[:-1] & (np.bitwise_count(self.hash[1:] ^ self.hash[:-1]) <= rules.hash_bits)
         ask = np.flatnonzero(near & ~alike)  # the products are left to pairs that the cheap tests have not decided
         alike[ask[_products(self.vectors, ask) >= rules.similarity]] = True
@@ -244,22 +252,29 @@ def _cut_leads(limit: int):
     return cut
 
 
-def group_bursts(captures: DataFrame, rules: BurstRules | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+def group_bursts(captures: DataFrame, rules: BurstRules | None = None, without: tuple[str, ...] = (), vectors: DataFrame | None = None) -> DataFrame:
     """``captures`` with ``burst_id``, from 1 in capture order, but not its columns ``without``.
 
     Needs ``ts_us, sequence_number, path_key, camera_serial, camera_model,
     phash, embedding``.  A null hash or embedding is like no other; a capture
     without a time is a burst of its own.  One sort by ranges and one pass over the
     captures, which writes them; what ranges tell one another is one row for each.
+
+    Where captures share embeddings, these may come as ``vectors`` (``vec_id, embedding``,
+    one row each, few enough to be broadcast) and captures have a ``vec_id`` instead;
+    then no embedding is shuffled or sorted.
     """
     rules, spark = rules or BurstRules(), captures.sparkSession
     let_workers_import(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [c for c in captures.columns if c not in without]
-    keys = capture_order(captures)
-    ready = captures.withColumns({"ts_us": F.col("ts_us").cast("long"), "phash": F.col("phash").cast("long")})
+    rows, keys = in_capture_order(captures)
+    ready = rows.withColumns({"ts_us": F.col("ts_us").cast("long"), "phash": F.col("phash").cast("long")})
     in_order = ready.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     in_order = in_order.withColumns({PART: F.spark_partition_id(), AT: F.monotonically_increasing_id(), "_time": F.coalesce("ts_us", F.lit(_NEVER))})
+    if vectors is not None:
+        in_order = in_order.join(F.broadcast(vectors.select("vec_id", "embedding")), "vec_id", "left")  # rows stay in order
+    in_order = in_order.select(*dict.fromkeys((*columns, *_LOOKS, PART, AT, "_time")))
     kinds = StructType([*(in_order.schema[c] for c in (*columns, PART, AT, "_time")), StructField("_n", LongType()), StructField("_end", BinaryType())])
     kinds = StructType([StructField(f.name, f.dataType) for f in kinds])
     marked = stored(in_order.mapInArrow(_mark(rules, columns), kinds), "captures")

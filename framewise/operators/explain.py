@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewise.functions.files import one_digit
 from framewise.functions.scoring import positive, power
 from framewise.operators.ordering import value_ranks
-from framewise.storage import stored
+from framewise.storage import LONG_EXPRESSIONS, stored
 
 # Fixed values.
 PENALTY_LIMIT, STANDING_LIMIT = 0.95, 25
@@ -35,44 +35,48 @@ def amount(high: Column, low: Column) -> Column:
     return F.when(low <= 0, F.lit("100%")).when(percent >= 99.5, F.lit("more than 99%")).when(percent >= 1, F.concat(whole(percent), F.lit("%"))).otherwise(F.lit("less than 1%"))
 
 
-def factors(aesthetic_weight: float) -> Column:
-    values = (
+def factors(aesthetic_weight: float) -> list[Column]:
+    return [
         power(positive(F.col("aesthetic_score")), float(aesthetic_weight)), F.col("absolute_focus_multiplier") * F.col("relative_focus_multiplier"),
         F.col("musiq_multiplier"), F.col("exposure_multiplier"), F.col("eye_multiplier"), F.col("subject_multiplier"),
-    )
-    return F.array(*values)
+    ]
 
 
-def main_factor(better: Column, worse: Column) -> Column:
-    """The first factor with the largest ratio above 1; null without one."""
-    pairs = []
-    for i, name in enumerate(FACTORS):
-        a, b = better[i], worse[i]
-        ratio = F.when(b > 0, a / b).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(1.0))
-        pairs.append(F.struct(ratio.alias("ratio"), F.lit(-i).alias("i"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*pairs))
-    return F.when(best["ratio"] > 1, best["name"])
+def main_factor(ratios: list[Column]) -> Column:
+    """The first factor with the largest ratio, where that is above 1; else null."""
+    best = F.greatest(*ratios)
+    named = None
+    for ratio, name in zip(ratios, FACTORS):
+        named = F.when(ratio == best, F.lit(name)) if named is None else named.when(ratio == best, F.lit(name))
+    return F.when(best > 1, named)
 
 
 def with_burst_clause(ranked: DataFrame, aesthetic_weight: float) -> DataFrame:
-    """``ranked`` with ``_clause``, the place of each capture within its burst; winners are set against the second, others against the first."""
-    whole_burst = Window.partitionBy("burst_id").orderBy("burst_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = ranked.withColumn("_me", F.struct("file_name", "composite_score", factors(aesthetic_weight).alias("factors")))
-    out = out.withColumns({"_first": F.first("_me").over(whole_burst), "_second": F.nth_value("_me", 2).over(whole_burst)})
-    won = F.col("burst_rank") == 1
-    out = out.withColumns({"_better": F.when(won, F.col("_me")).otherwise(F.col("_first")), "_worse": F.when(won, F.col("_second")).otherwise(F.col("_me"))})
+    """``ranked`` with ``_clause``, the place of each capture within its burst; winners are set against the second, others against the first.
+
+    Of a burst only its first two are looked up, so no row is sorted for it.
+    """
+    burst, won = Window.partitionBy("burst_id"), F.col("burst_rank") == 1
+    at = lambda rank: F.first(F.when(F.col("burst_rank") == rank, F.col("_me")), ignorenulls=True).over(burst)
+    values = [f"f{i}" for i in range(len(FACTORS))]
+    out = ranked.withColumn("_me", F.struct("file_name", "composite_score", *(v.alias(k) for k, v in zip(values, factors(aesthetic_weight)))))
+    out = out.withColumns({"_first": at(1), "_second": at(2)}).withColumn("_other", F.when(won, F.col("_second")).otherwise(F.col("_first")))
+    better = lambda field: F.when(won, F.col("_me")[field]).otherwise(F.col("_other")[field])
+    worse = lambda field: F.when(won, F.col("_other")[field]).otherwise(F.col("_me")[field])
+    out = out.withColumns({
+        "_high": better("composite_score"), "_low": worse("composite_score"),
+        **{f"_ratio_{k}": F.when(worse(k) > 0, better(k) / worse(k)).when(better(k) > 0, F.lit(float("inf"))).otherwise(F.lit(1.0)) for k in values},
+    })
     out = out.withColumns({
-        "_ties": F.col("_worse.composite_score") >= F.col("_better.composite_score"), "_amount": amount(F.col("_better.composite_score"), F.col("_worse.composite_score")),
-        "_why": F.coalesce(F.concat(F.lit(", mainly on "), main_factor(F.col("_better.factors"), F.col("_worse.factors"))), F.lit("")),
-        "_other": F.when(won, F.col("_second.file_name")).otherwise(F.col("_first.file_name")),
+        "_amount": amount(F.col("_high"), F.col("_low")), "_why": F.coalesce(F.concat(F.lit(", mainly on "), main_factor([F.col(f"_ratio_{k}") for k in values])), F.lit("")), "_name": F.col("_other.file_name"),
         "_place": F.concat(F.when(won, F.lit("best")).otherwise(ordinal(F.col("burst_rank"))), F.lit(" of "), F.col("burst_size").cast("string"), F.lit(" in burst; ")),
     })
-    tied = F.concat(F.lit("ties "), F.col("_other"), F.when(won, F.lit(" on score and wins on path order")).otherwise(F.lit(" on score and loses on path order")))
-    lower = F.when(won, F.concat(F.lit("next best "), F.col("_other"), F.lit(" scored "), F.col("_amount"), F.lit(" lower"), F.col("_why"))).otherwise(
-        F.concat(F.lit("scored "), F.col("_amount"), F.lit(" lower than "), F.col("_other"), F.col("_why"))
+    tied = F.concat(F.lit("ties "), F.col("_name"), F.when(won, F.lit(" on score and wins on path order")).otherwise(F.lit(" on score and loses on path order")))
+    lower = F.when(won, F.concat(F.lit("next best "), F.col("_name"), F.lit(" scored "), F.col("_amount"), F.lit(" lower"), F.col("_why"))).otherwise(
+        F.concat(F.lit("scored "), F.col("_amount"), F.lit(" lower than "), F.col("_name"), F.col("_why"))
     )
-    clause = F.when(F.col("burst_size") == 1, F.lit("single shot")).otherwise(F.concat(F.col("_place"), F.when(F.col("_ties"), tied).otherwise(lower)))
-    return out.withColumn("_clause", clause).drop("_me", "_first", "_second", "_better", "_worse", "_ties", "_amount", "_why", "_other", "_place")
+    clause = F.when(F.col("burst_size") == 1, F.lit("single shot")).otherwise(F.concat(F.col("_place"), F.when(F.col("_low") >= F.col("_high"), tied).otherwise(lower)))
+    return out.withColumn("_clause", clause).drop("_me", "_first", "_second", "_other", "_high", "_low", "_amount", "_why", "_name", "_place", *(f"_ratio_{k}" for k in values))
 
 
 def standings(ranked: DataFrame) -> DataFrame:
@@ -85,22 +89,25 @@ def standings(ranked: DataFrame) -> DataFrame:
     """
     value = lambda field: F.when(F.col(field).isNull() | F.isnan(field), F.lit(0.0)).otherwise(F.col(field).cast("double")) + F.lit(0.0)
     ranks = value_ranks(ranked, *(value(field) for _, field in MEASURES))
-    out = ranked
-    tops, bottoms = [], []
-    for i, (label, field) in enumerate(MEASURES):
+    out, n = ranked, range(len(MEASURES))
+    for i, (_, field) in enumerate(MEASURES):
         key = f"_v{i}"
         of = ranks[i].select(
             F.col("value").alias(key), F.ceil(F.lit(100) * (F.col("total") - F.col("below")) / F.col("total")).alias(f"_top{i}"), F.ceil(F.lit(100) * F.col("upto") / F.col("total")).alias(f"_bottom{i}")
         )
         out = out.withColumn(key, value(field)).join(of, key).drop(key)
-        tops.append(F.struct(F.col(f"_top{i}").alias("p"), F.lit(i).alias("i"), F.lit(label).alias("label")))
-        bottoms.append(F.struct(F.col(f"_bottom{i}").alias("p"), F.lit(i).alias("i"), F.lit(label).alias("label")))
-    top = F.array_min(F.array(*tops))
-    out = out.withColumn("_top", top).withColumn("top_percent", F.col("_top.p")).withColumn("top_label", F.col("_top.label"))
-    named = F.when(F.col("top_percent") <= STANDING_LIMIT, F.col("top_label")).otherwise(F.lit(""))
-    bottom = F.array_min(F.filter(F.array(*bottoms), lambda b: b["label"] != named))
-    out = out.withColumn("_bottom", bottom).withColumn("bottom_percent", F.col("_bottom.p")).withColumn("bottom_label", F.col("_bottom.label"))
-    return out.drop("_top", "_bottom", *(f"_{k}{i}" for k in ("top", "bottom") for i in range(len(MEASURES))))
+
+    def first_at(side: str) -> Column:
+        """The number of the first measure that has the least percent of a side."""
+        return F.coalesce(*(F.when(F.col(f"_{side}{i}") == F.col(f"{side}_percent"), F.lit(i)) for i in n))
+
+    label = lambda at: F.element_at(F.array(*(F.lit(label) for label, _ in MEASURES)), at + 1)
+    out = out.withColumn("top_percent", F.least(*(f"_top{i}" for i in n))).withColumn("_best", first_at("top"))
+    named = F.when(F.col("top_percent") <= STANDING_LIMIT, F.col("_best")).otherwise(F.lit(-1))  # not named a second time
+    out = out.withColumns({f"_bottom{i}": F.when(named != i, F.col(f"_bottom{i}")) for i in n})
+    out = out.withColumn("bottom_percent", F.least(*(f"_bottom{i}" for i in n)))
+    out = out.withColumns({"top_label": label(F.col("_best")), "bottom_label": label(first_at("bottom"))})
+    return out.drop("_best", *(f"_{k}{i}" for k in ("top", "bottom") for i in n))
 
 
 def penalty_clauses() -> list[Column]:
@@ -115,12 +122,16 @@ def penalty_clauses() -> list[Column]:
 
 
 def score_reasons(ranked: DataFrame, aesthetic_weight: float = 1.0, grouped: bool = True) -> DataFrame:
-    """``ranked``, without the embedding, with ``score_reason``."""
+    """``ranked``, without the embedding, with ``score_reason``.
+
+    All that needs no standing is told in the pass that writes ``ranked``.
+    """
     ranked = ranked.drop("embedding")
-    out = standings(stored(with_burst_clause(ranked, aesthetic_weight) if grouped else ranked, "ranked"))
+    told = with_burst_clause(ranked, aesthetic_weight) if grouped else ranked
+    out = standings(stored(told.withColumn("_penalties", F.concat_ws("; ", *penalty_clauses())), "ranked", LONG_EXPRESSIONS))
     clauses = [F.col("_clause")] if grouped else []
     for side in ("top", "bottom"):
         of = F.concat(F.col(f"{side}_label"), F.lit(f" in {side} "), F.col(f"{side}_percent").cast("string"), F.lit("% of all photos"))
         clauses.append(F.when(F.col(f"{side}_percent") <= STANDING_LIMIT, of))
-    text = F.concat_ws("; ", *clauses, *penalty_clauses())
-    return out.withColumn("score_reason", F.when(text == "", F.lit("no standout strength or penalty")).otherwise(text)).drop("_clause", "top_percent", "top_label", "bottom_percent", "bottom_label")
+    text = F.concat_ws("; ", *clauses, F.when(F.col("_penalties") != "", F.col("_penalties")))
+    return out.withColumn("score_reason", F.when(text == "", F.lit("no standout strength or penalty")).otherwise(text)).drop("_clause", "_penalties", "top_percent", "top_label", "bottom_percent", "bottom_label")

@@ -23,16 +23,19 @@ def focus_percentile(captures: DataFrame, p: Profile) -> DataFrame:
     return joined.withColumn("absolute_focus_factor", absolute_focus(F.col("focus_percentile"), p))
 
 
-def scored(captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True, numbered: bool = True) -> DataFrame:
-    """Bursts, multipliers and ``composite_score`` of each capture; its embedding is of no more use then and does not travel further.
+def scored(
+    captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True, numbered: bool = True, without: tuple[str, ...] = (), vectors: DataFrame | None = None
+) -> DataFrame:
+    """Bursts, multipliers and ``composite_score`` of each capture; its embedding is of no more use then and does not travel further, nor do columns ``without``.
 
     Captures that are not grouped are bursts of one; without ``numbered`` they get no ``burst_id``, which takes a sort.
+    ``vectors`` are as in :func:`group_bursts`.
     """
-    placed = focus_percentile(captures, p)
+    placed, without = focus_percentile(captures, p), ("embedding", "vec_id", *without)
     if grouped:
-        groups = burst_stats(group_bursts(placed, rules, without=("embedding",)))
+        groups = burst_stats(group_bursts(placed, rules, without, vectors))
     else:
-        groups = ungrouped(placed.drop("embedding")) if numbered else placed.drop("embedding")
+        groups = ungrouped(placed.drop("embedding", "vec_id")) if numbered else placed.drop(*without)
         groups = groups.withColumns({"burst_size": F.lit(1).cast("long"), "relative_focus_factor": F.lit(1.0)})
     return groups.withColumns(multipliers(p)).withColumn("composite_score", composite(p))
 
@@ -47,12 +50,12 @@ def global_rank(scores: DataFrame, name: str = "global_quality_rank") -> DataFra
     return Ordered(scores, F.desc("composite_score"), "path_key", name=name).row_number(name)
 
 
-def evaluated(captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True) -> DataFrame:
+def evaluated(captures: DataFrame, p: Profile, rules: BurstRules | None = None, grouped: bool = True, without: tuple[str, ...] = (), vectors: DataFrame | None = None) -> DataFrame:
     """All ranks of all captures; ``selection_rank`` is among the winners of bursts, null for the others.
 
     Both ranks are sums along one order.
     """
-    scores = burst_ranks(scored(captures, p, rules, grouped))
+    scores = burst_ranks(scored(captures, p, rules, grouped, without=without, vectors=vectors))
     ordered = Ordered(scores, F.desc("composite_score"), "path_key", name="evaluated", sums={"selection_rank": F.col("burst_winner").cast("int")})
     ranked = ordered.placed("global_quality_rank")
     return ranked.withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("selection_rank"))).drop(PART, AT)

@@ -12,9 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id between -499 and 499")  # no other is the rest of a division by 500
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, embedding`` of the captures that name theirs, one row each."""
+    return _looks(spark, sf_dir).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+
+
+def captures(spark: SparkSession, sf_dir: str, named: bool = False) -> DataFrame:
     """A capture for each event; some have no sharpness, and some shares of pixels lie in the middle of two tenths.
 
+    With ``named`` a capture has the ``vec_id`` of its embedding, which is among the :func:`vectors`.
     Its paths are ASCII, so that lower case is their case folding.
     """
     id_ = F.col("event_id")
@@ -32,7 +42,9 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(id_ % 10 == 0, 0.7).otherwise(1.0).alias("eye_factor"), F.when(id_ % 10 == 0, "Possible closed/obscured eyes").otherwise("").alias("eye_warning"),
         (F.lit(0.5) + F.lit(0.5) * ((id_ * 17) % 89) / F.lit(88.0)).alias("subject_integrity"), (id_ % 500).alias("vec_id"),
     )
-    looks = table(spark, sf_dir, "embeddings").where("vec_id between -499 and 499")  # no other is the rest of a division by 500
+    looks = _looks(spark, sf_dir)
+    if named:
+        return rows.join(F.broadcast(looks.select("vec_id")), "vec_id")
     return rows.join(F.broadcast(looks.select("vec_id", "embedding")), "vec_id").drop("vec_id")
 
 

@@ -108,10 +108,13 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What only explanations and reports want of a capture; the steps write whole rows, so ranks go without.
 _TOLD = ("file_path", "file_name", "blown_pct", "crushed_pct", "eye_warning")
+#: What only bursts are made by.
+_LOOKS = ("sequence_number", "camera_serial", "camera_model", "phash", "ts_us")
 
 
 def _scores(spark: SparkSession, sf_dir: str, p: scoring.Profile = BALANCED, grouped: bool = True, told: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
-    return ranking.scored(_captures(spark, sf_dir).drop(*(c for c in _TOLD if c not in told)), p, RULES, grouped, numbered)
+    rows = views.captures(spark, sf_dir, named=True).drop(*(c for c in _TOLD if c not in told))
+    return ranking.scored(rows, p, RULES, grouped, numbered, without=_LOOKS, vectors=views.vectors(spark, sf_dir))
 
 
 # --- scores and ranks --------------------------------------------------------
@@ -149,8 +152,8 @@ def global_rank_ungrouped(spark, sf_dir):
 def _burst_query(name: str, rules: BurstRules) -> None:
     @query(f"WITH RECURSIVE {CAPTURES}, {_bursts(rules)} SELECT capture_id, burst_id FROM grouped", name=name)
     def run(spark, sf_dir):
-        looks = _captures(spark, sf_dir).select("capture_id", "ts_us", "sequence_number", "path_key", "camera_serial", "camera_model", "phash", "embedding")
-        return bursts.group_bursts(looks, rules, without=("embedding",)).select("capture_id", "burst_id")
+        looks = views.captures(spark, sf_dir, named=True).select("capture_id", "path_key", *_LOOKS, "vec_id")
+        return bursts.group_bursts(looks, rules, (*_LOOKS, "path_key", "vec_id"), views.vectors(spark, sf_dir)).select("capture_id", "burst_id")
 
 
 _burst_query("burst_groups", RULES)
@@ -160,7 +163,8 @@ _burst_query("burst_groups_tighter", RULES.tighter())
 
 @query(f"WITH RECURSIVE {_scored(BALANCED, RULES)} SELECT capture_id, burst_size, round(relative_focus_factor, 6) AS relative_focus_factor FROM scored")
 def burst_stats(spark, sf_dir):
-    out = bursts.burst_stats(bursts.group_bursts(_captures(spark, sf_dir).drop(*_TOLD), RULES, without=("embedding",)))
+    rows = views.captures(spark, sf_dir, named=True).select("capture_id", "path_key", *_LOOKS, "focus_score", "vec_id")
+    out = bursts.burst_stats(bursts.group_bursts(rows, RULES, (*_LOOKS, "path_key", "vec_id"), views.vectors(spark, sf_dir)))
     return rounded(out.select("capture_id", "burst_size", "relative_focus_factor"), "relative_focus_factor")
 
 
@@ -176,7 +180,8 @@ def burst_ranks(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_ranked(BALANCED, RULES)} SELECT capture_id, global_quality_rank, selection_rank FROM ranked")
 def selection_ranks(spark, sf_dir):
-    return ranking.evaluated(_captures(spark, sf_dir).drop(*_TOLD), BALANCED, RULES).select("capture_id", "global_quality_rank", "selection_rank")
+    rows = views.captures(spark, sf_dir, named=True).drop(*_TOLD)
+    return ranking.evaluated(rows, BALANCED, RULES, without=_LOOKS, vectors=views.vectors(spark, sf_dir)).select("capture_id", "global_quality_rank", "selection_rank")
 
 
 # --- expressions -------------------------------------------------------------
@@ -184,30 +189,30 @@ def selection_ranks(spark, sf_dir):
 
 @query(f"WITH {CAPTURES}, {_lagged()} SELECT capture_id, bit_count(xor(phash, p_hash))::BIGINT AS bits FROM lagged")
 def phash_distance(spark, sf_dir):
-    rows = _captures(spark, sf_dir)
-    near = ordering.Ordered(rows.select("capture_id", "phash", "ts_us", "sequence_number", "path_key"), *bursts.capture_order(rows)).lag({"p_hash": "phash"})
+    rows, keys = bursts.in_capture_order(_captures(spark, sf_dir).select("capture_id", "phash", "ts_us", "sequence_number", "path_key"))
+    near = ordering.Ordered(rows, *keys).lag({"p_hash": "phash"})
     return near.select("capture_id", vectors.hamming(F.col("phash"), F.col("p_hash")).cast("long").alias("bits"))
 
 
 @query(f"WITH {CAPTURES}, {_lagged()} SELECT capture_id, round(list_dot_product(embedding::DOUBLE[], p_vec::DOUBLE[]), 6) AS cosine FROM lagged")
 def adjacent_cosine(spark, sf_dir):
-    rows = _captures(spark, sf_dir)
-    near = ordering.Ordered(rows.select("capture_id", "embedding", "ts_us", "sequence_number", "path_key"), *bursts.capture_order(rows)).lag({"p_vec": "embedding"})
+    rows, keys = bursts.in_capture_order(_captures(spark, sf_dir).select("capture_id", "embedding", "ts_us", "sequence_number", "path_key"))
+    near = ordering.Ordered(rows, *keys).lag({"p_vec": "embedding"})
     return rounded(near.select("capture_id", vectors.dot(F.col("embedding"), F.col("p_vec")).alias("cosine")), "cosine")
 
 
 @query(f"WITH {CAPTURES}, {_lagged()} SELECT capture_id, {_CAMERA} AS same FROM lagged WHERE p_ts IS NOT NULL")
 def same_camera(spark, sf_dir):
-    rows = _captures(spark, sf_dir).drop("embedding")
-    near = ordering.Ordered(rows, *bursts.capture_order(rows)).lag({"p_serial": "camera_serial", "p_model": "camera_model", "p_ts": "ts_us"})
+    rows, keys = bursts.in_capture_order(_captures(spark, sf_dir).drop("embedding"))
+    near = ordering.Ordered(rows, *keys).lag({"p_serial": "camera_serial", "p_model": "camera_model", "p_ts": "ts_us"})
     same = vectors.same_camera(F.col("camera_serial"), F.col("camera_model"), F.col("p_serial"), F.col("p_model"))
     return near.where("p_ts is not null").select("capture_id", same.alias("same"))
 
 
 @query(f"WITH {CAPTURES}, {_lagged()} SELECT capture_id, rn AS place FROM lagged")
 def sequence_order(spark, sf_dir):
-    rows = _captures(spark, sf_dir).select("capture_id", "ts_us", "sequence_number", "path_key")
-    return ordering.Ordered(rows, *bursts.capture_order(rows)).row_number("place").select("capture_id", "place")
+    rows, keys = bursts.in_capture_order(_captures(spark, sf_dir).select("capture_id", "ts_us", "sequence_number", "path_key"))
+    return ordering.Ordered(rows, *keys).row_number("place").select("capture_id", "place")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(greatest(4e-1, 1e0 - 5e0 * greatest(0e0, l_discount::DOUBLE - 2e-2)) * greatest(6e-1, 1e0 - 2e0 * greatest(0e0, l_tax::DOUBLE - 5e-2)), 6) AS penalty FROM lineitem""")
@@ -315,7 +320,7 @@ def standing_percent(spark, sf_dir):
 def _reason_query(name: str, p: scoring.Profile) -> None:
     @query(f"WITH RECURSIVE {_reasons(p)} SELECT capture_id, score_reason FROM reasons", name=name)
     def run(spark, sf_dir):
-        ranked = ranking.burst_ranks(_scores(spark, sf_dir, p, told=_TOLD))
+        ranked = ranking.burst_ranks(_scores(spark, sf_dir, p, told=_TOLD[1:])).drop("path_key")
         return explain.score_reasons(ranked, p.aesthetic_weight).select("capture_id", "score_reason")
 
 
@@ -790,7 +795,8 @@ def csv_escape(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_ranked(BALANCED, RULES)} SELECT file_path, global_quality_rank, selection_rank, burst_rank, burst_id, burst_size, burst_winner, round(composite_score, 6) AS composite_score,
   strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS timestamp_utc, '' || camera_model AS camera_model FROM ranked""")
 def evaluation_report(spark, sf_dir):
-    rows = ranking.evaluated(_captures(spark, sf_dir), BALANCED, RULES).withColumn("tz_offset_minutes", F.lit(0))
+    rows = views.captures(spark, sf_dir, named=True).drop(*_TOLD[1:])
+    rows = ranking.evaluated(rows, BALANCED, RULES, without=("sequence_number", "camera_serial", "phash"), vectors=views.vectors(spark, sf_dir)).withColumn("tz_offset_minutes", F.lit(0))
     report = reports.report_rows(reports.iso_times(rows))
     return rounded(report.select("file_path", "global_quality_rank", "selection_rank", "burst_rank", "burst_id", "burst_size", "burst_winner", "composite_score", "timestamp_utc", "camera_model"), "composite_score")
 

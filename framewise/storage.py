@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
+#: For writes that make long texts: methods too long for the JVM to compile, which it then interprets, are not made; Spark makes shorter ones.
+LONG_EXPRESSIONS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 _written: dict[str, SparkSession] = {}
 
 
@@ -41,8 +43,8 @@ def let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def write_table(df: DataFrame, name: str) -> str:
-    """Write ``df`` once to the shared folder; gives the path.
+def write_table(df: DataFrame, name: str, more: dict[str, str] | None = None) -> str:
+    """Write ``df`` once to the shared folder, under the settings above and ``more``; gives the path.
 
     What reads the table does not run ``df`` again, and a lost executor takes
     nothing with it.  The folder goes with :func:`drop_tables`, or when Python ends.
@@ -50,9 +52,10 @@ def write_table(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framewise/{name}-{uuid.uuid4().hex}"
     _written[path] = spark
-    before = {key: spark.conf.get(key) for key in SETTINGS}
+    settings = SETTINGS | (more or {})
+    before = {key: spark.conf.get(key) for key in settings}
     try:
-        for key, value in SETTINGS.items():
+        for key, value in settings.items():
             spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
@@ -61,9 +64,9 @@ def write_table(df: DataFrame, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, more: dict[str, str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, more))
 
 
 def tables() -> list[str]:

@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 from framewise import storage
 from framewise.functions import files as ff
 from framewise.functions import metadata, vectors
-from framewise.functions.scoring import PROFILES, power
-from framewise.operators import cache, explain, families, features, feedback, incremental, ranking, selection
+from framewise.functions.scoring import MULTIPLIERS, PROFILES, power
+from framewise.operators import bursts, cache, explain, families, features, feedback, incremental, ranking, selection
 from framewise.operators.bursts import BurstRules, group_bursts
 from framewise.operators.ordering import Ordered, value_ranks
 from framewise.sinks import export, reports
@@ -135,6 +135,33 @@ def test_reasons(spark):
     assert "clipping (-20%): 6.0% highlights blown, 0.0% shadows crushed" in made["a"]
 
 
+def test_reasons_look_up_the_first_two_without_a_sort(spark):
+    rows = spark.createDataFrame([("a.jpg", "a.jpg", 7.0, 1, 2)], "file_name string, path_key string, aesthetic_score double, burst_id long, burst_size long")
+    rows = rows.withColumns({"composite_score": F.col("aesthetic_score"), **{m: F.lit(1.0) for m in MULTIPLIERS}})
+    plan = explain.with_burst_clause(ranking.burst_ranks(rows), 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert [line.split("Sort ")[1].count(",") for line in plan.splitlines() if "+- Sort [" in line] == [4]  # by burst, score and path
+
+
+def test_standings_need_no_lambda(spark):
+    plan = explain.standings(captures(spark, [("a.jpg", 0, {})]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # Spark compiles no step that has one
+
+
+def test_captures_may_name_shared_vectors(spark, monkeypatch):
+    looks = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: None}
+    rows = [(f"{i}.jpg", i // 3, {"phash": None, "sequence_number": ("x", "7", "10")[i % 3], "embedding": looks.get(i % 5)}) for i in range(40)]
+    plain = captures(spark, rows)
+    named = plain.withColumn("vec_id", F.regexp_extract("path_key", r"\d+", 0).cast("int") % 5).drop("embedding")
+    shared, plans = spark.createDataFrame(list(looks.items()), "vec_id int, embedding array<float>"), []
+    monkeypatch.setattr(bursts, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or storage.stored(df, name))
+    want = [r[:] for r in group_bursts(plain).orderBy("path_key").select("path_key", "burst_id").collect()]
+    got = group_bursts(named, without=("vec_id", "phash"), vectors=shared)
+    assert [r[:] for r in got.orderBy("path_key").select("path_key", "burst_id").collect()] == want and len({b for _, b in want}) > 10
+    assert not {"vec_id", "phash", "embedding"} & set(got.columns)
+    sorts = [line for plan in plans for line in plan.splitlines() if "Sort [ts_us" in line]
+    assert len(sorts) == 2 and not any("RLIKE" in line for line in sorts)
+
+
 def test_ordinals(spark):
     rows = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 11, 12, 13, 21, 22, 102, 111)], "n long")
     assert [r[0] for r in rows.select(explain.ordinal(F.col("n"))).collect()] == "1st 2nd 3rd 4th 11th 12th 13th 21st 22nd 102nd 111th".split()
