@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from framewise.functions.vectors import sequence_number
 from framewise.operators.ordering import AT, PART, Ordered
-from framewise.storage import let_workers_import, stored
+from framewise.storage import SHORT_ROWS, let_workers_import, stored
 
 
 @dataclass(frozen=True)
@@ -277,7 +277,7 @@ def group_bursts(captures: DataFrame, rules: BurstRules | None = None, without:
     in_order = in_order.select(*dict.fromkeys((*columns, *_LOOKS, PART, AT, "_time")))
     kinds = StructType([*(in_order.schema[c] for c in (*columns, PART, AT, "_time")), StructField("_n", LongType()), StructField("_end", BinaryType())])
     kinds = StructType([StructField(f.name, f.dataType) for f in kinds])
-    marked = stored(in_order.mapInArrow(_mark(rules, columns), kinds), "captures")
+    marked = stored(in_order.mapInArrow(_mark(rules, columns), kinds), "captures", SHORT_ROWS)
     looks = to_arrow_schema(in_order.select(*_LOOKS).schema)
     ends = marked.where("_end is not null").select(PART, "_end").repartition(1).sortWithinPartitions(PART)
     taken = stored(ends.mapInArrow(_compose(rules, looks), f"{PART} int, _broken boolean, _began long, _before long, _behind long"), "ranges")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewise.functions.files import one_digit
 from framewise.functions.scoring import positive, power
 from framewise.operators.ordering import value_ranks
-from framewise.storage import LONG_EXPRESSIONS, stored
+from framewise.storage import LONG_EXPRESSIONS, SHORT_ROWS, stored
 
 # Fixed values.
 PENALTY_LIMIT, STANDING_LIMIT = 0.95, 25
@@ -128,7 +128,7 @@ def score_reasons(ranked: DataFrame, aesthetic_weight: float = 1.0, grouped: boo
     """
     ranked = ranked.drop("embedding")
     told = with_burst_clause(ranked, aesthetic_weight) if grouped else ranked
-    out = standings(stored(told.withColumn("_penalties", F.concat_ws("; ", *penalty_clauses())), "ranked", LONG_EXPRESSIONS))
+    out = standings(stored(told.withColumn("_penalties", F.concat_ws("; ", *penalty_clauses())), "ranked", LONG_EXPRESSIONS | SHORT_ROWS))
     clauses = [F.col("_clause")] if grouped else []
     for side in ("top", "bottom"):
         of = F.concat(F.col(f"{side}_label"), F.lit(f" in {side} "), F.col(f"{side}_percent").cast("string"), F.lit("% of all photos"))

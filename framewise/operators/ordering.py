@@ -41,14 +41,15 @@ class Ordered:
     There are as many ranges as shuffle partitions, so what is broadcast below
     has one row for each of them.  ``sums`` are values whose running sums within a
     range are written with its rows, for :meth:`placed`; so rows do not move again.
+    ``more`` are settings of that write.
     """
 
-    def __init__(self, df: DataFrame, *keys: Column | str, name: str = "ordered", sums: dict[str, Column] | None = None) -> None:
+    def __init__(self, df: DataFrame, *keys: Column | str, name: str = "ordered", sums: dict[str, Column] | None = None, more: dict[str, str] | None = None) -> None:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         at = F.monotonically_increasing_id()
         sorted_ = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(PART, F.spark_partition_id()).withColumn(AT, at)
         self.sums = tuple(sums or {})
-        self.rows = stored(sorted_.withColumns({k: _running(v) for k, v in sums.items()}) if sums else sorted_, name)
+        self.rows = stored(sorted_.withColumns({k: _running(v) for k, v in sums.items()}) if sums else sorted_, name, more)
 
     def placed(self, name: str | None = None) -> DataFrame:
         """The rows with the ``sums`` over the whole table, up to and with each row, and with their number ``name``.  No row moves."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewise.functions.scoring import Profile, absolute_focus, composite, multipliers, positive
 from framewise.operators.bursts import BurstRules, burst_stats, group_bursts, ungrouped
 from framewise.operators.ordering import AT, PART, Ordered, value_ranks
+from framewise.storage import SHORT_ROWS
 
 
 def with_percentile(captures: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -56,6 +57,6 @@ def evaluated(captures: DataFrame, p: Profile, rules: BurstRules | None = None,
     Both ranks are sums along one order.
     """
     scores = burst_ranks(scored(captures, p, rules, grouped, without=without, vectors=vectors))
-    ordered = Ordered(scores, F.desc("composite_score"), "path_key", name="evaluated", sums={"selection_rank": F.col("burst_winner").cast("int")})
+    ordered = Ordered(scores, F.desc("composite_score"), "path_key", name="evaluated", sums={"selection_rank": F.col("burst_winner").cast("int")}, more=SHORT_ROWS)
     ranked = ordered.placed("global_quality_rank")
     return ranked.withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("selection_rank"))).drop(PART, AT)

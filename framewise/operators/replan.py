@@ -18,12 +18,12 @@ from framewise.operators.bursts import BurstRules, burst_stats, group_bursts
 from framewise.operators.ordering import AT, PART, Ordered, value_ranks
 from framewise.operators.ranking import burst_ranks, with_percentile
 from framewise.operators.selection import Target, pool_of, select_diverse, select_top, selection_changes
-from framewise.storage import drop_tables, write_table
+from framewise.storage import SHORT_ROWS, drop_tables, tables, write_table
 
 LEVELS: dict[str, Callable[[BurstRules], BurstRules]] = {"tighter": BurstRules.tighter, "normal": lambda rules: rules, "looser": BurstRules.looser}
 MODES = ("bursts", "photos")
 #: What captures are put into bursts by, and what their scores are made of.
-_LOOKS = ("path_key", "ts_us", "sequence_number", "camera_serial", "camera_model", "phash", "embedding")
+_LOOKS = ("ts_us", "sequence_number", "camera_serial", "camera_model", "phash")
 _MEASURES = ("file_path", "feedback_decision", "focus_score", "aesthetic_score", "musiq_score", "exposure_penalty", "eye_factor", "subject_integrity")
 #: Settings whose tables of a stage stay at once.
 KEPT = 3
@@ -93,30 +93,35 @@ def command(line: str, settings: Settings) -> tuple[str, Settings]:
 
 @dataclass(frozen=True)
 class Stage:
-    """A stored table: ``make`` gets the settings and the tables of ``after``; it hangs on no other settings than ``on`` and theirs."""
+    """A stored table: ``make`` gets the settings and the tables of ``after``; it hangs on no other settings than ``on`` and theirs.
+
+    What ``make`` gives is not written again where its rows are in a table that it wrote itself (``written``).
+    """
 
     after: tuple[str, ...]
     on: tuple[str, ...]
     make: Callable[..., DataFrame]
+    written: bool = False
 
 
 class Session:
     """Selections of ``captures`` under changing settings; ``captures`` may have a ``feedback_decision``.
 
+    With ``vectors``, as in :func:`group_bursts`, captures have a ``vec_id`` instead of an ``embedding``.
     ``built`` lists the stages in the order in which they were made.
     """
 
-    def __init__(self, captures: DataFrame, settings: Settings, rules: BurstRules | None = None) -> None:
-        self.settings, self.rules, self.built = settings, rules or BurstRules(), []
+    def __init__(self, captures: DataFrame, settings: Settings, rules: BurstRules | None = None, vectors: DataFrame | None = None) -> None:
+        self.settings, self.rules, self.vectors, self.built = settings, rules or BurstRules(), vectors, []
         if "feedback_decision" not in captures.columns:
             captures = captures.withColumn("feedback_decision", F.lit(""))
         self.captures = captures
-        self._tables: dict[str, dict[tuple, tuple[str, DataFrame]]] = {}
+        self._tables: dict[str, dict[tuple, tuple[tuple[str, ...], DataFrame]]] = {}
         self.stages = {
             "measures": Stage((), (), self._measures),
-            "vectors": Stage((), (), lambda s: self.captures.select("path_key", "embedding")),
+            "vectors": Stage((), (), self._vectors),
             "bursts": Stage(("measures",), ("level",), self._bursts),
-            "scores": Stage(("bursts",), ("profile",), self._scores),
+            "scores": Stage(("bursts",), ("profile",), self._scores, written=True),
             "sizes": Stage(("scores",), (), lambda s, scores: scores.agg(F.count("*").alias("photos"), F.count_if("burst_winner").alias("bursts"))),
             "cut": Stage(("scores",), ("mode", "target", "diversity"), self._cut),
         }
@@ -130,12 +135,17 @@ class Session:
         settings = settings or self.settings
         kept, key = self._tables.setdefault(name, {}), self._key(name, settings)
         if key not in kept:
-            made = self.stages[name].make(settings, *(self.table(a, settings) for a in self.stages[name].after))
-            path = write_table(made, name)
+            after = [self.table(a, settings) for a in self.stages[name].after]
+            before = set(tables())
+            made = self.stages[name].make(settings, *after)
+            if self.stages[name].written:
+                kept[key] = tuple(t for t in tables() if t not in before), made
+            else:
+                path = write_table(made, name)
+                kept[key] = (path,), made.sparkSession.read.schema(made.schema).parquet(path)
             self.built.append(name)
-            kept[key] = path, made.sparkSession.read.schema(made.schema).parquet(path)
             while len(kept) > KEPT:
-                drop_tables(kept.pop(next(iter(kept)))[0])
+                drop_tables(*kept.pop(next(iter(kept)))[0])
         else:
             kept[key] = kept.pop(key)  # the last used are kept
         return kept[key][1]
@@ -144,10 +154,15 @@ class Session:
         """A row for each value of the focus, with its place among all."""
         return value_ranks(self.captures, positive(F.col("focus_score")))[0]
 
+    def _vectors(self, settings: Settings) -> DataFrame:
+        captures = self.captures if self.vectors is None else self.captures.join(F.broadcast(self.vectors), "vec_id", "left")
+        return captures.select("path_key", "embedding")
+
     def _bursts(self, settings: Settings, measures: DataFrame) -> DataFrame:
         """All that scores are made of, so that they need no join of captures."""
-        captures = self.captures.withColumn("feedback_decision", F.coalesce("feedback_decision", F.lit(""))).select(*_LOOKS, *_MEASURES)
-        grouped = group_bursts(with_percentile(captures, measures), LEVELS[settings.level](self.rules), without=("embedding", "phash", "camera_serial", "camera_model"))
+        looks = (*_LOOKS, "embedding" if self.vectors is None else "vec_id")
+        captures = self.captures.withColumn("feedback_decision", F.coalesce("feedback_decision", F.lit(""))).select("path_key", *looks, *_MEASURES)
+        grouped = group_bursts(with_percentile(captures, measures), LEVELS[settings.level](self.rules), looks, self.vectors)
         return burst_stats(grouped).select("path_key", "burst_id", "burst_size", "relative_focus_factor", "focus_percentile", *(c for c in _MEASURES if c != "focus_score"))
 
     def _scores(self, settings: Settings, bursts: DataFrame) -> DataFrame:
@@ -156,7 +171,7 @@ class Session:
         narrow = burst_ranks(told.select("path_key", "file_path", "composite_score", "burst_id", "burst_size", "feedback_decision"))
         free = ~F.col("feedback_decision").isin("keep", "reject")
         sums = {"selection_rank": F.col("burst_winner"), "_photos": free, "_bursts": free & F.col("burst_winner")}
-        ordered = Ordered(narrow, F.desc("composite_score"), "path_key", name="scores", sums={k: v.cast("int") for k, v in sums.items()})
+        ordered = Ordered(narrow, F.desc("composite_score"), "path_key", name="scores", sums={k: v.cast("int") for k, v in sums.items()}, more=SHORT_ROWS)
         return ordered.placed("global_quality_rank").withColumn("selection_rank", F.when(F.col("burst_winner"), F.col("selection_rank"))).drop(PART, AT)
 
     def requested(self, settings: Settings | None = None) -> tuple[int, bool]:
@@ -204,5 +219,5 @@ class Session:
 
     def close(self) -> None:
         """Drops all stored tables."""
-        drop_tables(*(path for kept in self._tables.values() for path, _ in kept.values()))
+        drop_tables(*(path for kept in self._tables.values() for paths, _ in kept.values() for path in paths))
         self._tables.clear()

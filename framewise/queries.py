@@ -652,7 +652,7 @@ _REPLANNED = replan.Settings(scoring.PROFILES["wildlife"].with_weights(sharpness
 
 def _session(spark: SparkSession, sf_dir: str, *lines: str) -> replan.Session:
     """A session in which these lines were typed, from balanced settings."""
-    session = replan.Session(_captures(spark, sf_dir), replan.Settings(BALANCED, target="40"), RULES)
+    session = replan.Session(views.captures(spark, sf_dir, named=True), replan.Settings(BALANCED, target="40"), RULES, views.vectors(spark, sf_dir))
     for line in lines:
         session.change(line)
     return session
@@ -682,8 +682,8 @@ SELECT base AS photos, base, requested, false AS capped, count(*) AS selected, c
 FROM chosen GROUP BY base, requested""")
 def selection_summary(spark, sf_dir):
     """What a session tells of its selection, with the lowest score that was chosen."""
-    captures = _with_feedback(spark, sf_dir, _captures(spark, sf_dir))
-    session = replan.Session(captures, replan.Settings(BALANCED, mode="photos", target="12.5%"), RULES)
+    captures = _with_feedback(spark, sf_dir, views.captures(spark, sf_dir, named=True))
+    session = replan.Session(captures, replan.Settings(BALANCED, mode="photos", target="12.5%"), RULES, views.vectors(spark, sf_dir))
     return rounded(session.summary(), "lowest_score").withColumn("notes", F.array_join("notes", "; "))
 
 

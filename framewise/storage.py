@@ -20,6 +20,8 @@ SETTINGS = {
 }
 #: For writes that make long texts: methods too long for the JVM to compile, which it then interprets, are not made; Spark makes shorter ones.
 LONG_EXPRESSIONS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+#: For writes of short rows: batches end at a number of rows alone, as Spark else measures a batch again at each row.
+SHORT_ROWS = {"spark.sql.execution.arrow.maxBytesPerBatch": "2147483647"}
 _written: dict[str, SparkSession] = {}
 
 

@@ -7,6 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from framewise import storage
 from framewise.functions.scoring import PROFILES
 from framewise.operators import ranking, selection
 from framewise.operators.bursts import BurstRules
@@ -73,6 +74,23 @@ def test_a_changed_target_reads_one_narrow_table(spark):
     session.close()
 
 
+def test_sessions_of_shared_vectors_write_scores_once(spark):
+    s = replace(START, target="10%")
+    plain = Session(captures(spark), s, RULES)
+    named = views.captures(spark, f"{DATA}/sf0.001", named=True)
+    mark = captures(spark).select("capture_id", "feedback_decision")
+    session = Session(named.join(mark, "capture_id"), s, RULES, views.vectors(spark, f"{DATA}/sf0.001"))
+    picks = lambda one: [r[:] for r in one.selection().orderBy("portfolio_selection_order").select("path_key", "burst_id", "composite_score").collect()]
+    assert picks(session) == picks(plain) != []
+    files = session.table("scores").inputFiles()
+    assert len(files) >= 1 and len({f.rsplit("/", 2)[1] for f in files}) == 1
+    assert len([t for t in storage.tables() if "/scores-" in t]) == 2  # one of each session
+    session.change("diversity 0.4"), plain.change("diversity 0.4")
+    assert {p for p, *_ in picks(session)} == {p for p, *_ in picks(plain)}
+    session.close(), plain.close()
+    assert not [t for t in storage.tables() if "/scores-" in t]
+
+
 def test_commands():
     assert [command(line, START)[0] for line in ("", "  ", "help", "?", "SETTINGS", "show", "show me" if False else "show")] == ["export", "export", "help", "help", "settings", "show", "show"]
     assert command("Eyes 1.5", START)[1].profile.eye_weight == 1.5 and command("burst-sharpness 3", START)[1].profile.relative_focus_exponent == 3
